@@ -235,3 +235,154 @@ def stored(spark: SparkSession, sf_dir: str, kind: str) -> Catalog:
         CatalogStore(spark, root, index=kind == "library").publish(catalog, new_entries=catalog.entries)
         _stores[key] = root
     return CatalogStore(spark, _stores[key]).load()
+
+
+# -- derived inputs of single operators -------------------------------------------
+
+
+def file_list_rows(documents: DataFrame) -> DataFrame:
+    """The document archive as file-list rows, in the mixed forms that lists come in."""
+    doc = F.col("doc_id")
+    moment = F.lit(EPOCH) + doc * 60
+    stamp = F.timestamp_seconds(moment)
+    folder = F.concat(F.lit("E:\\Archive\\"), F.col("source"), F.lit("\\"), F.col("lang"))
+    time = (
+        F.when(doc % 7 == 0, F.lit("unknown"))
+        .when(doc % 6 == 0, (moment * 10_000_000 + F.lit(116_444_736_001_234_567)).cast("string"))
+        .when(doc % 6 == 1, moment.cast("string"))
+        .when(doc % 6 == 2, F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'+02:00'"))
+        .when(doc % 6 == 3, F.date_format(stamp, "yyyy-MM-dd HH:mm:ss"))
+        .when(doc % 6 == 4, F.date_format(stamp, "M/d/yyyy h:mm a"))
+        .otherwise(F.date_format(stamp, "dd/MM/yyyy HH:mm"))
+    )
+    size = (
+        F.when(doc % 9 == 1, "n/a").when(doc % 9 == 2, "99999999999999999999")
+        .otherwise(F.concat(F.lit(" "), F.col("n_chars").cast("string"), F.lit(" ")))
+    )
+    files = documents.select(
+        F.concat(folder, F.lit('\\Doc, "'), doc.cast("string"), F.lit('".TXT')).alias("Filename"),
+        size.alias("Size"), time.alias("Date Modified"), F.lit("A").alias("Attributes"),
+    )
+    folders = documents.select(F.concat(folder, F.lit("\\")).alias("Filename")).distinct().select(
+        "Filename", F.lit("").alias("Size"), F.lit("133801632000000000").alias("Date Modified"), F.lit("rd").alias("Attributes")
+    )
+    return files.unionByName(folders)
+
+
+def written_file_list(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch_path(spark, "file-list")
+    rows = file_list_rows(table(spark, sf_dir, "documents"))
+    rows.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    return path
+
+
+def tree_paths(documents: DataFrame) -> DataFrame:
+    """Path and text of every document as a file of a folder tree."""
+    doc = F.col("doc_id")
+    suffix = F.when(doc % 3 == 0, ".TXT").when(doc % 3 == 1, ".tar.gz").otherwise("")
+    hidden = F.when(doc % 4 == 0, ".doc").otherwise("doc")
+    path = F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit("/"), hidden, F.lit("-"), doc.cast("string"), suffix)
+    return documents.select(path.alias("path"), "text")
+
+
+def written_tree(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as real files below a shared folder, written by the executors."""
+    root = scratch_path(spark, "tree").removeprefix("file://").removeprefix("file:")
+
+    def write(batches):
+        import os
+
+        import pandas as pd
+
+        for batch in batches:
+            for path, text in zip(batch["path"], batch["text"]):
+                target = os.path.join(root, path)
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                with open(target, "wb") as file:
+                    file.write(text.encode("utf-8"))
+            yield pd.DataFrame({"files": [len(batch)]})
+
+    paths = tree_paths(table(spark, sf_dir, "documents"))
+    paths.repartition(spark.sparkContext.defaultParallelism).mapInPandas(write, "files long").agg(F.sum("files")).collect()
+    return root
+
+
+def drive_number(snapshot_id: Column) -> Column:
+    """The source number behind a snapshot id of the document archive."""
+    return F.when(snapshot_id >= 1_000_000, snapshot_id - 1_000_000).otherwise(F.floor((snapshot_id - 1) / 2)).cast("int")
+
+
+def merge_target(spark: SparkSession, sf_dir: str) -> Catalog:
+    """The even drives of the document archive."""
+    catalog = stored(spark, sf_dir, "documents")
+    return _part(catalog, lambda n: n % 2 == 0)
+
+
+def merge_source(spark: SparkSession, sf_dir: str) -> Catalog:
+    """Odd drives, which are new to the target, and every third one, which is known to it in part.
+
+    Some new drives carry names that differ from a target name in case only;
+    scans of every twelfth drive are older than the target's.
+    """
+    catalog = _part(stored(spark, sf_dir, "documents"), lambda n: (n % 2 == 1) | (n % 3 == 0))
+    n = F.regexp_extract("name", "src([0-9]+)$", 1).cast("int")
+    clash = F.concat(F.lit("ARCHIVE SRC"), (n + 1).cast("string"))
+    drives = catalog.drives.withColumn("name", F.when(n % 4 == 1, clash).otherwise(F.concat(F.lit("Other "), "name")))
+    older = F.when(drive_number(F.col("id")) % 12 == 0, 10 * DAY).otherwise(0)
+    snapshots = catalog.snapshots.withColumns({
+        "started_at": F.col("started_at") - older, "completed_at": F.col("completed_at") - older,
+    })
+    return catalog.with_(drives=drives, snapshots=snapshots)
+
+
+def _part(catalog: Catalog, chosen) -> Catalog:
+    drives = catalog.drives.where(chosen(F.regexp_extract("name", "src([0-9]+)$", 1).cast("int")))
+    snapshots = catalog.snapshots.where(chosen(drive_number(F.col("id"))))
+    entries = catalog.entries.where(chosen(drive_number(F.col("snapshot_id"))))
+    return catalog.with_(drives=drives, snapshots=snapshots, entries=entries, location=None)
+
+
+def stored_target(spark: SparkSession, sf_dir: str) -> CatalogStore:
+    """The merge target as a store of its own, new on every call."""
+    target = merge_target(spark, sf_dir)
+    store = CatalogStore(spark, scratch_path(spark, "merge-target"), index=False)
+    store.publish(target, new_entries=target.entries)
+    return store
+
+
+def damaged_drives(drives: DataFrame) -> DataFrame:
+    n = F.regexp_extract("name", "src([0-9]+)$", 1).cast("int")
+    return drives.withColumns({
+        "id": F.when(n % 5 == 0, F.upper("id")).otherwise(F.col("id")),
+        "name": F.when(n % 5 == 1, " \t ").otherwise(F.col("name")),
+        "notes": F.when(n % 5 == 2, "a\0b").otherwise(F.col("notes")),
+        "tags": F.when(n % 5 == 3, F.array(F.lit("x\0"))).otherwise(F.col("tags")),
+    })
+
+
+def damaged_snapshots(snapshots: DataFrame) -> DataFrame:
+    i = F.col("id")
+    return snapshots.withColumns({
+        "error_count": F.when(i % 6 == 0, -1).otherwise(F.col("error_count")).cast("long"),
+        "completed_at": F.when(i % 6 == 1, F.col("started_at") - 1).when(i % 6 == 2, 0).otherwise(F.col("completed_at")).cast("long"),
+        "hash_mode": F.when(i % 6 == 3, "weak").otherwise(F.col("hash_mode")),
+        "source_path": F.when(i % 6 == 4, "/a\0").otherwise(F.col("source_path")),
+    })
+
+
+def damaged_entries(entries: DataFrame) -> DataFrame:
+    """Entries of which most break one rule, chosen by size so that every rule is met."""
+    k = F.col("size") % 13
+    path = F.col("path")
+    return entries.withColumns({
+        "path": F.when(k == 1, F.concat(F.lit("/"), path)).when(k == 2, F.concat(path, F.lit("/")))
+        .when(k == 3, F.concat(F.lit("a\\"), path)).when(k == 4, F.concat(F.lit("../"), path))
+        .when(k == 5, F.concat(F.lit("x//"), path)).otherwise(path),
+        "name": F.when(k == 6, F.lit("other")).otherwise(F.col("name")),
+        "parent_path": F.when(k == 7, F.lit("other")).otherwise(F.col("parent_path")),
+        "extension": F.when(k == 8, F.lit("a/b")).otherwise(F.col("extension")),
+        "hash": F.when(k == 9, F.upper(F.concat(F.lit("md5:"), "hash"))).otherwise(F.col("hash")),
+        "kind": F.when(k == 10, F.lit("socket")).otherwise(F.col("kind")),
+        "hidden": F.when(k == 11, F.lit(None)).otherwise(F.col("hidden")),
+        "size": F.when(k == 12, -F.col("size")).otherwise(F.col("size")),
+    })
