@@ -1,4 +1,4 @@
-"""Token postings of catalog entries."""
+"""Search postings of catalog entries."""
 
 from __future__ import annotations
 
@@ -8,20 +8,22 @@ from pyspark.sql import functions as F
 from archidex.functions.text import token_count, token_text, tokens
 
 
-def _occurrences(field: str, found: Column) -> Column:
+def _suffixes(found: Column, in_name: bool) -> Column:
+    """The rest of a token list from every one of its tokens on."""
     return F.transform(
-        found,
-        lambda token, position: F.struct(
-            token.alias("token"), F.lit(field).alias("field"), position.cast("int").alias("position")
+        F.sequence(F.lit(1), F.size(found)),
+        lambda first: F.struct(
+            F.array_join(F.slice(found, first, F.size(found)), " ").alias("suffix"), F.lit(in_name).alias("in_name")
         ),
     )
 
 
 def build_postings(entries: DataFrame) -> DataFrame:
-    """One row per token occurrence in an entry's name and path.
+    """One row per token of an entry's name and path: the field's text from that token on.
 
-    The document length and the name ride along, so that ranking, and its tie
-    break by name, are settled inside the index.
+    A prefix phrase of any number of tokens is a prefix of the suffix, so it
+    is one range of the sorted postings. Document length and name ride along:
+    ranking and its tie break by name are settled inside the index.
     """
     tokenized = entries.select(
         "snapshot_id",
@@ -29,14 +31,18 @@ def build_postings(entries: DataFrame) -> DataFrame:
         "name",
         tokens(F.col("name")).alias("name_tokens"),
         tokens(F.col("path")).alias("path_tokens"),
-    )
+    ).where((F.size("path_tokens") > 0) | (F.size("name_tokens") > 0))
+    lists = [
+        F.when(F.size(column) > 0, _suffixes(F.col(column), in_name)).otherwise(F.array())
+        for column, in_name in (("name_tokens", True), ("path_tokens", False))
+    ]
     return tokenized.select(
         "snapshot_id",
         "entry_id",
         "name",
         (F.size("name_tokens") + F.size("path_tokens")).alias("length"),
-        F.inline(F.concat(_occurrences("name", F.col("name_tokens")), _occurrences("path", F.col("path_tokens")))),
-    ).select("token", "snapshot_id", "entry_id", "field", "position", "length", "name")
+        F.inline(F.concat(*lists)),
+    ).select("suffix", "snapshot_id", "entry_id", "in_name", "length", "name")
 
 
 def postings_stats(entries: DataFrame) -> DataFrame:

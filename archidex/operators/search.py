@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from archidex.functions.paths import nocase
 from archidex.functions.text import occurrences, parse_query, token_count, token_text
 from archidex.schema import BROADCAST_ROWS, Catalog, CatalogError, bounded
+from archidex.session import cut_lineage
 
 # Fixed values of the ranking.
 K1 = 1.2
@@ -28,8 +29,10 @@ HIT_COLUMNS = (
     "id", "snapshot_id", "path", "parent_path", "name", "extension", "kind", "size",
     "modified_at", "hash", "hidden", "drive_id", "drive_name", "location",
 )
-# Batches below this many terms push their terms down into the index scan.
-PUSHED_TERMS = 50
+# Up to this many phrases are pushed down into the index scan as ranges,
+PUSHED_PHRASES = 50
+# up to this many are tested against lists held in the plan, more are joined.
+LISTED_PHRASES = 20_000
 
 
 def _idf(documents: Column, containing: Column) -> Column:
@@ -93,51 +96,31 @@ def _no_hits(catalog: Catalog) -> DataFrame:
     return catalog.current_entries().where(F.lit(False)).select(*HIT_COLUMNS, F.lit(0.0).alias("score"))
 
 
-def _terms(queries: Sequence[str]) -> list[tuple]:
-    """(query_no, phrase_no, offset, token, is_prefix, phrase_length, phrases) per query token."""
-    rows = []
-    for query_no, query in enumerate(queries):
-        phrases = parse_query(query)
-        for phrase_no, phrase in enumerate(phrases or []):
-            for offset, token in enumerate(phrase):
-                last = offset == len(phrase) - 1
-                rows.append((query_no, phrase_no, offset, token, last, len(phrase), len(phrases)))
-    return rows
-
-
-def _matching_postings(postings: DataFrame, terms: list[tuple]) -> DataFrame:
-    """Postings of the terms, each beside the query position it matches."""
-    spark = postings.sparkSession
-    exact = sorted({t[3] for t in terms if not t[4]})
-    prefixes = sorted({t[3] for t in terms if t[4]})
-    if len(exact) + len(prefixes) <= PUSHED_TERMS:
-        wanted = [F.startswith(F.col("token"), F.lit(p)) for p in prefixes]
-        if exact:
-            wanted.append(F.col("token").isin(exact))
-        postings = postings.where(reduce(lambda a, b: a | b, wanted))
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _matches(postings: DataFrame, phrases: list[str]) -> DataFrame:
+    """Frequency of each phrase in each entry that has it: phrase, entry key, length, name, frequency."""
+    suffix = F.col("suffix")
+    lengths: dict[int, list[str]] = {}
+    for phrase in phrases:
+        lengths.setdefault(len(phrase), []).append(phrase)
+    if len(phrases) <= PUSHED_PHRASES:
+        # Sorted suffixes: each phrase is a range, most of the index is never read.
+        postings = postings.where(reduce(lambda a, b: a | b, (F.startswith(suffix, F.lit(p)) for p in phrases)))
+    if len(phrases) <= LISTED_PHRASES:
+        starts = [F.when(F.left(suffix, F.lit(n)).isin(some), F.left(suffix, F.lit(n))) for n, some in lengths.items()]
+        found = F.explode(F.array_compact(F.array(*starts)))
+        keyed = postings.select(found.alias("phrase"), "snapshot_id", "entry_id", "in_name", "length", "name")
     else:
-        shortest = min(len(t) for t in exact + prefixes)
-        starts = sorted({t[:shortest] for t in exact + prefixes})
-        postings = postings.where(F.left(F.col("token"), F.lit(shortest)).isin(starts))
-    # A token can serve as itself and as each prefix length that the batch asks for.
-    token = F.col("token")
-    keys = [F.when(F.length(token) >= n, F.struct(F.left(token, F.lit(n)).alias("term"), F.lit(True).alias("is_prefix")))
-            for n in sorted({len(p) for p in prefixes})]
-    if exact:
-        keys.append(F.struct(token.alias("term"), F.lit(False).alias("is_prefix")))
-    keyed = postings.select(
-        "snapshot_id", "entry_id", "field", "position", "length", "name", F.explode(F.array_compact(F.array(*keys))).alias("key")
-    )
-    lookup = spark.createDataFrame(
-        terms, "query_no int, phrase_no int, offset int, term string, is_prefix boolean, phrase_length int, phrases int"
-    )
-    if len(terms) <= BROADCAST_ROWS:
-        lookup = F.broadcast(lookup)
-    on = (F.col("key.term") == lookup["term"]) & (F.col("key.is_prefix") == lookup["is_prefix"])
-    return keyed.join(lookup, on).select(
-        "query_no", "phrase_no", "phrase_length", "phrases", "snapshot_id", "entry_id", "field",
-        (F.col("position") - F.col("offset")).alias("start"), "length", "name",
-    )
+        starts = [F.when(F.length(suffix) >= n, F.left(suffix, F.lit(n))) for n in lengths]
+        found = F.explode(F.array_compact(F.array(*starts)))
+        keyed = postings.select(found.alias("phrase"), "snapshot_id", "entry_id", "in_name", "length", "name")
+        wanted = postings.sparkSession.createDataFrame([(p,) for p in phrases], "phrase string")
+        keyed = keyed.join(_small(wanted, len(phrases)), "phrase", "left_semi")
+    weight = F.when(F.col("in_name"), NAME_WEIGHT).otherwise(PATH_WEIGHT)
+    return keyed.groupBy("snapshot_id", "entry_id", "phrase", "length", "name").agg(F.sum(weight).alias("frequency"))
 
 
 def search_batch(
@@ -145,69 +128,71 @@ def search_batch(
 ) -> DataFrame:
     """Hits of many queries from the postings, in one job.
 
-    All groupings share one layout by (query, entry); a query that matches a
-    large part of the catalog is spread over all tasks until its top hits are
-    picked, and that pick starts before the shuffle.
+    A phrase is looked up once however many queries share it. A query of
+    several phrases starts from the entries of its rarest one, so a common
+    word beside it costs a join and not a list of all entries. Hits are keyed
+    by entry, which has no hot key, and the pick of the top hits starts
+    before its shuffle.
     """
     if catalog.postings is None or catalog.postings_stats is None:
         raise CatalogError("the catalog has no token index")
     limit = bounded("search", limit)
     spark = catalog.spark
-    texts = spark.createDataFrame(list(enumerate(queries)) or [(0, "")], "query_no int, query string")
-    terms = _terms(queries)
-    if not terms:
-        empty = _no_hits(catalog).withColumns({"query_no": F.lit(0), "query": F.lit(""), "rank": F.lit(0)})
-        return empty.select("query_no", "query", "rank", *HIT_COLUMNS, "score")
-
-    matched = _matching_postings(catalog.postings, terms).repartition("query_no", "snapshot_id", "entry_id")
-    weight = F.when(F.col("field") == "name", NAME_WEIGHT).otherwise(PATH_WEIGHT)
-    entry = ["query_no", "snapshot_id", "entry_id"]
-    if max(t[5] for t in terms) > 1:
-        # An occurrence is a start position at which all tokens of the phrase are found.
-        matched = (
-            matched.groupBy(*entry, "phrase_no", "phrase_length", "phrases", "field", "start", "length", "name")
-            .agg(F.count(F.lit(1)).alias("found")).where(F.col("found") == F.col("phrase_length"))
-        )
-    per_phrase = matched.groupBy(*entry, "phrase_no", "phrases", "length", "name").agg(F.sum(weight).alias("frequency"))
-
-    containing = per_phrase.groupBy("query_no", "phrase_no").agg(F.count(F.lit(1)).alias("containing"))
-    if len(terms) <= BROADCAST_ROWS:
-        containing = F.broadcast(containing)
+    parsed = {n: [" ".join(p) for p in parse_query(text) or []] for n, text in enumerate(queries)}
+    wants = [
+        (n, phrase, phrases.count(phrase), len(set(phrases)))
+        for n, phrases in parsed.items() for phrase in dict.fromkeys(phrases)
+    ]
+    if not wants:
+        none = _no_hits(catalog).withColumns({"query_no": F.lit(0), "query": F.lit(""), "rank": F.lit(0)})
+        return none.select("query_no", "query", "rank", *HIT_COLUMNS, "score")
+    texts = _small(spark.createDataFrame(list(enumerate(queries)), "query_no int, query string"), len(queries))
+    wanted = spark.createDataFrame(wants, "query_no int, phrase string, times int, phrases int")
+
+    matches = _matches(catalog.postings, sorted({w[1] for w in wants}))
+    if len(wants) > PUSHED_PHRASES:
+        matches = cut_lineage(matches)
+    containing = matches.groupBy("phrase").agg(F.count(F.lit(1)).alias("containing"))
+    known = wanted.join(containing, "phrase")
+    # Corpus figures have seen all history; the hits are the current view's.
+    drives = catalog.current_drives(drive_id).select(
+        F.col("latest_snapshot_id").alias("snapshot_id"), F.col("id").alias("drive_id"),
+        F.col("name").alias("drive_name"), "location",
+    )
+    current = matches.join(catalog.small_drives(drives.select("snapshot_id")), "snapshot_id", "left_semi")
     figures = catalog.postings_stats.agg(
         F.struct(
             F.sum("docs").cast("double").alias("documents"), (F.sum("tokens") / F.sum("docs")).alias("mean")
         ).alias("figures")
     )
-    # The current view is cut first: corpus figures above still saw all history.
-    drives = catalog.current_drives(drive_id).select(
-        F.col("latest_snapshot_id").alias("snapshot_id"), F.col("id").alias("drive_id"),
-        F.col("name").alias("drive_name"), "location",
-    )
-    current = per_phrase.join(catalog.small_drives(drives.select("snapshot_id")), "snapshot_id", "left_semi")
+    entry = ["query_no", "snapshot_id", "entry_id"]
+    if max(w[3] for w in wants) == 1:
+        hits = current.join(_small(known, len(wants)), "phrase")
+    else:
+        by_rarity = Window.partitionBy("query_no").orderBy("containing", "phrase")
+        lead = known.withColumn("place", F.row_number().over(by_rarity)).where(F.col("place") == 1)
+        candidates = current.select("snapshot_id", "entry_id", "phrase").join(
+            _small(lead.select("query_no", "phrase"), len(queries)), "phrase"
+        ).drop("phrase")
+        asked = candidates.join(_small(known, len(wants)), "query_no")
+        hits = asked.join(current, ["snapshot_id", "entry_id", "phrase"])
     corpus = F.col("figures")
+    part = F.col("times") * _term_score(
+        _idf(corpus["documents"], F.col("containing").cast("double")), F.col("frequency"), F.col("length"), corpus["mean"]
+    )
     scored = (
-        current.join(containing, ["query_no", "phrase_no"])
-        .withColumn("figures", figures.scalar())
-        .withColumn(
-            "part",
-            _term_score(
-                _idf(corpus["documents"], F.col("containing").cast("double")),
-                F.col("frequency"), F.col("length"), corpus["mean"],
-            ),
-        )
+        hits.withColumn("figures", figures.scalar()).withColumn("part", part)
         .groupBy(*entry, "phrases", "name")
         .agg(F.count(F.lit(1)).alias("matched"), (-F.sum("part")).alias("score"))
         .where(F.col("matched") == F.col("phrases"))
     )
     order = Window.partitionBy("query_no").orderBy("score", nocase(F.col("name")), "name", "snapshot_id", "entry_id")
     top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
-    top = top.select("query_no", "snapshot_id", F.col("entry_id").alias("id"), "rank", "score")
-    if limit * len(queries) <= BROADCAST_ROWS:
-        top = F.broadcast(top)
+    top = _small(top.select("query_no", "snapshot_id", F.col("entry_id").alias("id"), "rank", "score"), limit * len(queries))
     columns = [c for c in HIT_COLUMNS if c not in ("drive_id", "drive_name", "location")]
-    hits = catalog.entries.select(*columns).join(top, ["snapshot_id", "id"])
-    hits = hits.join(catalog.small_drives(drives), "snapshot_id").join(F.broadcast(texts) if len(queries) <= BROADCAST_ROWS else texts, "query_no")
-    return hits.orderBy("query_no", "rank").select("query_no", "query", "rank", *HIT_COLUMNS, "score")
+    found = catalog.entries.select(*columns).join(top, ["snapshot_id", "id"])
+    found = found.join(catalog.small_drives(drives), "snapshot_id").join(texts, "query_no")
+    return found.orderBy("query_no", "rank").select("query_no", "query", "rank", *HIT_COLUMNS, "score")
 
 
 def search(

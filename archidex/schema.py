@@ -79,11 +79,10 @@ IMPORTS = T.StructType([
 ])
 
 POSTINGS = T.StructType([
-    T.StructField("token", T.StringType()),
+    T.StructField("suffix", T.StringType()),
     T.StructField("snapshot_id", T.LongType()),
     T.StructField("entry_id", T.LongType()),
-    T.StructField("field", T.StringType()),
-    T.StructField("position", T.IntegerType()),
+    T.StructField("in_name", T.BooleanType()),
     T.StructField("length", T.IntegerType()),
     T.StructField("name", T.StringType()),
 ])

@@ -210,7 +210,7 @@ class CatalogStore:
 
     def _write_postings(self, batch: int, stored: DataFrame) -> None:
         path = f"{self.root}/postings/batch={batch}"
-        keys = ["token", "snapshot_id", "entry_id"]
+        keys = ["suffix", "snapshot_id", "entry_id"]
         index = conform(build_postings(stored), POSTINGS)
         index.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
         stats_path = f"{self.root}/postings_stats/batch={batch}"
