@@ -18,9 +18,17 @@ def trim_space(value: Column) -> Column:
     return F.trim(value, F.lit(WHITESPACE))
 
 
+def is_ascii(value: Column) -> Column:
+    return F.octet_length(value) == F.char_length(value)
+
+
 def nocase(value: Column) -> Column:
-    """ASCII-only case folding: the key for names that differ in case alone."""
-    return F.translate(value, string.ascii_uppercase, string.ascii_lowercase)
+    """ASCII-only case folding: the key for names that differ in case alone.
+
+    Plain ASCII text, the usual case, takes the faster ``lower``.
+    """
+    folded = F.translate(value, string.ascii_uppercase, string.ascii_lowercase)
+    return F.when(is_ascii(value), F.lower(value)).otherwise(folded)
 
 
 def forward_slashes(value: Column) -> Column:

@@ -15,6 +15,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from archidex.functions.paths import is_ascii
+
 # Fixed values of the tokenizer being matched. Ranges are inclusive.
 # Combining marks that vanish inside a token.
 DELETED_MARKS = (
@@ -35,6 +37,7 @@ UNFOLDED = (
 IRREGULAR = {"İ": "i", "Ǡ": "ǡ", "ǡ": "ǡ"}
 
 SEPARATOR_PATTERN = r"[^\p{L}\p{N}\p{Co}]+"
+ASCII_SEPARATOR_PATTERN = "[^a-z0-9]+"
 
 
 def _inside(code: int, ranges: tuple[tuple[int, int], ...]) -> bool:
@@ -73,12 +76,14 @@ def fold_table() -> tuple[str, str]:
 
 
 def token_text(value: Column) -> Column:
-    """Folded tokens of ``value``, each with a space before it; empty without tokens."""
-    folded = F.translate(value, *fold_table())
-    spaced = F.rtrim(F.regexp_replace(folded, SEPARATOR_PATTERN, " "))
-    return F.when(spaced == "", spaced).when(F.startswith(spaced, F.lit(" ")), spaced).otherwise(
-        F.concat(F.lit(" "), spaced)
-    )
+    """Folded tokens of ``value``, each with a space before it; empty without tokens.
+
+    ASCII text takes a short cut around the folding table, to the same result.
+    """
+    folded = F.regexp_replace(F.translate(value, *fold_table()), SEPARATOR_PATTERN, " ")
+    plain = F.regexp_replace(F.lower(value), ASCII_SEPARATOR_PATTERN, " ")
+    words = F.when(is_ascii(value), plain).otherwise(folded)
+    return F.rtrim(F.concat(F.lit(" "), F.ltrim(words)))
 
 
 def token_count(text: Column) -> Column:

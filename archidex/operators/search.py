@@ -29,6 +29,7 @@ HIT_COLUMNS = (
     "id", "snapshot_id", "path", "parent_path", "name", "extension", "kind", "size",
     "modified_at", "hash", "hidden", "drive_id", "drive_name", "location",
 )
+ENTRY_COLUMNS = HIT_COLUMNS[:11]
 # Up to this many phrases are pushed down into the index scan as ranges,
 PUSHED_PHRASES = 50
 # up to this many are tested against lists held in the plan, more are joined.
@@ -55,6 +56,30 @@ def _with_text(entries: DataFrame) -> DataFrame:
     return texts.withColumn("length", token_count(F.col("name_text")) + token_count(F.col("path_text")))
 
 
+def _ranked(hits: DataFrame, phrases: int, figures: Column, limit: int) -> DataFrame:
+    """The best ``limit`` of hits that carry length, name and one frequency per phrase."""
+    hits = hits.where(reduce(lambda a, b: a & b, (F.col(f"f{i}") > 0 for i in range(phrases))))
+    hits = hits.withColumn("figures", figures)
+    corpus = F.col("figures")
+    total = reduce(
+        lambda a, b: a + b,
+        (
+            _term_score(_idf(corpus["documents"], corpus[f"n{i}"]), F.col(f"f{i}"), F.col("length"), corpus["mean"])
+            for i in range(phrases)
+        ),
+    )
+    return hits.withColumn("score", -total).orderBy("score", *_tie_break(hits)).limit(limit)
+
+
+def _tie_break(hits: DataFrame) -> list[Column]:
+    last = ["path", "drive_id"] if "path" in hits.columns else ["snapshot_id", "entry_id"]
+    return [nocase(F.col("name")), F.col("name"), *map(F.col, last)]
+
+
+def _containing(phrases: int) -> list[Column]:
+    return [F.count_if(F.col(f"f{i}") > 0).cast("double").alias(f"n{i}") for i in range(phrases)]
+
+
 def search_scan(
     catalog: Catalog, query: str, drive_id: str | None = None, limit: int | None = None, corpus: str = "all"
 ) -> DataFrame:
@@ -63,33 +88,65 @@ def search_scan(
     phrases = parse_query(query)
     if phrases is None:
         return _no_hits(catalog)
+    frequencies = {f"f{i}": _frequency(p) for i, p in enumerate(phrases)}
     documents = catalog.entries if corpus == "all" else catalog.current_entries("name", "path")
-    figures = _with_text(documents.select("name", "path")).agg(
+    figures = _with_text(documents.select("name", "path")).withColumns(frequencies).agg(
         F.struct(
-            F.count(F.lit(1)).cast("double").alias("documents"),
-            F.avg("length").alias("mean"),
-            *[F.count_if(_frequency(p) > 0).cast("double").alias(f"n{i}") for i, p in enumerate(phrases)],
+            F.count(F.lit(1)).cast("double").alias("documents"), F.avg("length").alias("mean"), *_containing(len(phrases))
         ).alias("figures")
     )
-    columns = [c for c in HIT_COLUMNS if c not in ("drive_id", "drive_name", "location")]
-    hits = _with_text(catalog.current_entries(*columns, drive_id=drive_id))
-    frequencies = {f"f{i}": _frequency(p) for i, p in enumerate(phrases)}
-    hits = hits.withColumns(frequencies).where(reduce(lambda a, b: a & b, (F.col(f) > 0 for f in frequencies)))
-    hits = hits.withColumn("figures", figures.scalar())
-    corpus_figures = F.col("figures")
-    total = reduce(
-        lambda a, b: a + b,
-        (
-            _term_score(
-                _idf(corpus_figures["documents"], corpus_figures[f"n{i}"]),
-                F.col(f"f{i}"), F.col("length"), corpus_figures["mean"],
-            )
-            for i in range(len(phrases))
-        ),
+    hits = _with_text(catalog.current_entries(*ENTRY_COLUMNS, drive_id=drive_id)).withColumns(frequencies)
+    return _ranked(hits, len(phrases), figures.scalar(), limit).select(*HIT_COLUMNS, "score")
+
+
+def search_index(
+    catalog: Catalog, query: str, drive_id: str | None = None, limit: int | None = None
+) -> DataFrame:
+    """Search by the postings: each phrase is a range of the sorted suffixes.
+
+    The hits are ranked inside the index; the entries of the best ones, at
+    most as many as the limit allows, are then fetched by their keys.
+    """
+    _require_index(catalog)
+    limit = bounded("search", limit)
+    phrases = [" ".join(p) for p in parse_query(query) or []]
+    if not phrases:
+        return _no_hits(catalog)
+    suffix = F.col("suffix")
+    weight = _posting_weight()
+    starts = [F.startswith(suffix, F.lit(p)) for p in phrases]
+    entries = (
+        catalog.postings.where(reduce(lambda a, b: a | b, starts))
+        .groupBy("snapshot_id", "entry_id", "length", "name")
+        .agg(*[F.sum(F.when(start, weight).otherwise(0.0)).alias(f"f{i}") for i, start in enumerate(starts)])
+    )
+    counted = entries.agg(F.struct(*_containing(len(phrases))).alias("counted")).scalar()
+    totals = catalog.postings_stats.agg(F.sum("docs").cast("double").alias("docs"), F.sum("tokens").alias("tokens"))
+    totals = totals.select(F.struct("docs", (F.col("tokens") / F.col("docs")).alias("mean"))).scalar()
+    figures = F.struct(
+        totals["docs"].alias("documents"), totals["mean"].alias("mean"),
+        *[counted[f"n{i}"].alias(f"n{i}") for i in range(len(phrases))],
     )
-    scored = hits.withColumn("score", -total)
-    ordered = scored.orderBy("score", nocase(F.col("name")), "name", "path", "drive_id").limit(limit)
-    return ordered.select(*HIT_COLUMNS, "score")
+    current = catalog.current_drives(drive_id).select(F.col("latest_snapshot_id").alias("snapshot_id"))
+    hits = entries.join(catalog.small_drives(current), "snapshot_id", "left_semi")
+    top = _ranked(hits, len(phrases), figures, limit).select("snapshot_id", F.col("entry_id").alias("id"), "score").collect()
+    if not top:
+        return _no_hits(catalog)
+    keys = catalog.spark.createDataFrame(top, "snapshot_id long, id long, score double")
+    by_key = F.col("snapshot_id").isin(sorted({r["snapshot_id"] for r in top})) & F.col("id").isin([r["id"] for r in top])
+    found = catalog.current_entries(*ENTRY_COLUMNS, drive_id=drive_id).where(by_key)
+    found = found.join(F.broadcast(keys), ["snapshot_id", "id"])
+    return found.orderBy("score", *_tie_break(found)).select(*HIT_COLUMNS, "score")
+
+
+def _posting_weight() -> Column:
+    """A posting inside the name counts for the name and for the path that ends with it."""
+    return F.when(F.col("in_name"), NAME_WEIGHT + PATH_WEIGHT).otherwise(PATH_WEIGHT)
+
+
+def _require_index(catalog: Catalog) -> None:
+    if catalog.postings is None or catalog.postings_stats is None:
+        raise CatalogError("the catalog has no token index")
 
 
 def _no_hits(catalog: Catalog) -> DataFrame:
@@ -119,7 +176,7 @@ def _matches(postings: DataFrame, phrases: list[str]) -> DataFrame:
         keyed = postings.select(found.alias("phrase"), "snapshot_id", "entry_id", "in_name", "length", "name")
         wanted = postings.sparkSession.createDataFrame([(p,) for p in phrases], "phrase string")
         keyed = keyed.join(_small(wanted, len(phrases)), "phrase", "left_semi")
-    weight = F.when(F.col("in_name"), NAME_WEIGHT).otherwise(PATH_WEIGHT)
+    weight = _posting_weight()
     return keyed.groupBy("snapshot_id", "entry_id", "phrase", "length", "name").agg(F.sum(weight).alias("frequency"))
 
 
@@ -134,8 +191,7 @@ def search_batch(
     by entry, which has no hot key, and the pick of the top hits starts
     before its shuffle.
     """
-    if catalog.postings is None or catalog.postings_stats is None:
-        raise CatalogError("the catalog has no token index")
+    _require_index(catalog)
     limit = bounded("search", limit)
     spark = catalog.spark
     parsed = {n: [" ".join(p) for p in parse_query(text) or []] for n, text in enumerate(queries)}
@@ -189,8 +245,7 @@ def search_batch(
     order = Window.partitionBy("query_no").orderBy("score", nocase(F.col("name")), "name", "snapshot_id", "entry_id")
     top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     top = _small(top.select("query_no", "snapshot_id", F.col("entry_id").alias("id"), "rank", "score"), limit * len(queries))
-    columns = [c for c in HIT_COLUMNS if c not in ("drive_id", "drive_name", "location")]
-    found = catalog.entries.select(*columns).join(top, ["snapshot_id", "id"])
+    found = catalog.entries.select(*ENTRY_COLUMNS).join(top, ["snapshot_id", "id"])
     found = found.join(catalog.small_drives(drives), "snapshot_id").join(texts, "query_no")
     return found.orderBy("query_no", "rank").select("query_no", "query", "rank", *HIT_COLUMNS, "score")
 
@@ -201,4 +256,4 @@ def search(
     """Best hits of one query: from the token index if there is one, else by scanning."""
     if catalog.postings is None:
         return search_scan(catalog, query, drive_id, limit)
-    return search_batch(catalog, [query], drive_id, limit).orderBy("rank").select(*HIT_COLUMNS, "score")
+    return search_index(catalog, query, drive_id, limit)

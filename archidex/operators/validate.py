@@ -6,6 +6,8 @@ means the check passed.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +16,9 @@ from archidex.functions.paths import base_name, parent_of, trim_space
 from archidex.operators.lifecycle import entry_counters
 from archidex.schema import HASH_MODES, KINDS, Catalog
 
-# The forms of drive ids and of unsafe path segments.
+# The form of drive ids; segments that are empty, here or above.
 DRIVE_ID_PATTERN = "^drv_[0-9a-f]{12}$"
-UNSAFE_SEGMENT = r"(?:^|/)(?:\.{0,2})(?:/|(?![\s\S]))"
+UNSAFE_SEGMENTS = ("//", "/./", "/../")
 NUL = "\0"
 LONG_MAX = 2**63 - 1
 
@@ -25,6 +27,11 @@ def _has_nul(value: Column) -> Column:
     return F.contains(value, F.lit(NUL))
 
 
+def _has_any(value: Column, *parts: str) -> Column:
+    """Whether one of the texts occurs; plain searches, as this runs on every entry."""
+    return reduce(lambda a, b: a | b, (F.contains(value, F.lit(part)) for part in parts))
+
+
 def _first_problem(*checks: tuple[Column, str]) -> Column:
     problem = F.when(checks[0][0], checks[0][1])
     for condition, text in checks[1:]:
@@ -57,13 +64,14 @@ def snapshot_problem() -> Column:
 
 def entry_problem() -> Column:
     path, name, extension, value = F.col("path"), F.col("name"), F.col("extension"), F.col("hash")
-    bad_path = (path == "") | path.rlike(r"[\\\x00]") | path.rlike(r"^/|/\z")
+    slash = F.lit("/")
+    bad_path = (path == "") | _has_any(path, "\\", NUL) | F.startswith(path, slash) | F.endswith(path, slash)
     return _first_problem(
         (bad_path, "invalid path"),
-        (path.rlike(UNSAFE_SEGMENT), "unsafe path"),
-        ((name == "") | name.rlike(r"[/\\\x00]") | (base_name(path) != name), "inconsistent name"),
+        (_has_any(F.concat(slash, path, slash), *UNSAFE_SEGMENTS), "unsafe path"),
+        ((name == "") | _has_any(name, "/", "\\", NUL) | (base_name(path) != name), "inconsistent name"),
         (F.col("parent_path") != parent_of(path), "inconsistent parent"),
-        (extension.rlike(r"[/\\\x00]") | _has_nul(value) | (F.octet_length(value) > 256), "invalid metadata"),
+        (_has_any(extension, "/", "\\", NUL) | _has_nul(value) | (F.octet_length(value) > 256), "invalid metadata"),
         ((value != "") & ~value.rlike(FINGERPRINT_PATTERN), "invalid fingerprint"),
         (F.col("size") < 0, "negative size"),
         (~F.col("kind").isin(*KINDS), "invalid kind"),

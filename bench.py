@@ -13,7 +13,7 @@ import time
 
 from archidex.operators import browse, diff, duplicates, export, merge, search, stats
 from archidex.plans import derive, registry
-from archidex.session import build_session, scratch_path
+from archidex.session import build_session, cut_lineage, scratch_path
 from archidex.sources.filelist import read_file_list
 from archidex.sources.store import CatalogStore
 
@@ -46,10 +46,9 @@ def main() -> None:
     queries: dict[str, float] = {}
 
     # The source rows are materialized first, so that ingest times the catalog's own work.
-    staged = scratch_path(spark, "bench-input")
     lazy = derive.order_catalog(derive.table(spark, SF_DIR, "lineitem"))
-    lazy.entries.write.parquet(staged)
-    source = lazy.with_(entries=spark.read.schema(lazy.entries.schema).parquet(staged))
+    entries = cut_lineage(lazy.entries.repartition(2 * CPUS))
+    source = lazy.with_(entries=entries, snapshots=cut_lineage(lazy.snapshots), drives=cut_lineage(lazy.drives))
     rows = source.entries.count()
 
     plain = CatalogStore(spark, scratch_path(spark, "bench-plain"), index=False)
