@@ -15,7 +15,8 @@ FINGERPRINT_PATTERN = "^(quick|sha256):[0-9a-f]{64}$"
 
 
 def has_scheme(value: Column, scheme: str) -> Column:
-    return nocase(F.left(value, F.lit(len(scheme)))) == scheme
+    """Whether the fingerprint starts with the scheme, in any ASCII case."""
+    return F.startswith(value, F.lit(scheme)) | (nocase(F.left(value, F.lit(len(scheme)))) == scheme)
 
 
 def full_fingerprint(content: Column) -> Column:

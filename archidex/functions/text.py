@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import functools
 import re
-import sys
 import unicodedata
 
 from pyspark.sql import Column
@@ -113,11 +112,15 @@ def _overlaps_itself(phrase: list[str]) -> bool:
     )
 
 
+@functools.cache
+def _fold_map() -> dict[int, str | None]:
+    source, target = fold_table()
+    return {ord(c): (target[i] if i < len(target) else None) for i, c in enumerate(source)}
+
+
 def fold_tokens(value: str) -> list[str]:
     """Driver-side twin of ``tokens`` for the words of a query."""
-    source, target = fold_table()
-    table = {ord(c): (target[i] if i < len(target) else None) for i, c in enumerate(source)}
-    return "".join(c if _is_token_char(c) else " " for c in value.translate(table)).split()
+    return "".join(c if _is_token_char(c) else " " for c in value.translate(_fold_map())).split()
 
 
 def parse_query(query: str) -> list[list[str]] | None:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archidex.functions.fingerprints import FULL, has_scheme
-from archidex.operators.validate import entry_problem
+from archidex.operators.validate import NUL, entry_problem
 from archidex.schema import Catalog
 
 STEP = 3  # hex digits folded per level: at most 4096 children per inner node
@@ -59,7 +59,8 @@ def snapshot_summary(catalog: Catalog) -> DataFrame:
         "snapshot_id",
         "depth",
         F.sha2("path", 256).alias("path_hash"),
-        F.sha2(_framed(*[F.col(c) for c in _ENTRY_FIELDS]), 256).alias("node"),
+        # No valid field holds a NUL, so it separates them; other entries fail the check below.
+        F.sha2(F.concat_ws(NUL, *[F.col(c).cast("string") for c in _ENTRY_FIELDS]), 256).alias("node"),
         is_file.cast("long").alias("files"),
         (F.col("kind") == "directory").cast("long").alias("directories"),
         F.when(is_file, F.col("size")).otherwise(0).cast("decimal(19,0)").alias("bytes"),

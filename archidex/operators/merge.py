@@ -183,8 +183,14 @@ def validated_digests(source: Catalog) -> DataFrame:
     """Digests and counters of complete source snapshots after all source checks passed."""
     check_schema_version(source.version)
     _require_none(validate.check_relationships(source), "relationships are broken")
-    _require_none(validate.validate_drives(source.drives), "drive is invalid")
-    _require_none(validate.validate_snapshots(source.snapshots), "snapshot is invalid")
+    invalid = [
+        df.select(F.lit(what).alias("what"), F.col("id").cast("string").alias("id"), "problem")
+        for what, df in (
+            ("drive is invalid", validate.validate_drives(source.drives)),
+            ("snapshot is invalid", validate.validate_snapshots(source.snapshots)),
+        )
+    ]
+    _require_none(invalid[0].unionAll(invalid[1]), "drive or snapshot")
     # The only pass over the source entries before they are copied.
     summary = cut_lineage(snapshot_summary(source))
     _require_none(summary.where(F.col("problem").isNotNull()).select("snapshot_id", "problem"), "entry is invalid")

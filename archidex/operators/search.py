@@ -167,7 +167,9 @@ def _matches(postings: DataFrame, phrases: list[str]) -> DataFrame:
         # Sorted suffixes: each phrase is a range, most of the index is never read.
         postings = postings.where(reduce(lambda a, b: a | b, (F.startswith(suffix, F.lit(p)) for p in phrases)))
     if len(phrases) <= LISTED_PHRASES:
-        starts = [F.when(F.left(suffix, F.lit(n)).isin(some), F.left(suffix, F.lit(n))) for n, some in lengths.items()]
+        # Tokens hold letters and digits only, so the phrases need no quoting.
+        lists = {n: ", ".join(f"'{p}'" for p in some) for n, some in lengths.items()}
+        starts = [F.expr(f"case when left(suffix, {n}) in ({some}) then left(suffix, {n}) end") for n, some in lists.items()]
         found = F.explode(F.array_compact(F.array(*starts)))
         keyed = postings.select(found.alias("phrase"), "snapshot_id", "entry_id", "in_name", "length", "name")
     else:

@@ -65,8 +65,11 @@ def snapshot_problem() -> Column:
 def entry_problem() -> Column:
     path, name, extension, value = F.col("path"), F.col("name"), F.col("extension"), F.col("hash")
     slash = F.lit("/")
+    required = ("path", "parent_path", "name", "extension", "kind", "size", "modified_at", "hash")
+    missing = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in required))
     bad_path = (path == "") | _has_any(path, "\\", NUL) | F.startswith(path, slash) | F.endswith(path, slash)
     return _first_problem(
+        (missing, "missing value"),
         (bad_path, "invalid path"),
         (_has_any(F.concat(slash, path, slash), *UNSAFE_SEGMENTS), "unsafe path"),
         ((name == "") | _has_any(name, "/", "\\", NUL) | (base_name(path) != name), "inconsistent name"),

@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from archidex.operators import lifecycle
 from archidex.operators.postings import build_postings, postings_stats
 from archidex.schema import (
+    BROADCAST_ROWS,
     DRIVES,
     ENTRIES,
     IMPORTS,
@@ -254,9 +255,10 @@ class CatalogStore:
             batches.append(batch + 1)
             if self.index:
                 # The rows keep their ids and texts, so only an empty index part is added.
-                conform(build_postings(stored.limit(0)), POSTINGS).write.parquet(f"{self.root}/postings/batch={batch + 1}")
-                none = self.spark.createDataFrame([(0, 0)], "docs long, tokens long")
-                none.write.parquet(f"{self.root}/postings_stats/batch={batch + 1}")
+                none = empty(self.spark, POSTINGS)
+                none.write.mode("overwrite").parquet(f"{self.root}/postings/batch={batch + 1}")
+                zero = self.spark.createDataFrame([(0, 0)], "docs long, tokens long")
+                zero.write.mode("overwrite").parquet(f"{self.root}/postings_stats/batch={batch + 1}")
                 indexed.append(batch + 1)
         rows = self._write_small(version, tables)
         self._publish(Manifest(version, SCHEMA_VERSION, tuple(batches), tuple(superseded), tuple(indexed), rows))
@@ -297,9 +299,8 @@ class CatalogStore:
         now = int(time.time()) if now is None else now
         catalog = self.initialize()
         numbered = lifecycle.number_scans(catalog, headers)
-        located = entries.join(F.broadcast(numbered.select("scan_key", F.col("id").alias("snapshot_id"))), "scan_key") \
-            if numbered.count() <= 10_000 else \
-            entries.join(numbered.select("scan_key", F.col("id").alias("snapshot_id")), "scan_key")
+        ids = numbered.select("scan_key", F.col("id").alias("snapshot_id"))
+        located = entries.join(F.broadcast(ids) if numbered.count() <= BROADCAST_ROWS else ids, "scan_key")
         snapshots = catalog.snapshots.unionByName(lifecycle.completed_rows(numbered, now))
         drives = lifecycle.point_to_latest(catalog.drives, numbered, now)
         return self.publish(catalog.with_(drives=drives, snapshots=snapshots), new_entries=located, counted=True)

@@ -232,3 +232,15 @@ def test_empty_snapshot_is_imported(spark, target):
     source = catalog_of(spark, [{"id": A, "name": "a"}], [{"id": 4, "drive_id": A}], [])
     assert report(merge.merge_catalog(target, source)) == {"drives_added": 1, "snapshots_imported": 1}
     assert report(merge.merge_catalog(target, source)) == {"drives_merged": 1, "snapshots_skipped": 1}
+
+
+def test_search_survives_a_flip(spark, tmp_path):
+    from archidex.operators.search import search
+
+    store = CatalogStore(spark, str(tmp_path / "indexed"))
+    source = source_catalog(spark)
+    merge.merge_catalog(store, source)
+    before = rows(search(store.load(), "x bin"))
+    merge.merge_catalog(store, source, trust=True)
+    after = rows(search(store.load(), "x bin"))
+    assert len(before) == 1 and {**after[0], "hash": ""} == before[0] and after[0]["hash"] == FULL
