@@ -347,19 +347,30 @@ def remap_snapshots(spark, sf_dir):
     return merge.remap_snapshots(_planned(spark, sf_dir), base).select("id", "drive_id", "target_id")
 
 
-def _merged(spark: SparkSession, sf_dir: str, trust: bool = False) -> tuple[CatalogStore, merge.MergePlan]:
+def _merge_anew(spark: SparkSession, sf_dir: str) -> tuple[CatalogStore, merge.MergePlan]:
     store = derive.stored_target(spark, sf_dir)
-    plan = merge.merge_catalog(store, derive.merge_source(spark, sf_dir), rename_conflicts=True, trust=trust, now=NOW)
+    plan = merge.merge_catalog(store, derive.merge_source(spark, sf_dir), rename_conflicts=True, now=NOW)
     return store, plan
 
 
+_merges: dict[tuple[str, str], tuple[CatalogStore, merge.MergePlan]] = {}
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> tuple[CatalogStore, merge.MergePlan]:
+    """A finished merge that the queries which only read its outcome share."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _merges:
+        _merges[key] = _merge_anew(spark, sf_dir)
+    return _merges[key]
+
+
 def copy_entries(spark, sf_dir):
     store, _ = _merged(spark, sf_dir)
     return store.load().entries.select(*_ENTRY)
 
 
 def apply_hash_policy(spark, sf_dir):
-    store, _ = _merged(spark, sf_dir)
+    store, _ = _merge_anew(spark, sf_dir)
     merge.merge_catalog(store, derive.merge_source(spark, sf_dir), rename_conflicts=True, trust=True, now=NOW + 1)
     return store.load().entries.select(*_ENTRY)
 
