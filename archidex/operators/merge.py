@@ -305,6 +305,8 @@ def merge_catalog(
         plan.replaced_entries.write.format("noop").mode("overwrite").save()
         return plan
     report = plan.report.head()
+    if not (report["drives_added"] or report["snapshots_imported"] or report["snapshots_updated"]):
+        return plan
     target.publish(
         {"drives": plan.drives, "snapshots": plan.snapshots, "imports": plan.imports},
         new_entries=plan.new_entries if report["snapshots_imported"] else None,
