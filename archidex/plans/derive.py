@@ -204,17 +204,19 @@ def order_files(lineitem: DataFrame) -> DataFrame:
     path = F.concat(
         F.lit("Archive/part-"), (part % 4096).cast("string"), F.lit("/"),
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), part.cast("string"),
-                    F.col("l_suppkey").cast("string")),
+                    F.col("l_suppkey").cast("string"), F.col("l_quantity").cast("int").cast("string")),
         F.lit("."), F.lower("l_returnflag"),
     )
     old = F.col("v") == 1
-    return _both_scans(lineitem).where(~old | (F.col("l_orderkey") % 11 != 0)).select(
+    files = _both_scans(lineitem).where(~old | (F.col("l_orderkey") % 11 != 0)).select(
         F.col("v").cast("long").alias("snapshot_id"),
         path.alias("path"),
         (part + 100 + F.when(old & (part % 13 == 0), 1).otherwise(0)).alias("size"),
         F.unix_timestamp("l_shipdate").alias("modified_at"),
         F.concat(F.lit(FULL), F.sha2(F.concat_ws("-", part.cast("string"), F.col("l_quantity").cast("string")), 256)).alias("hash"),
     )
+    # Line items can repeat in all of these columns; a path names one file.
+    return files.groupBy("snapshot_id", "path", "size", "hash").agg(F.max("modified_at").alias("modified_at"))
 
 
 def order_catalog(lineitem: DataFrame) -> Catalog:

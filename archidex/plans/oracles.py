@@ -453,8 +453,8 @@ where drive_id = (select drive_id from owners where n = 1) order by {_key('path'
     "duplicates_drive": _ARCHIVE + _duplicates("current", "and drive_name = 'Archive src8'", 200),
     "duplicates_orders": r"""
 with orders_view as (
-  select 'file' as kind, 'drv_' || substr(sha256('Orders'), 1, 12) as drive_id, 'Orders' as drive_name,
-    'Archive/part-' || l_partkey % 4096 || '/' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '.'
+  select distinct 'file' as kind, 'drv_' || substr(sha256('Orders'), 1, 12) as drive_id, 'Orders' as drive_name,
+    'Archive/part-' || l_partkey % 4096 || '/' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || cast(l_quantity as int) || '.'
       || lower(l_returnflag) as path,
     l_partkey + 100 as size, 'sha256:' || sha256(l_partkey || '-' || l_quantity) as hash
   from lineitem
