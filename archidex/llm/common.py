@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
 
@@ -41,3 +42,16 @@ def gather(blob: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     ends = np.cumsum(sizes)
     shift = np.repeat(starts.astype(np.int64) - (ends - sizes), sizes)
     return blob[shift + np.arange(len(shift))]
+
+
+def text_udf(function, kind):
+    """A column function that runs ``function(list of texts) -> pa.Array`` over slices of the texts; null is the empty text."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = [function(texts_of(part, "text")) for part in sliced([pa.RecordBatch.from_arrays([texts], ["text"])], "text")]
+            yield pa.concat_arrays(parts) if parts else function([])
+
+    # Given as objects: the annotations of a nested function are strings in this module.
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, kind)

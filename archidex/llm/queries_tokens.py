@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archidex.llm import bpe
+from archidex.llm import bpe, langid, lm, token_counts
 from archidex.llm.common import table
 
 
@@ -19,3 +19,28 @@ def op5_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    pieces = token_counts.load_pieces(path or public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), pieces)
+
+
+def training_part(key: Column, folds: int, held_out: int) -> Column:
+    """Whether a document teaches: crc32 of its id as text, a null id as the empty one."""
+    return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % folds != held_out
+
+
+def op7_langid(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    pieces = token_counts.load_pieces(path or public_tokenizers.path("piece_bpe_32k.model"))
+    docs = table(spark, sf_dir, "documents")
+    taught = training_part(F.col("doc_id"), 4, 2)
+    model = langid.fit(docs.where(taught), pieces)
+    found = docs.select("doc_id", (~taught).alias("held_out"), langid.predicted(model, docs).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = lm.scores(docs, training_part(F.col("doc_id"), 5, 1))
+    return scored.select("doc_id", (~F.col("taught")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
