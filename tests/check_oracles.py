@@ -70,7 +70,7 @@ def main() -> int:
             continue
         started = time.time()
         try:
-            problem = differences(spark, con, sf_dir, query, sqls[name])
+            problem = differences(spark, con, sf_dir, query, sqls.get(name))
         except Exception as error:  # noqa: BLE001 - a report of all queries is wanted
             problem = f"{type(error).__name__}: {str(error)[:1500]}"
         bad += problem is not None
