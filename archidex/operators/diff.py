@@ -67,7 +67,7 @@ def diff(catalog: Catalog, drive_id: str, from_id: int, to_id: int, limit: int |
         F.col("id").isin(list(wanted)) & (F.col("drive_id") == drive_id) & (F.col("status") == "complete")
     )
     if usable.select("id").distinct().count() != len(wanted):
-        raise CatalogError("snapshots must be complete and belong to the requested drive")
+        raise CatalogError(f"drive {drive_id}: only two of its own complete snapshots can be compared")
     changes = diff_all(catalog, from_id, to_id)
     return changes.orderBy(nocase(F.col("path")), "path").limit(bounded("diff", limit))
 

@@ -1,9 +1,9 @@
 """Content identity of snapshots.
 
-A snapshot's digest is the hash of its header and of a hash tree over its
-entries. Entries are placed in the tree by the hash of their path, so every
-node has a bounded number of children whatever the size of the snapshot or
-the shape of its folders, and each level is one grouping.
+A snapshot's digest is the hash of its header and of its entries. Each entry
+is hashed with all its fields; the hashes are cut into lanes and the lanes
+added up, which needs no order and is done in every task before anything is
+shuffled: one row per task and snapshot moves, whatever the snapshot's size.
 """
 
 from __future__ import annotations
@@ -15,9 +15,7 @@ from archidex.functions.fingerprints import FULL, has_scheme
 from archidex.operators.validate import NUL, entry_problem
 from archidex.schema import Catalog
 
-STEP = 3  # hex digits folded per level: at most 4096 children per inner node
-LEAF_ROWS = 65_536  # entries aimed at per leaf
-MAX_DEPTH = 9
+LANES = 4  # of 64 bits each
 
 _ENTRY_FIELDS = ("path", "parent_path", "name", "extension", "kind", "size", "modified_at", "hash", "hidden")
 _HEADER_FIELDS = (
@@ -32,74 +30,40 @@ def _framed(*values: Column) -> Column:
     return F.concat(*[part for t in texts for part in (F.octet_length(t).cast("string"), F.lit(":"), t)])
 
 
-def _digits(rows: Column) -> Column:
-    """Leaf depth for a snapshot of that many entries: a multiple of STEP."""
-    depth = F.lit(STEP)
-    for digits in range(STEP, MAX_DEPTH, STEP):
-        depth = F.when(rows > LEAF_ROWS * 16**digits, digits + STEP).otherwise(depth)
-    return depth
-
-
-def _combine(children: Column) -> Column:
-    return F.sha2(F.array_join(F.sort_array(children), ""), 256)
+def _lane(node: Column, number: int) -> Column:
+    """One lane of a hash in hex as a number. Sums of 10**18 lanes still fit their type."""
+    return F.conv(F.substring(node, 16 * number + 1, 16), 16, 10).cast("decimal(20,0)")
 
 
 def snapshot_summary(catalog: Catalog) -> DataFrame:
     """One row per complete snapshot that has entries, from a single pass over them.
 
     body_digest, row and kind counts, bytes, sha256 count and the first
-    problem found. The first shuffle carries hashes and counters only.
+    problem found.
     """
-    declared = catalog.snapshots.where(F.col("status") == "complete").select(
-        F.col("id").alias("snapshot_id"),
-        _digits(F.col("file_count") + F.col("directory_count")).alias("depth"),
-    )
+    complete = catalog.snapshots.where(F.col("status") == "complete").select(F.col("id").alias("snapshot_id"))
     is_file = F.col("kind") == "file"
-    hashed = catalog.entries.join(catalog.small_snapshots(declared), "snapshot_id").select(
+    problem = entry_problem()
+    hashed = catalog.entries.join(catalog.small_snapshots(complete), "snapshot_id").select(
         "snapshot_id",
-        "depth",
-        F.sha2("path", 256).alias("path_hash"),
         # No valid field holds a NUL, so it separates them; other entries fail the check below.
         F.sha2(F.concat_ws(NUL, *[F.col(c).cast("string") for c in _ENTRY_FIELDS]), 256).alias("node"),
         is_file.cast("long").alias("files"),
         (F.col("kind") == "directory").cast("long").alias("directories"),
         F.when(is_file, F.col("size")).otherwise(0).cast("decimal(19,0)").alias("bytes"),
         has_scheme(F.col("hash"), FULL).cast("long").alias("full_hashes"),
-        entry_problem().alias("problem"),
-        F.col("path"),
+        F.when(problem.isNotNull(), F.concat_ws(": ", problem, "path")).alias("problem"),
     )
     sums = ("files", "directories", "bytes", "full_hashes")
-    level = (
-        hashed.withColumn("place", F.left("path_hash", F.col("depth")))
-        .groupBy("snapshot_id", "depth", "place")
-        .agg(
-            _combine(F.collect_list("node")).alias("node"),
-            F.count(F.lit(1)).alias("rows"),
-            *[F.sum(c).alias(c) for c in sums],
-            F.min(F.when(F.col("problem").isNotNull(), F.concat_ws(": ", "problem", "path"))).alias("problem"),
-        )
-    )
-    for fold in range(STEP, MAX_DEPTH + 1, STEP):
-        keep = F.greatest(F.col("depth") - fold, F.lit(0))
-        # A shallower tree is already at its root and passes through unchanged.
-        done = F.col("depth") < fold
-        child = F.struct("place", "node")
-        level = (
-            level.withColumn("done", done).withColumn("parent", F.left("place", keep))
-            .groupBy("snapshot_id", "depth", "done", "parent")
-            .agg(
-                F.when(F.first("done"), F.first("node"))
-                .otherwise(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(child)), lambda c: c["node"]), ""), 256))
-                .alias("node"),
-                F.sum("rows").alias("rows"),
-                *[F.sum(c).alias(c) for c in sums],
-                F.min("problem").alias("problem"),
-            )
-            .withColumnRenamed("parent", "place").drop("done")
-        )
-    return level.select(
-        "snapshot_id", F.col("node").alias("body_digest"), "rows", *sums, "problem"
+    lanes = [f"lane{n}" for n in range(LANES)]
+    added = hashed.groupBy("snapshot_id").agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.sum(c).alias(c) for c in sums],
+        *[F.sum(_lane(F.col("node"), n)).alias(lane) for n, lane in enumerate(lanes)],
+        F.min("problem").alias("problem"),
     )
+    body = F.sha2(F.concat_ws(":", F.col("rows").cast("string"), *[F.col(c).cast("string") for c in lanes]), 256)
+    return added.select("snapshot_id", body.alias("body_digest"), "rows", *sums, "problem")
 
 
 def header_digest(body: Column) -> Column:
@@ -107,7 +71,7 @@ def header_digest(body: Column) -> Column:
 
 
 def snapshot_digests(snapshots: DataFrame, summary: DataFrame) -> DataFrame:
-    """Digest of every complete snapshot: header fields, then the entry tree."""
+    """Digest of every complete snapshot: header fields, then the entries."""
     complete = snapshots.where(F.col("status") == "complete")
     joined = complete.join(summary.withColumnRenamed("snapshot_id", "id"), "id", "left")
     return joined.select(*complete.columns, *[c for c in summary.columns if c != "snapshot_id"],

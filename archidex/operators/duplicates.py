@@ -16,16 +16,31 @@ def _proven_files(catalog: Catalog, drive_id: str | None) -> DataFrame:
     return files.where((F.col("kind") == "file") & (F.col("hash") != "") & has_scheme(F.col("hash"), FULL))
 
 
-def duplicate_groups(catalog: Catalog, drive_id: str | None = None, limit: int | None = None) -> DataFrame:
-    """Top groups of equal (hash, size) by bytes held, with their copy counts.
+def duplicate_groups_all(catalog: Catalog, drive_id: str | None = None) -> DataFrame:
+    """Every group of equal (hash, size) with its copy count, in no order.
 
     Copies are counted before the shuffle, so a group that holds a large part
     of all files costs one row per task.
     """
     files = _proven_files(catalog, drive_id)
-    groups = files.groupBy("hash", "size").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
+    return files.groupBy("hash", "size").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
+
+
+def duplicates_all(catalog: Catalog, drive_id: str | None = None) -> DataFrame:
+    """Every member of every duplicate group, one row per file, in no order.
+
+    The groups' side has one row per key, so a skewed join can split the
+    files of a hot group over many tasks.
+    """
+    members = _proven_files(catalog, drive_id).join(duplicate_groups_all(catalog, drive_id), ["hash", "size"])
+    return members.select("hash", "size", "copies", "drive_id", "drive_name", "path")
+
+
+def duplicate_groups(catalog: Catalog, drive_id: str | None = None, limit: int | None = None) -> DataFrame:
+    """A page of the groups that hold most bytes."""
     # Decimal: size times copies can pass the range of a long.
     held = F.col("size").cast("decimal(19,0)") * F.col("copies").cast("decimal(19,0)")
+    groups = duplicate_groups_all(catalog, drive_id)
     return groups.orderBy(held.desc(), "hash", "size").limit(bounded("duplicates", limit))
 
 

@@ -9,6 +9,7 @@ from archidex.functions.paths import nocase
 from archidex.operators.drives import drive_overview
 from archidex.schema import EXPORT_VERSION, Catalog
 
+# The columns of the exported file.
 CSV_COLUMNS = ("drive_id", "drive_name", "location", "path", "kind", "size", "modified_at", "hash")
 # Fixed value: how an unset time is written.
 UNSET_TIME = "0001-01-01T00:00:00Z"
@@ -26,8 +27,13 @@ def write_csv(catalog: Catalog, path: str) -> None:
 
 
 def utc_text(seconds: Column, positive_only: bool = True) -> Column:
-    text = F.concat(F.timestamp_seconds(seconds).try_cast("timestamp_ntz").cast("string"), F.lit("Z"))
-    text = F.replace(text, F.lit(" "), F.lit("T"))
+    """UTC time of unix seconds as text. Plain arithmetic on days, so the session's time zone has no part in it."""
+    day = 24 * 60 * 60
+    rest = F.pmod(seconds, F.lit(day))
+    days = F.floor((seconds - rest) / day).try_cast("int")
+    two = lambda n: F.lpad(n.cast("long").cast("string"), 2, "0")
+    clock = [two(F.floor(rest / 3600)), F.lit(":"), two(F.floor(rest / 60) % 60), F.lit(":"), two(rest % 60)]
+    text = F.concat(F.date_add(F.lit("1970-01-01").cast("date"), days).cast("string"), F.lit("T"), *clock, F.lit("Z"))
     return F.when(seconds > 0, text).otherwise(F.lit(UNSET_TIME)) if positive_only else text
 
 
@@ -112,7 +118,8 @@ def export_document_lines(catalog: Catalog, exported_at: int) -> DataFrame:
     drive = lines.where(F.col("section") == 0)
     first_drive = drive.agg(F.min(F.struct("drive_key", "drive_id")).alias("first")).scalar()
     firsts = lines.where(F.col("section") > 0).groupBy("drive_id", "section").agg(F.min("place").alias("first"))
-    items = lines.where(F.col("section") > 0).join(firsts, ["drive_id", "section"])
+    # Two rows per drive: broadcast while the counted drives allow it, so one large drive is no hot key.
+    items = lines.where(F.col("section") > 0).join(catalog.small_drives(firsts), ["drive_id", "section"])
 
     keys = ["drive_key", "drive_id"]
     head = F.lit('{"version":%d,"exported_at":"' % EXPORT_VERSION)

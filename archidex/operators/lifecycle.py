@@ -60,11 +60,27 @@ def number_scans(catalog: Catalog, headers: DataFrame) -> DataFrame:
     """Scan headers with new snapshot ids; unknown drives are an error."""
     unknown = headers.join(catalog.drives, headers["drive_id"] == catalog.drives["id"], "left_anti").head()
     if unknown is not None:
-        raise CatalogError(f"drive not found: {unknown['drive_id']}")
+        raise CatalogError(f"a scan names the unknown drive {unknown['drive_id']}")
     base = next_snapshot_base(catalog.snapshots)
     return consecutive(headers, "id", base, "drive_id", "started_at", "scan_key")
 
 
+def started_rows(numbered: DataFrame) -> DataFrame:
+    """Rows of scans that are under way; what they will hold is not known yet."""
+    return conform(
+        numbered.withColumns({
+            "status": F.lit("scanning"), "completed_at": F.lit(None), "failure": F.lit(""),
+            "file_count": F.lit(0), "directory_count": F.lit(0), "total_bytes": F.lit(0), "error_count": F.lit(0),
+        }),
+        SNAPSHOTS,
+    )
+
+
+def settled(snapshots: DataFrame, rows: DataFrame) -> DataFrame:
+    """``snapshots`` with the rows of the same ids replaced by ``rows``."""
+    return snapshots.join(rows.select("id"), "id", "left_anti").select(*[f.name for f in SNAPSHOTS]).unionByName(rows)
+
+
 def completed_rows(numbered: DataFrame, now: int) -> DataFrame:
     return conform(
         numbered.withColumns({
@@ -154,14 +170,21 @@ def create_drives(drives: DataFrame, new_drives: DataFrame, now: int) -> DataFra
     # Random ids have to be drawn once, so the prepared rows are written out.
     fresh = cut_lineage(prepared_drives(new_drives, now))
     if not fresh.where(F.col("name").isNull() | (F.col("name") == "")).isEmpty():
-        raise CatalogError("drive name cannot be empty")
+        raise CatalogError("a new drive has a blank name")
     combined = drives.unionByName(fresh)
-    clash = name_clashes(combined).head()
-    if clash is not None:
-        raise CatalogError(f"a drive named {clash['name_key']!r} already exists")
+    _refuse_clashes(combined)
+    repeated = combined.groupBy("id").count().where("count > 1").head()
+    if repeated is not None:
+        raise CatalogError(f"drive id {repeated['id']} would stand for two drives")
     return combined
 
 
+def _refuse_clashes(drives: DataFrame) -> None:
+    clash = name_clashes(drives).head()
+    if clash is not None:
+        raise CatalogError(f"drive name {clash['name_key']!r} would stand for {clash['count']} drives")
+
+
 def patched_drives(drives: DataFrame, patches: DataFrame, now: int) -> DataFrame:
     """``drives`` with the non-null fields of ``patches`` (by id) applied."""
     present = [c for c in (*PATCH_FIELDS, "tags") if c in patches.columns]
@@ -182,11 +205,12 @@ def update_drives(drives: DataFrame, patches: DataFrame, now: int) -> DataFrame:
     """Checked form of ``patched_drives``: known ids, no blank and no clashing name."""
     missing = patches.join(drives, "id", "left_anti").head()
     if missing is not None:
-        raise CatalogError(f"drive not found: {missing['id']}")
+        raise CatalogError(f"a patch names the unknown drive {missing['id']}")
+    repeated = patches.groupBy("id").count().where("count > 1").head()
+    if repeated is not None:
+        raise CatalogError(f"drive {repeated['id']} has {repeated['count']} patches")
     updated = patched_drives(drives, patches, now)
     if not updated.where(F.col("name") == "").isEmpty():
-        raise CatalogError("drive name cannot be empty")
-    clash = name_clashes(updated).head()
-    if clash is not None:
-        raise CatalogError(f"a drive named {clash['name_key']!r} already exists")
+        raise CatalogError("a patch leaves a drive with a blank name")
+    _refuse_clashes(updated)
     return updated

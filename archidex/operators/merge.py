@@ -75,7 +75,7 @@ def assign_names(target: DataFrame, source: DataFrame) -> DataFrame:
             return proposals.select("id", "name", "attempt")
         attempt = F.col("attempt") + F.when(F.col("refused"), 1).otherwise(0)
         proposals = cut_lineage(_standing(proposals.select("id", "name", attempt.alias("attempt")), taken))
-    raise CatalogError("could not find an available imported drive name")
+    raise CatalogError(f"no free name for an imported drive in {MAX_NAME_ATTEMPTS} tries")
 
 
 def merge_drives(target: DataFrame, source: DataFrame, rename_conflicts: bool) -> DataFrame:
@@ -165,7 +165,7 @@ def apply_hash_policy(source: Catalog, target: Catalog, updates: DataFrame, trus
     ).select("snapshot_id", "path", F.lit(True).alias("in_source"), copied_hash(trust).alias("new_hash"))
     joined = ours.join(theirs, ["snapshot_id", "path"], "full_outer")
     unmatched = F.col("in_source").isNull() | F.col("id").isNull()
-    problem = F.concat(F.lit("imported snapshot no longer matches source path "), F.col("path"))
+    problem = F.concat(F.lit("source and imported snapshot differ at path "), F.col("path"))
     fresh = F.when(unmatched, F.raise_error(problem).cast("string")).otherwise(F.col("new_hash"))
     return conform(joined.withColumn("hash", fresh), ENTRIES)
 
@@ -207,7 +207,7 @@ def plan_merge(
     """Validate ``source`` and work out its merge into ``target``."""
     now = int(time.time()) if now is None else now
     if source.location is not None and source.location == target.location:
-        raise CatalogError("source and target catalog are the same")
+        raise CatalogError("a catalog cannot be merged into itself")
     digests = validated_digests(source)
     drive_plan = cut_lineage(merge_drives(target.drives, source.drives, rename_conflicts))
     planned = cut_lineage(plan_import(digests, source.snapshots, target.imports, trust))

@@ -30,10 +30,8 @@ HIT_COLUMNS = (
     "modified_at", "hash", "hidden", "drive_id", "drive_name", "location",
 )
 ENTRY_COLUMNS = HIT_COLUMNS[:11]
-# Up to this many phrases are pushed down into the index scan as ranges,
+# Up to this many phrases are pushed down into the index scan as ranges; the rows are the same either way.
 PUSHED_PHRASES = 50
-# up to this many are tested against lists held in the plan, more are joined.
-LISTED_PHRASES = 20_000
 
 
 def _idf(documents: Column, containing: Column) -> Column:
@@ -56,8 +54,8 @@ def _with_text(entries: DataFrame) -> DataFrame:
     return texts.withColumn("length", token_count(F.col("name_text")) + token_count(F.col("path_text")))
 
 
-def _ranked(hits: DataFrame, phrases: int, figures: Column, limit: int) -> DataFrame:
-    """The best ``limit`` of hits that carry length, name and one frequency per phrase."""
+def _scored(hits: DataFrame, phrases: int, figures: Column) -> DataFrame:
+    """Hits of all phrases with their score; they carry length, name and one frequency per phrase."""
     hits = hits.where(reduce(lambda a, b: a & b, (F.col(f"f{i}") > 0 for i in range(phrases))))
     hits = hits.withColumn("figures", figures)
     corpus = F.col("figures")
@@ -68,23 +66,25 @@ def _ranked(hits: DataFrame, phrases: int, figures: Column, limit: int) -> DataF
             for i in range(phrases)
         ),
     )
-    return hits.withColumn("score", -total).orderBy("score", *_tie_break(hits)).limit(limit)
+    return hits.withColumn("score", -total)
 
 
-def _tie_break(hits: DataFrame) -> list[Column]:
-    last = ["path", "drive_id"] if "path" in hits.columns else ["snapshot_id", "entry_id"]
-    return [nocase(F.col("name")), F.col("name"), *map(F.col, last)]
+def _merit() -> list[Column]:
+    """What the index knows of the order of hits. Sums of parts may differ in their last bits, which decides nothing."""
+    return [F.round("score", 9), nocase(F.col("name")), F.col("name")]
+
+
+def _order() -> list[Column]:
+    """The order of hits, the same in every form; no two entries of the current view are equal in it."""
+    return [*_merit(), F.col("path"), F.col("drive_id")]
 
 
 def _containing(phrases: int) -> list[Column]:
     return [F.count_if(F.col(f"f{i}") > 0).cast("double").alias(f"n{i}") for i in range(phrases)]
 
 
-def search_scan(
-    catalog: Catalog, query: str, drive_id: str | None = None, limit: int | None = None, corpus: str = "all"
-) -> DataFrame:
-    """Search by scanning entry texts: one pass for corpus figures, one to score hits."""
-    limit = bounded("search", limit)
+def search_all(catalog: Catalog, query: str, drive_id: str | None = None, corpus: str = "all") -> DataFrame:
+    """Every hit with its score, in no order, by scanning entry texts: one pass for corpus figures, one for the hits."""
     phrases = parse_query(query)
     if phrases is None:
         return _no_hits(catalog)
@@ -96,22 +96,19 @@ def search_scan(
         ).alias("figures")
     )
     hits = _with_text(catalog.current_entries(*ENTRY_COLUMNS, drive_id=drive_id)).withColumns(frequencies)
-    return _ranked(hits, len(phrases), figures.scalar(), limit).select(*HIT_COLUMNS, "score")
+    return _scored(hits, len(phrases), figures.scalar()).select(*HIT_COLUMNS, "score")
 
 
-def search_index(
-    catalog: Catalog, query: str, drive_id: str | None = None, limit: int | None = None
+def search_scan(
+    catalog: Catalog, query: str, drive_id: str | None = None, limit: int | None = None, corpus: str = "all"
 ) -> DataFrame:
-    """Search by the postings: each phrase is a range of the sorted suffixes.
+    """A page of the best hits, by scanning entry texts."""
+    return search_all(catalog, query, drive_id, corpus).orderBy(*_order()).limit(bounded("search", limit))
 
-    The hits are ranked inside the index; the entries of the best ones, at
-    most as many as the limit allows, are then fetched by their keys.
-    """
+
+def _index_hits(catalog: Catalog, phrases: list[str], drive_id: str | None) -> DataFrame:
+    """Every hit of the postings with its score: entry key, length, name. Each phrase is a range of the sorted suffixes."""
     _require_index(catalog)
-    limit = bounded("search", limit)
-    phrases = [" ".join(p) for p in parse_query(query) or []]
-    if not phrases:
-        return _no_hits(catalog)
     suffix = F.col("suffix")
     weight = _posting_weight()
     starts = [F.startswith(suffix, F.lit(p)) for p in phrases]
@@ -129,14 +126,39 @@ def search_index(
     )
     current = catalog.current_drives(drive_id).select(F.col("latest_snapshot_id").alias("snapshot_id"))
     hits = entries.join(catalog.small_drives(current), "snapshot_id", "left_semi")
-    top = _ranked(hits, len(phrases), figures, limit).select("snapshot_id", F.col("entry_id").alias("id"), "score").collect()
-    if not top:
+    return _scored(hits, len(phrases), figures)
+
+
+def _fetched(catalog: Catalog, hits: DataFrame, drive_id: str | None) -> DataFrame:
+    keys = hits.select("snapshot_id", F.col("entry_id").alias("id"), "score")
+    found = catalog.current_entries(*ENTRY_COLUMNS, drive_id=drive_id).join(keys, ["snapshot_id", "id"])
+    return found.select(*HIT_COLUMNS, "score")
+
+
+def search_index_all(catalog: Catalog, query: str, drive_id: str | None = None) -> DataFrame:
+    """Every hit with its score, in no order, by the postings."""
+    phrases = [" ".join(p) for p in parse_query(query) or []]
+    if not phrases:
         return _no_hits(catalog)
-    keys = catalog.spark.createDataFrame(top, "snapshot_id long, id long, score double")
-    by_key = F.col("snapshot_id").isin(sorted({r["snapshot_id"] for r in top})) & F.col("id").isin([r["id"] for r in top])
-    found = catalog.current_entries(*ENTRY_COLUMNS, drive_id=drive_id).where(by_key)
-    found = found.join(F.broadcast(keys), ["snapshot_id", "id"])
-    return found.orderBy("score", *_tie_break(found)).select(*HIT_COLUMNS, "score")
+    return _fetched(catalog, _index_hits(catalog, phrases, drive_id), drive_id)
+
+
+def search_index(
+    catalog: Catalog, query: str, drive_id: str | None = None, limit: int | None = None
+) -> DataFrame:
+    """A page of the best hits, by the postings.
+
+    The last merit of the page is found inside the index. Hits up to it, ties
+    included, are fetched by their keys, and the path decides among the ties.
+    """
+    limit = bounded("search", limit)
+    phrases = [" ".join(p) for p in parse_query(query) or []]
+    if not phrases:
+        return _no_hits(catalog)
+    hits = _index_hits(catalog, phrases, drive_id)
+    merit = F.struct(*[c.alias(f"m{i}") for i, c in enumerate(_merit())])
+    last = hits.orderBy(*_merit()).limit(limit).agg(F.max(merit)).scalar()
+    return _fetched(catalog, hits.where(merit <= last), drive_id).orderBy(*_order()).limit(limit)
 
 
 def _posting_weight() -> Column:
@@ -166,18 +188,11 @@ def _matches(postings: DataFrame, phrases: list[str]) -> DataFrame:
     if len(phrases) <= PUSHED_PHRASES:
         # Sorted suffixes: each phrase is a range, most of the index is never read.
         postings = postings.where(reduce(lambda a, b: a | b, (F.startswith(suffix, F.lit(p)) for p in phrases)))
-    if len(phrases) <= LISTED_PHRASES:
-        # Tokens hold letters and digits only, so the phrases need no quoting.
-        lists = {n: ", ".join(f"'{p}'" for p in some) for n, some in lengths.items()}
-        starts = [F.expr(f"case when left(suffix, {n}) in ({some}) then left(suffix, {n}) end") for n, some in lists.items()]
-        found = F.explode(F.array_compact(F.array(*starts)))
-        keyed = postings.select(found.alias("phrase"), "snapshot_id", "entry_id", "in_name", "length", "name")
-    else:
-        starts = [F.when(F.length(suffix) >= n, F.left(suffix, F.lit(n))) for n in lengths]
-        found = F.explode(F.array_compact(F.array(*starts)))
-        keyed = postings.select(found.alias("phrase"), "snapshot_id", "entry_id", "in_name", "length", "name")
-        wanted = postings.sparkSession.createDataFrame([(p,) for p in phrases], "phrase string")
-        keyed = keyed.join(_small(wanted, len(phrases)), "phrase", "left_semi")
+    starts = [F.when(F.length(suffix) >= n, F.left(suffix, F.lit(n))) for n in lengths]
+    found = F.explode(F.array_compact(F.array(*starts)))
+    keyed = postings.select(found.alias("phrase"), "snapshot_id", "entry_id", "in_name", "length", "name")
+    wanted = postings.sparkSession.createDataFrame([(p,) for p in phrases], "phrase string")
+    keyed = keyed.join(_small(wanted, len(phrases)), "phrase", "left_semi")
     weight = _posting_weight()
     return keyed.groupBy("snapshot_id", "entry_id", "phrase", "length", "name").agg(F.sum(weight).alias("frequency"))
 
@@ -244,18 +259,21 @@ def search_batch(
         .agg(F.count(F.lit(1)).alias("matched"), (-F.sum("part")).alias("score"))
         .where(F.col("matched") == F.col("phrases"))
     )
-    order = Window.partitionBy("query_no").orderBy("score", nocase(F.col("name")), "name", "snapshot_id", "entry_id")
-    top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
-    top = _small(top.select("query_no", "snapshot_id", F.col("entry_id").alias("id"), "rank", "score"), limit * len(queries))
+    # Ties at the end of a page come along; the path, which the index lacks, decides among them.
+    best = Window.partitionBy("query_no").orderBy(*_merit())
+    top = scored.withColumn("place", F.rank().over(best)).where(F.col("place") <= limit)
+    top = top.select("query_no", "snapshot_id", F.col("entry_id").alias("id"), "score")
     found = catalog.entries.select(*ENTRY_COLUMNS).join(top, ["snapshot_id", "id"])
-    found = found.join(catalog.small_drives(drives), "snapshot_id").join(texts, "query_no")
+    found = found.join(catalog.small_drives(drives), "snapshot_id")
+    final = Window.partitionBy("query_no").orderBy(*_order())
+    found = found.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= limit).join(texts, "query_no")
     return found.orderBy("query_no", "rank").select("query_no", "query", "rank", *HIT_COLUMNS, "score")
 
 
 def search(
     catalog: Catalog, query: str, drive_id: str | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Best hits of one query: from the token index if there is one, else by scanning."""
+    """Best hits of one query: from the token index if there is one, else by scanning, with the same rows."""
     if catalog.postings is None:
         return search_scan(catalog, query, drive_id, limit)
     return search_index(catalog, query, drive_id, limit)

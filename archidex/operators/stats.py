@@ -43,14 +43,26 @@ def stats(catalog: Catalog) -> DataFrame:
     return reduce(DataFrame.unionAll, parts).agg(*[F.sum(c).alias(c) for c in _STATS])
 
 
-def extension_stats(catalog: Catalog, drive_id: str | None = None, limit: int | None = None) -> DataFrame:
-    """Current files per extension, largest total first.
+def _by_extension(catalog: Catalog, drive_id: str | None) -> DataFrame:
+    files = catalog.current_entries("extension", "kind", "size", drive_id=drive_id).where(F.col("kind") == "file")
+    return files.groupBy("extension").agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("bytes"))
+
+
+def _labelled(grouped: DataFrame) -> DataFrame:
+    label = F.when(F.col("extension") == "", "(none)").otherwise(F.col("extension"))
+    return grouped.select(label.alias("extension"), "count", "bytes")
+
+
+def extension_stats_all(catalog: Catalog, drive_id: str | None = None) -> DataFrame:
+    """Current files of every extension, in no order.
 
     Grouping is on the stored value, so a file extension spelled like the
     label of the empty one keeps a row of its own.
     """
-    files = catalog.current_entries("extension", "kind", "size", drive_id=drive_id).where(F.col("kind") == "file")
-    grouped = files.groupBy("extension").agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("bytes"))
-    top = grouped.orderBy(F.col("bytes").desc(), "extension").limit(bounded("extensions", limit))
-    label = F.when(F.col("extension") == "", "(none)").otherwise(F.col("extension"))
-    return top.select(label.alias("extension"), "count", "bytes")
+    return _labelled(_by_extension(catalog, drive_id))
+
+
+def extension_stats(catalog: Catalog, drive_id: str | None = None, limit: int | None = None) -> DataFrame:
+    """A page of the extensions with most bytes, largest total first."""
+    top = _by_extension(catalog, drive_id).orderBy(F.col("bytes").desc(), "extension")
+    return _labelled(top.limit(bounded("extensions", limit)))

@@ -144,7 +144,7 @@ def count_mismatches(snapshots: DataFrame, counted: DataFrame) -> DataFrame:
         | (F.col("directories") != F.col("directory_count"))
         | (F.col("bytes") != F.col("total_bytes"))
     )
-    problem = F.when(overflow, "byte total overflows").when(differs, "declared counts do not match entries")
+    problem = F.when(overflow, "too many bytes for a counter").when(differs, "counters differ from the entries")
     return joined.select(
         "id", "file_count", "files", "directory_count", "directories", "total_bytes", "bytes", problem.alias("problem")
     ).where(F.col("problem").isNotNull())

@@ -57,7 +57,8 @@ def document_files(documents: DataFrame) -> DataFrame:
         .when(new & (doc % 19 == 0), F.concat(F.lit(FULL), F.sha2(F.concat(text, F.lit("!")), 256)))
         .otherwise(F.concat(F.lit(FULL), F.sha2(text, 256)))
     )
-    seen = ~((v == 1) & (doc % 13 == 5)) & ~((v == 2) & (doc % 11 == 3))
+    # Disjoint classes: a document that the old scan lacks is in the new one, and the other way round.
+    seen = ~((v == 1) & (doc % 13 == 5)) & ~((v == 2) & (doc % 11 == 3) & (doc % 13 != 5))
     return _both_scans(documents).where(seen).select(
         (source_number(F.col("source")) * 2 + v).cast("long").alias("snapshot_id"),
         drive_id_of(F.col("source")).alias("drive_id"),
@@ -271,11 +272,16 @@ def file_list_rows(documents: DataFrame) -> DataFrame:
     return files.unionByName(folders)
 
 
-def written_file_list(spark: SparkSession, sf_dir: str) -> str:
+def written_file_lists(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The rows as lists with unlike columns; the second kind has a remark over two lines in every hundredth row."""
     path = scratch_path(spark, "file-list")
     rows = file_list_rows(table(spark, sf_dir, "documents"))
-    rows.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
-    return path
+    first = F.pmod(F.xxhash64("Filename"), F.lit(2)) == 0
+    remark = F.when(F.pmod(F.xxhash64("Filename"), F.lit(100)) == 1, "checked\ntwice").otherwise("")
+    other = rows.where(~first).select("Attributes", "Size", remark.alias("Remark"), "Filename", "Date Modified")
+    for name, part in (("a", rows.where(first)), ("b", other)):
+        part.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(f"{path}/{name}")
+    return [f"{path}/a", f"{path}/b"]
 
 
 def tree_paths(documents: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from archidex.plans.registry import NOW, SEARCH_TEXTS
+from archidex.plans.registry import EXPORTED, NOW, SEARCH_TEXTS
 
 # The document archive in SQL: files, entries, snapshots, drives, current view.
 _ARCHIVE = r"""
@@ -20,7 +20,7 @@ with owners as (
       when v = 2 and doc_id % 19 = 0 then 'sha256:' || sha256(text || '!')
       else 'sha256:' || sha256(text) end as hash
   from documents cross join (values (1), (2)) as t(v)
-  where not (v = 1 and doc_id % 13 = 5) and not (v = 2 and doc_id % 11 = 3)
+  where not (v = 1 and doc_id % 13 = 5) and not (v = 2 and doc_id % 11 = 3 and doc_id % 13 <> 5)
 ), folders as (
   select distinct snapshot_id, split_part(path, '/', 1) as path from f
   union all
@@ -84,32 +84,33 @@ _OVERVIEW = f"""
 )
 """
 
+# Both scans of a drive in one group per path: which of them have it, and what each says.
 _DIFF = r"""
-, changes as (
-  select o.drive_id, e.path, 'removed' as change, e.kind, e.size as old_size, null as new_size,
-    e.modified_at as old_modified, null as new_modified
-  from owners o join entries e on e.snapshot_id = o.n * 2 + 1
-  where not exists (select 1 from entries x where x.snapshot_id = o.n * 2 + 2 and x.path = e.path)
-  union all
-  select o.drive_id, e.path, 'added', e.kind, null, e.size, null, e.modified_at
-  from owners o join entries e on e.snapshot_id = o.n * 2 + 2
-  where not exists (select 1 from entries x where x.snapshot_id = o.n * 2 + 1 and x.path = e.path)
-  union all
-  select o.drive_id, a.path, 'changed', b.kind, a.size, b.size, a.modified_at, b.modified_at
-  from owners o join entries a on a.snapshot_id = o.n * 2 + 1
-    join entries b on b.snapshot_id = o.n * 2 + 2 and b.path = a.path
-  where a.kind <> b.kind or a.size <> b.size or a.modified_at <> b.modified_at
-    or (a.hash like 'sha256:%' and b.hash like 'sha256:%' and a.hash <> b.hash)
-    or (a.hash like 'quick:%' and b.hash like 'quick:%' and a.hash <> b.hash)
+, seen as (
+  select o.drive_id, e.path, count(*) as scans, bool_or(e.snapshot_id % 2 = 0) as in_new,
+    any_value({'kind': e.kind, 'size': e.size, 'at': e.modified_at, 'hash': e.hash}) filter (e.snapshot_id % 2 = 1) as was,
+    any_value({'kind': e.kind, 'size': e.size, 'at': e.modified_at, 'hash': e.hash}) filter (e.snapshot_id % 2 = 0) as becomes
+  from entries e join owners o on o.n = (e.snapshot_id - 1) // 2
+  group by o.drive_id, e.path
+), judged as (
+  select *, split_part(was.hash, ':', 1) as old_scheme, split_part(becomes.hash, ':', 1) as new_scheme from seen
+), changes as (
+  select drive_id, path, case when scans = 2 then 'changed' when in_new then 'added' else 'removed' end as change,
+    coalesce(becomes.kind, was.kind) as kind, was.size as old_size, becomes.size as new_size,
+    was.at as old_modified, becomes.at as new_modified
+  from judged
+  where scans = 1 or (was.kind, was.size, was.at) <> (becomes.kind, becomes.size, becomes.at)
+    or (old_scheme = new_scheme and old_scheme in ('sha256', 'quick') and was.hash <> becomes.hash)
 )
 """
 
 
-def _duplicates(current: str, where: str, limit: int) -> str:
+def _duplicates(current: str, where: str, limit: int | None) -> str:
+    page = "" if limit is None else f"order by cast(size as hugeint) * count(*) desc, hash, size limit {limit}"
     return f"""
 , top as (
   select hash, size, count(*) as copies from {current} where kind = 'file' and hash like 'sha256:%' {where}
-  group by hash, size having count(*) > 1 order by cast(size as hugeint) * count(*) desc, hash, size limit {limit}
+  group by hash, size having count(*) > 1 {page}
 )
 select hash, size, copies, drive_id, drive_name, path from {current} join top using (hash, size)
 where kind = 'file' {where}
@@ -145,7 +146,7 @@ def _count(tokens: str, phrase: list[str]) -> str:
     return f"len([i for i in range(1, len({tokens}) - {len(phrase) - 2}) if {' and '.join(tests)}])"
 
 
-def _search(phrases: list[list[str]], limit: int, label: str) -> str:
+def _search(phrases: list[list[str]], limit: int | None, label: str) -> str:
     """One query over ``library`` as a select; ``label`` names its CTE-free subquery."""
     freq = ", ".join(
         f"8.0 * {_count('name_tokens', p)} + 1.0 * {_count('path_tokens', p)} as f{i}" for i, p in enumerate(phrases)
@@ -156,13 +157,14 @@ def _search(phrases: list[list[str]], limit: int, label: str) -> str:
         f"{idf.format(i=i)} * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * (len(name_tokens) + len(path_tokens)) / mean))"
         for i in range(len(phrases))
     )
+    page = "" if limit is None else f"limit {limit}"
     matched = " and ".join(f"f{i} > 0" for i in range(len(phrases)))
     return f"""
 select '{label}' as query, path, size, drive_id, drive_name, round(-({score}), 6) as score
 from (select *, {freq} from library) hits
   cross join (select {counts} from (select {freq} from library) every) frequencies cross join corpus
 where {matched} and snapshot_id % 2 = 0
-order by -({score}), {_key('name')}, name, path limit {limit}
+order by -({score}), {_key('name')}, name, path {page}
 """
 
 
@@ -196,21 +198,19 @@ _MERGE = (
 ), target_drives as (select * from drives where n % 2 = 0
 ), target_snapshots as (select * from snapshots where n % 2 = 0
 ), nodes as (
-  select snapshot_id, substr(sha256(path), 1, 3) as place, kind, hash, sha256(
+  select snapshot_id, kind, hash, sha256(
     """
     + "concat_ws(chr(0), path, parent_path, name, extension, kind, size, modified_at, hash, hidden)"
     + r""") as node
   from entries where snapshot_id in (select id from source_snapshots where status = 'complete')
-), leaves as (
-  select snapshot_id, place, sha256(string_agg(node, '' order by node)) as node, count(*) as row_count,
-    count(*) filter (kind = 'file') as files, count(*) filter (kind = 'directory') as directories,
-    count(*) filter (hash like 'sha256:%') as full_hashes
-  from nodes group by snapshot_id, place
 ), bodies as (
-  select snapshot_id, sha256(string_agg(node, '' order by place)) as body_digest, cast(sum(row_count) as bigint) as "rows",
-    cast(sum(files) as bigint) as files, cast(sum(directories) as bigint) as directories,
-    cast(sum(full_hashes) as bigint) as full_hashes
-  from leaves group by snapshot_id
+  select snapshot_id, count(*) as "rows", count(*) filter (kind = 'file') as files,
+    count(*) filter (kind = 'directory') as directories, count(*) filter (hash like 'sha256:%') as full_hashes,
+    sha256(count(*)
+    """
+    + "".join(f" || ':' || sum(cast(cast('0x' || substr(node, {16 * n + 1}, 16) as ubigint) as hugeint))" for n in range(4))
+    + r""") as body_digest
+  from nodes group by snapshot_id
 ), digests as (
   select s.*, b.body_digest, b."rows", b.files, b.directories, b.full_hashes, sha256(
     """
@@ -314,6 +314,73 @@ from content
 """
 
 
+_ORDERS = r"""
+with orders_view as (
+  select distinct 'file' as kind, 'drv_' || substr(sha256('Orders'), 1, 12) as drive_id, 'Orders' as drive_name,
+    'Archive/part-' || l_partkey % 4096 || '/' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || cast(l_quantity as int) || '.'
+      || lower(l_returnflag) as path,
+    l_partkey + 100 as size, 'sha256:' || sha256(l_partkey || '-' || l_quantity) as hash
+  from lineitem
+)
+"""
+
+_TIME = "strftime(make_timestamp({0} * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
+_PLACE = (
+    "lpad(cast(4611686018427387904 - coalesce(completed_at, started_at) as varchar), 20, '0') "
+    "|| lpad(cast(4611686018427387904 - id as varchar), 20, '0')"
+)
+
+
+def _time(column: str, known: bool = False) -> str:
+    """UTC text of seconds; the unset time unless they are positive or always known."""
+    text = _TIME.format(column)
+    return text if known else f"case when coalesce({column}, 0) > 0 then {text} else '0001-01-01T00:00:00Z' end"
+
+
+def _record_rows(source: str, section: int, place: str, drive: str, **fields: str) -> str:
+    columns = ", ".join(f"cast({fields.get(name, 'null')} as varchar) as body_{name}" for name in EXPORTED)
+    return f"select {drive} as drive_id, {section} as section, {place} as place, {columns} from {source}"
+
+
+def _exported() -> str:
+    """Every field of the three kinds of records; fields that are empty are left out of a record."""
+    same = lambda names: {n: n for n in names.split()}
+    drive = same("name source_path location notes fingerprint latest_snapshot_id file_count directory_count total_bytes")
+    drive |= {"created_at": _time("created_at", True), "updated_at": _time("updated_at", True), "last_scanned_at": _time("last_scanned_at")}
+    snapshot = same("drive_id source_path status hash_mode file_count directory_count total_bytes error_count")
+    snapshot |= {"started_at": _time("started_at", True), "completed_at": _time("completed_at"), "failure": "nullif(failure, '')"}
+    item = same("name snapshot_id path parent_path extension kind size hidden")
+    item |= {"modified_at": _time("modified_at"), "hash": "nullif(hash, '')"}
+    parts = [
+        _record_rows("overview", 0, "''", "id", **drive),
+        _record_rows("snapshots", 1, _PLACE, "drive_id", **snapshot),
+        _record_rows("current", 2, "path", "drive_id", **item),
+    ]
+    return _ARCHIVE + _OVERVIEW + " union all ".join(parts)
+
+
+def _document() -> str:
+    """The nested document's lines: openings and endings as text, records by some of their fields."""
+    none = "cast(null as varchar)"
+    bare = f"{none} as body_name, {none} as body_path, {none} as body_status, {none} as body_size, {none} as body_modified_at"
+    return _ARCHIVE + f"""
+select 0 as part, '' as drive_id, 0 as section, '' as place, {bare},
+  '{{"version":1,"exported_at":"' || {_time(str(NOW), True)} || '","drives":[' as edge, 0 as firsts
+union all
+select 1, id, 0, '', name, null, null, null, null, null, 0 from drives
+union all
+select 1, drive_id, 1, {_PLACE}, null, null, status, null, null, null, 1 from snapshots
+union all
+select 1, id, 2, '', {', '.join(['null'] * 5)}, '],"latest_entries":[', 0 from drives
+union all
+select 1, drive_id, 3, path, name, path, null, cast(size as varchar), {_time("modified_at")}, null, 1 from current
+union all
+select 1, id, 4, '', {', '.join(['null'] * 5)}, ']}}', 0 from drives
+union all
+select 2, '', 0, '', {', '.join(['null'] * 5)}, ']}}', 0
+"""
+
+
 ORACLES: dict[str, str] = {
     "read_efu": r"""
 select source || '/' || lang || '/Doc, "' || doc_id || '".TXT' as path, source || '/' || lang as parent_path,
@@ -350,24 +417,8 @@ where not ends_with(name, '.md') and path <> 'fr' and not starts_with(path, 'fr/
     "fingerprint_full": "select doc_id, 'sha256:' || sha256(text) as hash from documents",
     "fingerprint_quick": _quick_hash(),
     "export_csv": _ARCHIVE + "select drive_id, drive_name, location, path, kind, size, modified_at, hash from current",
-    "export_json": _ARCHIVE + r"""
-, history as (
-  select *, lpad(cast(4611686018427387904 - coalesce(completed_at, started_at) as varchar), 20, '0')
-    || lpad(cast(4611686018427387904 - id as varchar), 20, '0') as place from snapshots
-)
-select id as drive_id, 0 as section, '' as place, name as body_name, null as body_path, null as body_size,
-  null as body_modified_at, null as body_completed_at, null as body_hash, null as body_failure
-from drives
-union all
-select drive_id, 1, place, null, null, null, null,
-  case when coalesce(completed_at, 0) > 0 then strftime(make_timestamp(completed_at * 1000000), '%Y-%m-%dT%H:%M:%SZ')
-    else '0001-01-01T00:00:00Z' end, null, nullif(failure, '')
-from history
-union all
-select drive_id, 2, path, name, path, cast(size as varchar), strftime(make_timestamp(modified_at * 1000000), '%Y-%m-%dT%H:%M:%SZ'),
-  null, nullif(hash, ''), null
-from current
-""",
+    "export_json": _exported(),
+    "export_document": _document(),
     "path_columns": r"""
 with cleaned as (select page_id, regexp_replace(url, '/+$', '') as path from pages),
 named as (select *, regexp_extract(path, '([^/]*)$', 1) as name from cleaned)
@@ -389,6 +440,22 @@ select * from done
 union all
 select name, source_path, (select max(snapshot_id) from done) + row_number() over (order by snapshot_id), 'failed', 0, 0, 0, 0,
   {NOW}, {NOW + 5}, updated_at, 'device unplugged', false from done
+""",
+    "start_snapshot": _COMMITTED + f"""
+select * from done
+union all
+select name, '/media/x', (select max(snapshot_id) from done) + row_number() over (order by snapshot_id), 'scanning', 0, 0, 0, 0,
+  {NOW + 2}, null, updated_at, '', false from done
+""",
+    "commit_rejections": _ARCHIVE + f"""
+select name, 'failed' as status, case n % 3 when 0 then 'listed twice' when 1 then 'unknown scan' else 'unknown kind' end as reason,
+  cast(0 as bigint) as entries, cast(0 as bigint) as file_count, cast({NOW - 60} as bigint) as started_at,
+  cast({NOW} as bigint) as completed_at, false as has_latest
+from drives
+""",
+    "check_schema_version": """
+select v as version, v in (1, 2) as accepted, case when v in (1, 2) then (select count(distinct source) from documents) else 0 end as drives
+from (values (0), (1), (2), (3)) as t(v)
 """,
     "recover_stale": _ARCHIVE + f"""
 select id, drive_id, source_path, case when status = 'scanning' then 'failed' else status end as status, hash_mode, file_count,
@@ -429,6 +496,8 @@ from (select *, unnest(range(1, len(segments) + 1)) as i from parts)
     "search": _LIBRARY + "select path, size, drive_id, drive_name, score from (" + _search([["blue"], ["gear"]], 100, "") + ")",
     "search_index": _LIBRARY + "select path, size, drive_id, drive_name, score from (" + _search([["blue"], ["gear"]], 100, "") + ")",
     "search_batch": _search_batch(),
+    "search_all": _LIBRARY + "select path, size, drive_id, drive_name, score from (" + _search([["brand"]], None, "") + ")",
+    "search_index_all": _LIBRARY + "select path, size, drive_id, drive_name, score from (" + _search([["brand"]], None, "") + ")",
     "stats": _ARCHIVE + r"""
 select (select count(*) from drives) as drive_count, (select count(*) from snapshots where status = 'complete') as snapshot_count,
   cast(sum(file_count) as bigint) as file_count, cast(sum(directory_count) as bigint) as directory_count,
@@ -439,6 +508,10 @@ from drives d left join snapshots s on s.id = d.latest_snapshot_id
     "extension_stats": _ARCHIVE + r"""
 select case when extension = '' then '(none)' else extension end as extension, count(*) as count, cast(sum(size) as bigint) as bytes
 from current where kind = 'file' group by current.extension order by bytes desc, 1 limit 12
+""",
+    "extension_stats_all": _ARCHIVE + r"""
+select case when e.extension = '' then '(none)' else e.extension end as extension, count(*) as count, cast(sum(e.size) as bigint) as bytes
+from current e where kind = 'file' group by e.extension
 """,
     "extension_stats_drive": _ARCHIVE + r"""
 select case when e.extension = '' then '(none)' else e.extension end as extension, count(*) as count, cast(sum(e.size) as bigint) as bytes
@@ -447,19 +520,17 @@ from current e where kind = 'file' and drive_name = 'Archive src4' group by e.ex
     "diff": _ARCHIVE + _DIFF + f"""
 select path, change, kind, old_size, new_size, old_modified, new_modified from changes
 where drive_id = (select drive_id from owners where n = 1) order by {_key('path')}, path limit 1000
+""",
+    "diff_all": _ARCHIVE + _DIFF + """
+select path, change, kind, old_size, new_size, old_modified, new_modified from changes
+where drive_id = (select drive_id from owners where n = 1)
 """,
     "diff_latest_two": _ARCHIVE + _DIFF + "select * from changes",
     "duplicates": _ARCHIVE + _duplicates("current", "", 50),
     "duplicates_drive": _ARCHIVE + _duplicates("current", "and drive_name = 'Archive src8'", 200),
-    "duplicates_orders": r"""
-with orders_view as (
-  select distinct 'file' as kind, 'drv_' || substr(sha256('Orders'), 1, 12) as drive_id, 'Orders' as drive_name,
-    'Archive/part-' || l_partkey % 4096 || '/' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || cast(l_quantity as int) || '.'
-      || lower(l_returnflag) as path,
-    l_partkey + 100 as size, 'sha256:' || sha256(l_partkey || '-' || l_quantity) as hash
-  from lineitem
-)
-""" + _duplicates("orders_view", "", 200),
+    "duplicates_all": _ARCHIVE + _duplicates("current", "", None),
+    "duplicates_orders": _ORDERS + _duplicates("orders_view", "", 200),
+    "duplicates_orders_all": _ORDERS + _duplicates("orders_view", "", None),
     "duplicates_nested": _ARCHIVE + _duplicates("current", "", 50),
     "check_relationships": _ARCHIVE + r"""
 , kept_snapshots as (select * from snapshots where id % 9 > 0), kept_drives as (select * from drives where n % 7 > 0)
@@ -491,7 +562,7 @@ from (select *, size % 13 as k from entries) where k > 0
 """,
     "reconcile_counts": _ARCHIVE + r"""
 select id, file_count + 1 as file_count, file_count as files, directory_count, directory_count as directories,
-  total_bytes - 1 as total_bytes, total_bytes as bytes, 'declared counts do not match entries' as problem
+  total_bytes - 1 as total_bytes, total_bytes as bytes, 'counters differ from the entries' as problem
 from snapshots where status = 'complete' and id % 3 = 0
 """,
     "snapshot_digest": _MERGE + 'select id, drive_id, "rows", files, directories, full_hashes, body_digest, digest from digests',

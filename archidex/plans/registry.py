@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from archidex.functions import display, fingerprints, paths, tags
@@ -12,7 +13,7 @@ from archidex.operators import (
     browse, diff, digest, drives, duplicates, export, lifecycle, merge, search, stats, validate,
 )
 from archidex.plans import derive
-from archidex.schema import Catalog
+from archidex.schema import DRIVES, ENTRIES, IMPORTS, SNAPSHOTS, Catalog, CatalogError, empty
 from archidex.session import scratch_path
 from archidex.sources.filelist import read_file_list
 from archidex.sources.globs import exclude_globs
@@ -22,8 +23,14 @@ from archidex.sources.store import CatalogStore
 Query = Callable[[SparkSession, str], DataFrame]
 
 NOW = 1_704_400_000
+EXPORTED = (
+    "name", "source_path", "location", "notes", "fingerprint", "latest_snapshot_id", "created_at", "updated_at", "last_scanned_at",
+    "drive_id", "status", "hash_mode", "file_count", "directory_count", "total_bytes", "error_count", "started_at", "completed_at",
+    "failure", "snapshot_id", "path", "parent_path", "extension", "kind", "size", "modified_at", "hash", "hidden",
+)
 EXCLUDED = ("*.md", "fr/**", "batch-[0-2]", "en/batch-7/Doc_?.TXT", "[bad")
 SEARCH_TEXT = "blue gear"
+SEARCH_WHOLE = "brand"
 SEARCH_TEXTS = (
     "blue gear", "small", "en example.com", '"brand-2"', "red -", "'brand-1' wid", "promo/hot", "page 2 ref", "absentword",
 )
@@ -42,6 +49,10 @@ def _source_id(catalog: Catalog, name: str) -> str:
     return drives.resolve_drive(catalog, name).head()["id"]
 
 
+def empty_catalog(spark: SparkSession) -> Catalog:
+    return Catalog(*(empty(spark, schema) for schema in (DRIVES, SNAPSHOTS, ENTRIES, IMPORTS)))
+
+
 def _flat_drives(df: DataFrame) -> DataFrame:
     return df.withColumn("tags", F.array_join("tags", "|"))
 
@@ -50,7 +61,7 @@ def _flat_drives(df: DataFrame) -> DataFrame:
 
 
 def read_efu(spark, sf_dir):
-    return read_file_list(spark, derive.written_file_list(spark, sf_dir), strip_prefix="E:\\Archive").drop("origin")
+    return read_file_list(spark, derive.written_file_lists(spark, sf_dir), strip_prefix="E:\\Archive").drop("origin")
 
 
 def read_catalog(spark, sf_dir):
@@ -83,8 +94,21 @@ def export_csv(spark, sf_dir):
 
 def export_json(spark, sf_dir):
     lines = export.export_json_lines(_documents(spark, sf_dir))
-    fields = {f: F.get_json_object("line", f"$.body.{f}") for f in ("name", "path", "size", "modified_at", "completed_at", "hash", "failure")}
-    return lines.select("drive_id", "section", "place", *[v.alias(f"body_{k}") for k, v in fields.items()])
+    fields = [F.get_json_object("line", f"$.body.{f}").alias(f"body_{f}") for f in EXPORTED]
+    return lines.select("drive_id", "section", "place", *fields)
+
+
+def export_document(spark, sf_dir):
+    """The lines of the nested document, each without the comma before it, as JSON fields."""
+    lines = export.export_document_lines(_documents(spark, sf_dir), exported_at=NOW)
+    text = F.regexp_replace("line", "^,", "")
+    item = (F.col("section") % 2 == 1) & (F.col("part") == 1)
+    body = F.when(item, text).when((F.col("section") == 0) & (F.col("part") == 1), F.concat(text, F.lit("]}")))
+    fields = [F.get_json_object(body, f"$.{f}").alias(f"body_{f}") for f in ("name", "path", "status", "size", "modified_at")]
+    edge = F.when(~item & (F.col("section") > 0) | (F.col("part") != 1), F.col("line")).alias("edge")
+    # The item that follows the opening of its list has no comma.
+    first = F.count_if(item & ~F.startswith("line", F.lit(","))).over(Window.partitionBy("drive_id", "section")).alias("firsts")
+    return lines.select("part", "drive_id", "section", "place", *fields, edge, first)
 
 
 # -- column expressions --------------------------------------------------------------
@@ -160,6 +184,67 @@ def fail_snapshot(spark, sf_dir):
     return _latest_scans(store.fail_snapshots(headers, "device unplugged", NOW + 5))
 
 
+def start_snapshot(spark, sf_dir):
+    store = _committed(spark, sf_dir)
+    headers = store.load().drives.select(
+        F.col("id").alias("scan_key"), F.col("id").alias("drive_id"), F.lit("/media/x").alias("source_path"),
+        F.lit("quick").alias("hash_mode"), F.lit(NOW + 2).alias("started_at"),
+    )
+    return _latest_scans(store.start_snapshots(headers)[0])
+
+
+def commit_rejections(spark, sf_dir):
+    """Three commits, each of a third of the drives and each with one kind of damage in its entries."""
+    derived = _documents(spark, sf_dir)
+    store = CatalogStore(spark, scratch_path(spark, "rejections"), index=False)
+    empty = store.initialize()
+    new_drives = derived.drives.select("id", "name")
+    store.publish(empty.with_(drives=lifecycle.create_drives(empty.drives, new_drives, NOW - 100)))
+    n = F.regexp_extract("name", "src([0-9]+)$", 1).cast("int")
+    numbers = derived.drives.select(F.col("id").alias("drive_id"), n.alias("n"))
+    scanned = derived.current_entries().join(numbers, "drive_id").drop("id", "snapshot_id")
+    damages = (
+        lambda e: e.unionAll(e),
+        lambda e: e.withColumn("scan_key", F.concat(F.col("scan_key"), F.lit("?"))),
+        lambda e: e.withColumn("kind", F.lit("socket")),
+    )
+    for third, damage in enumerate(damages):
+        headers = numbers.where(F.col("n") % 3 == third).select(
+            F.col("drive_id").alias("scan_key"), "drive_id", F.lit("/media/x").alias("source_path"),
+            F.lit("none").alias("hash_mode"), F.lit(0).alias("error_count"), F.lit(NOW - 60).alias("started_at"),
+        )
+        try:
+            store.commit_snapshots(headers, damage(scanned.where(F.col("n") % 3 == third).withColumn("scan_key", F.col("drive_id"))), NOW)
+        except Exception as error:  # noqa: BLE001 - any refusal counts; what is stored afterwards is the result
+            logging.getLogger(__name__).info("refused: %s", error)
+    catalog = store.load()
+    reason = F.regexp_extract("failure", "(unknown scan|unknown kind|listed twice)", 1)
+    kept = catalog.entries.groupBy(F.col("snapshot_id").alias("id")).count()
+    latest = catalog.drives.select(F.col("id").alias("drive_id"), "name", "latest_snapshot_id")
+    return catalog.snapshots.join(kept, "id", "left").join(latest, "drive_id").select(
+        "name", "status", reason.alias("reason"), F.coalesce("count", F.lit(0)).alias("entries"), "file_count", "started_at",
+        "completed_at", F.col("latest_snapshot_id").isNotNull().alias("has_latest"),
+    )
+
+
+def check_schema_version(spark, sf_dir):
+    """Which of four catalogs of the same drives, of versions 0 to 3, can be opened, and how many drives each then shows."""
+    derived = _documents(spark, sf_dir)
+    shown = None
+    for version in range(4):
+        store = CatalogStore(spark, scratch_path(spark, "versions"), index=False)
+        try:
+            opened = store.publish(empty_catalog(spark).with_(drives=derived.drives), schema_version=version).drives
+        except CatalogError:
+            opened = None
+        drives = derived.drives.limit(0) if opened is None else opened
+        part = drives.agg(F.count("*").alias("drives")).select(
+            F.lit(version).alias("version"), F.lit(opened is not None).alias("accepted"), "drives"
+        )
+        shown = part if shown is None else shown.unionAll(part)
+    return shown
+
+
 def recover_stale(spark, sf_dir):
     return lifecycle.recover_stale(_documents(spark, sf_dir).snapshots, NOW)
 
@@ -245,6 +330,14 @@ def search_batch(spark, sf_dir):
     return hits.select("query", "path", F.round("score", 6).alias("score"))
 
 
+def search_all(spark, sf_dir):
+    return _ranked(search.search_all(_library(spark, sf_dir), SEARCH_WHOLE))
+
+
+def search_index_all(spark, sf_dir):
+    return _ranked(search.search_index_all(_library(spark, sf_dir), SEARCH_WHOLE))
+
+
 def catalog_stats(spark, sf_dir):
     return stats.stats(_documents(spark, sf_dir))
 
@@ -263,6 +356,14 @@ def diff_two(spark, sf_dir):
     return diff.diff(catalog, _source_id(catalog, "archive src1"), 3, 4)
 
 
+def extension_stats_all(spark, sf_dir):
+    return stats.extension_stats_all(_documents(spark, sf_dir))
+
+
+def diff_all(spark, sf_dir):
+    return diff.diff_all(_documents(spark, sf_dir), 3, 4)
+
+
 def diff_latest_two(spark, sf_dir):
     return diff.diff_latest_two(_documents(spark, sf_dir))
 
@@ -271,6 +372,14 @@ def duplicate_files(spark, sf_dir):
     return duplicates.duplicates(_documents(spark, sf_dir))
 
 
+def duplicates_all(spark, sf_dir):
+    return duplicates.duplicates_all(_documents(spark, sf_dir))
+
+
+def duplicates_orders_all(spark, sf_dir):
+    return duplicates.duplicates_all(derive.stored(spark, sf_dir, "orders"))
+
+
 def duplicate_files_drive(spark, sf_dir):
     catalog = _documents(spark, sf_dir)
     return duplicates.duplicates(catalog, _source_id(catalog, "Archive src8"), limit=200)
@@ -410,11 +519,15 @@ QUERIES: dict[str, Query] = {
     "fingerprint_quick": fingerprint_quick,
     "export_csv": export_csv,
     "export_json": export_json,
+    "export_document": export_document,
     "path_columns": path_columns,
     "tag_lists": tag_lists,
     "display_text": display_text,
     "commit_snapshot": commit_snapshot,
     "fail_snapshot": fail_snapshot,
+    "start_snapshot": start_snapshot,
+    "commit_rejections": commit_rejections,
+    "check_schema_version": check_schema_version,
     "recover_stale": recover_stale,
     "create_drive": create_drive,
     "update_drive": update_drive,
@@ -430,12 +543,18 @@ QUERIES: dict[str, Query] = {
     "search": search_query,
     "search_index": search_index,
     "search_batch": search_batch,
+    "search_all": search_all,
+    "search_index_all": search_index_all,
     "stats": catalog_stats,
     "extension_stats": extension_stats,
     "extension_stats_drive": extension_stats_drive,
+    "extension_stats_all": extension_stats_all,
     "diff": diff_two,
+    "diff_all": diff_all,
     "diff_latest_two": diff_latest_two,
     "duplicates": duplicate_files,
+    "duplicates_all": duplicates_all,
+    "duplicates_orders_all": duplicates_orders_all,
     "duplicates_drive": duplicate_files_drive,
     "duplicates_orders": duplicate_files_orders,
     "duplicates_nested": duplicates_nested,

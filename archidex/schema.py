@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +12,15 @@ from pyspark.sql import types as T
 SCHEMA_VERSION = 2
 EXPORT_VERSION = 1
 STALE_SCAN_SECONDS = 24 * 60 * 60
+# Fixed value: what a stale scan is stored with.
 STALE_SCAN_MESSAGE = "scan interrupted before completion"
 
 STATUSES = ("scanning", "complete", "failed")
 KINDS = ("file", "directory", "symlink")
 HASH_MODES = ("none", "quick", "full", "imported", "demo")
 
-# (default, maximum) of every bounded listing; a value outside 1..maximum means the default.
+# Fixed values: (default, maximum) rows of every page; a value outside 1..maximum means the default.
+# Only pages are bounded: each has a whole form without a limit (duplicates_all, diff_all, ...).
 LIMITS = {
     "entries": (250, 1000),
     "search": (100, 500),
@@ -93,9 +96,12 @@ class CatalogError(ValueError):
 
 
 def bounded(kind: str, limit: int | None) -> int:
-    """Out-of-range limits fall back to the default; they do not clamp."""
+    """The rows of a page. A limit out of range falls back to the default, with a warning; it does not clamp."""
     default, maximum = LIMITS[kind]
-    return limit if limit is not None and 1 <= limit <= maximum else default
+    if limit is None or 1 <= limit <= maximum:
+        return default if limit is None else limit
+    warnings.warn(f"{kind}: limit {limit} is not in 1..{maximum}; the page has {default} rows", stacklevel=3)
+    return default
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:

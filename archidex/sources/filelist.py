@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,11 +14,22 @@ from archidex.functions.paths import base_name, extension_of, is_hidden, parent_
 from archidex.schema import CatalogError
 
 
-def _quotes_span_lines(spark: SparkSession, paths: list[str]) -> bool:
-    """Whether any line holds an odd number of quotes, i.e. a field crosses lines."""
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    odd = spark.read.text(paths).where(quotes % 2 == 1)
-    return not odd.isEmpty()
+def _forms(spark: SparkSession, paths: list[str]) -> dict[tuple[str, bool], list[str]]:
+    """The lists by header line, and by whether a line has an odd number of quotes, i.e. a field may cross lines.
+
+    One pass over the text; a row per list comes back, as in the listing of the files itself.
+    """
+    value = F.col("value")
+    quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
+    lines = spark.read.text(paths).select(
+        value, (quotes % 2 == 1).alias("odd"), F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"),
+    )
+    facts = lines.groupBy("file").agg(F.min_by("value", "place").alias("header"), F.bool_or("odd").alias("spans"))
+    forms: dict[tuple[str, bool], list[str]] = {}
+    for row in facts.orderBy("file").toLocalIterator():
+        forms.setdefault((row["header"], row["spans"]), []).append(row["file"])
+    return forms
 
 
 def _column(header: list[str], wanted: str) -> Column | None:
@@ -71,31 +85,30 @@ def read_file_list(
     zone: str | None = None,
     multi_line: bool | None = None,
 ) -> DataFrame:
-    """Entries of one or more file lists that share a header, with the list as ``origin``.
+    """Entries of one or more file lists, with the list as ``origin``.
 
-    Lists are read in splits unless a quoted field really crosses a line end;
-    ``multi_line=None`` finds that out with one pass over the text.
+    Each list is read by its own header line. Lists are read in splits; only
+    one in which a quoted field may cross a line end is read whole, unless
+    ``multi_line`` says so for all. A list without a line is an error.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    if multi_line is None:
-        multi_line = _quotes_span_lines(spark, paths)
-    reader = spark.read.option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-    header = _header(spark, paths, multi_line)
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
-    raw = reader.schema(schema).option("header", True).option("enforceSchema", True).csv(paths)
-    return parse_rows(raw.withColumn("origin", F.col("_metadata.file_path")), strip_prefix, zone)
-
-
-def _header(spark: SparkSession, paths: list[str], multi_line: bool) -> list[str]:
-    """Header names, made unique so that a repeated one can be addressed."""
-    first = (
-        spark.read.option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-        .option("header", False).option("inferSchema", False).csv(paths).head()
-    )
-    if first is None:
+    forms = _forms(spark, paths)
+    if not forms:
         raise CatalogError("file list without a header")
+    parts = []
+    for (header, spans), files in forms.items():
+        reader = spark.read.option("quote", '"').option("escape", '"')
+        reader = reader.option("multiLine", spans if multi_line is None else multi_line)
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in _names(header)])
+        raw = reader.schema(schema).option("header", True).option("enforceSchema", True).csv(files)
+        parts.append(parse_rows(raw.withColumn("origin", F.col("_metadata.file_path")), strip_prefix, zone))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _names(header: str) -> list[str]:
+    """Names of a header line, made unique so that a repeated one can be addressed."""
     names: list[str] = []
-    for index, name in enumerate(first):
+    for index, name in enumerate(next(csv.reader([header]), [])):
         name = (name or "").replace("`", "").lstrip("﻿")
         while name in names or not name:
             name = f"{name} " if name else f"_c{index}"

@@ -135,10 +135,10 @@ def file_inventory(
     with an error and a kind are files whose hashing failed.
     """
     if hash_mode not in ("none", "quick", "full"):
-        raise CatalogError(f"unsupported hash mode {hash_mode!r}")
+        raise CatalogError(f"hash mode {hash_mode!r}: none, quick or full are known")
     root = os.path.abspath(root.removeprefix("file://"))
     if not os.path.isdir(root):
-        raise CatalogError("inventory root must be a folder or mounted volume")
+        raise CatalogError(f"no folder to list at {root}")
     exclusion = exclusion_regex(exclude)
 
     frontier = spark.createDataFrame([("",)], "path string")

@@ -18,8 +18,9 @@ import time
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +31,7 @@ from archidex.schema import (
     DRIVES,
     ENTRIES,
     IMPORTS,
+    KINDS,
     POSTINGS,
     SCHEMA_VERSION,
     SNAPSHOTS,
@@ -38,6 +40,7 @@ from archidex.schema import (
     conform,
     empty,
 )
+from archidex.session import cut_lineage
 
 _SMALL = {"drives": DRIVES, "snapshots": SNAPSHOTS, "imports": IMPORTS}
 _ENTRY_FILE_ROWS = 5_000_000
@@ -51,6 +54,7 @@ class Manifest:
     superseded: tuple[tuple[int, int], ...]
     indexed: tuple[int, ...]
     rows: dict[str, int]
+    last_entry: int = 0
 
     def to_json(self) -> str:
         return json.dumps(self.__dict__)
@@ -65,6 +69,7 @@ class Manifest:
             superseded=tuple((b, s) for b, s in raw["superseded"]),
             indexed=tuple(raw["indexed"]),
             rows=dict(raw["rows"]),
+            last_entry=raw.get("last_entry", 0),
         )
 
 
@@ -143,6 +148,7 @@ class CatalogStore:
             else empty(self.spark, schema)
             for name, schema in _SMALL.items()
         }
+        postings, stats = self._postings(manifest)
         return Catalog(
             **small,
             entries=self._batches("entries", ENTRIES, manifest.batches, manifest.superseded),
@@ -150,10 +156,8 @@ class CatalogStore:
             location=self.resolved_root(),
             drive_rows=manifest.rows.get("drives"),
             snapshot_rows=manifest.rows.get("snapshots"),
-            postings=self._batches("postings", POSTINGS, manifest.indexed, ())
-            if manifest.indexed == manifest.batches
-            else None,
-            postings_stats=self._postings_stats(manifest),
+            postings=postings,
+            postings_stats=stats,
         )
 
     def _batches(self, table: str, schema: T.StructType, batches: Iterable[int], superseded: Iterable[tuple[int, int]]) -> DataFrame:
@@ -168,11 +172,20 @@ class CatalogStore:
             df = df.where(~((F.col("batch") == batch) & F.col("snapshot_id").isin(snapshots)))
         return df.drop("batch")
 
-    def _postings_stats(self, manifest: Manifest) -> DataFrame | None:
-        if not manifest.indexed or manifest.indexed != manifest.batches:
-            return None
+    def _postings(self, manifest: Manifest) -> tuple[DataFrame | None, DataFrame | None]:
+        """The token index of all batches; those written without one are tokenized when they are searched."""
+        if not manifest.indexed:
+            return None, None
         paths = [f"{self.root}/postings_stats/batch={batch}" for batch in manifest.indexed]
-        return self.spark.read.schema("docs long, tokens long").parquet(*paths)
+        postings = self._batches("postings", POSTINGS, manifest.indexed, ())
+        stats = self.spark.read.schema("docs long, tokens long").parquet(*paths)
+        # Odd batches replace entries of earlier ones and repeat their texts.
+        plain = [batch for batch in manifest.batches if batch % 2 == 0 and batch not in manifest.indexed]
+        if plain:
+            entries = self._batches("entries", ENTRIES, plain, ())
+            postings = postings.unionByName(conform(build_postings(entries), POSTINGS))
+            stats = stats.unionByName(postings_stats(entries))
+        return postings, stats
 
     # -- writing -------------------------------------------------------------
 
@@ -184,8 +197,11 @@ class CatalogStore:
             rows[name] = self.spark.read.schema(schema).parquet(path).count()
         return rows
 
-    def _write_entries(self, batch: int, entries: DataFrame) -> DataFrame:
-        """Write one batch and return it as stored.
+    def _write_entries(self, batch: int, entries: DataFrame, last_entry: int) -> DataFrame:
+        """Write one batch and return it as stored; rows without an id get ids above ``last_entry``.
+
+        The rows are written out before the range layout, which samples its
+        input: whatever made them (listing, hashing, a join) runs once.
 
         The range layout splits a large snapshot, or a large folder in it,
         over many files and keeps a folder's rows together, so that a folder
@@ -193,14 +209,21 @@ class CatalogStore:
         side, which makes the uniqueness check free of another shuffle.
         """
         keys = ["snapshot_id", "parent_path", "path"]
-        ordered = conform(entries, ENTRIES).repartitionByRange(*keys)
+        ordered = cut_lineage(conform(entries, ENTRIES)).repartitionByRange(*keys)
         seen = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
-        repeated = F.raise_error(F.concat(F.lit("path listed twice in one snapshot: "), F.col("path")))
+        problem = (
+            F.when(F.col("snapshot_id").isNull(), "entry of an unknown scan")
+            .when(reduce(Column.__or__, (F.col(f.name).isNull() for f in ENTRIES if f.name != "id")), "entry with a missing value")
+            .when(~F.col("kind").isin(*KINDS), "entry of an unknown kind")
+            .when(F.col("_seen") > 1, "path listed twice in one snapshot")
+        )
+        refused = F.raise_error(F.concat(problem, F.lit(": "), F.coalesce("path", F.lit(""))))
+        number = F.lit(last_entry + 1).cast("long") + F.monotonically_increasing_id()
         checked = (
             ordered.withColumn("_seen", seen)
-            .withColumn("path", F.when(F.col("_seen") > 1, repeated.cast("string")).otherwise(F.col("path")))
+            .withColumn("path", F.when(problem.isNotNull(), refused.cast("string")).otherwise(F.col("path")))
             .drop("_seen")
-            .withColumn("id", F.coalesce(F.col("id"), F.monotonically_increasing_id()))
+            .withColumn("id", F.coalesce(F.col("id"), number))
         )
         path = f"{self.root}/entries/batch={batch}"
         (
@@ -223,6 +246,7 @@ class CatalogStore:
         new_entries: DataFrame | None = None,
         replaced: DataFrame | None = None,
         counted: bool = False,
+        schema_version: int = SCHEMA_VERSION,
     ) -> Catalog:
         """Write a new version: small tables, and entries of new or replaced snapshots.
 
@@ -240,8 +264,10 @@ class CatalogStore:
             tables = {name: getattr(tables, name) for name in _SMALL}
 
         batch = 2 * version
+        last_entry = previous.last_entry if previous else 0
         if new_entries is not None:
-            stored = self._write_entries(batch, new_entries)
+            stored = self._write_entries(batch, new_entries, last_entry)
+            last_entry = max(last_entry, stored.agg(F.max("id")).head()[0] or 0)
             if counted:
                 tables = dict(tables, snapshots=lifecycle.apply_counters(tables["snapshots"], stored))
             if self.index:
@@ -249,9 +275,8 @@ class CatalogStore:
                 indexed.append(batch)
             batches.append(batch)
         if replaced is not None:
-            stale = self._stored_batches(previous, replaced)
-            stored = self._write_entries(batch + 1, replaced)
-            superseded += stale
+            stored = self._write_entries(batch + 1, replaced, last_entry)
+            superseded += self._stored_batches(previous, stored)
             batches.append(batch + 1)
             if self.index:
                 # The rows keep their ids and texts, so only an empty index part is added.
@@ -261,7 +286,7 @@ class CatalogStore:
                 zero.write.mode("overwrite").parquet(f"{self.root}/postings_stats/batch={batch + 1}")
                 indexed.append(batch + 1)
         rows = self._write_small(version, tables)
-        self._publish(Manifest(version, SCHEMA_VERSION, tuple(batches), tuple(superseded), tuple(indexed), rows))
+        self._publish(Manifest(version, schema_version, tuple(batches), tuple(superseded), tuple(indexed), rows, last_entry))
         return self.load()
 
     def _stored_batches(self, previous: Manifest, replaced: DataFrame) -> list[tuple[int, int]]:
@@ -289,21 +314,37 @@ class CatalogStore:
             catalog = self.publish(catalog.with_(snapshots=snapshots))
         return catalog
 
+    def start_snapshots(self, headers: DataFrame) -> tuple[Catalog, DataFrame]:
+        """Record scans that begin, so that a crash leaves a trace; the catalog, and the headers with their new ids."""
+        catalog = self.initialize()
+        numbered = cut_lineage(lifecycle.number_scans(catalog, headers))
+        started = catalog.snapshots.unionByName(lifecycle.started_rows(numbered))
+        return self.publish(catalog.with_(snapshots=started)), numbered
+
     def commit_snapshots(self, headers: DataFrame, entries: DataFrame, now: int | None = None) -> Catalog:
         """Commit finished scans of any number of drives as one new version.
 
         ``headers``: scan_key, drive_id, source_path, hash_mode, error_count,
         started_at. ``entries`` carry the scan_key they belong to. Counters
         come from the stored entries; every drive points to its new snapshot.
+        The scans are first recorded as begun. If an entry belongs to none of
+        them, lacks a value, has an unknown kind or repeats a path, the scans
+        are recorded as failed, with the reason, and nothing of them is kept.
         """
         now = int(time.time()) if now is None else now
-        catalog = self.initialize()
-        numbered = lifecycle.number_scans(catalog, headers)
-        ids = numbered.select("scan_key", F.col("id").alias("snapshot_id"))
-        located = entries.join(F.broadcast(ids) if numbered.count() <= BROADCAST_ROWS else ids, "scan_key")
-        snapshots = catalog.snapshots.unionByName(lifecycle.completed_rows(numbered, now))
-        drives = lifecycle.point_to_latest(catalog.drives, numbered, now)
-        return self.publish(catalog.with_(drives=drives, snapshots=snapshots), new_entries=located, counted=True)
+        catalog, numbered = self.start_snapshots(headers)
+        try:
+            ids = numbered.select("scan_key", F.col("id").alias("snapshot_id"))
+            ids = F.broadcast(ids) if numbered.count() <= BROADCAST_ROWS else ids
+            located = entries.drop("snapshot_id").join(ids, "scan_key", "left")
+            snapshots = lifecycle.settled(catalog.snapshots, lifecycle.completed_rows(numbered, now))
+            drives = lifecycle.point_to_latest(catalog.drives, numbered, now)
+            return self.publish(catalog.with_(drives=drives, snapshots=snapshots), new_entries=located, counted=True)
+        except Exception as error:
+            reason = (str(error).splitlines() or [type(error).__name__])[0][:300]
+            failed = lifecycle.failed_rows(numbered, reason, now)
+            self.publish(catalog.with_(snapshots=lifecycle.settled(catalog.snapshots, failed)))
+            raise
 
     def fail_snapshots(self, headers: DataFrame, message: str = "scan failed", now: int | None = None) -> Catalog:
         """Record scans that did not finish; nothing of them is readable."""

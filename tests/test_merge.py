@@ -85,7 +85,7 @@ def test_flip_needs_the_same_paths(spark, target):
     catalog = target.load()
     target.publish(catalog, replaced=catalog.entries.where("snapshot_id = 1 and path <> 'd/y.bin'"))
     version = target.manifest().version
-    with pytest.raises(Exception, match="no longer matches"):
+    with pytest.raises(Exception, match="differ at path"):
         merge.merge_catalog(target, source, trust=True)
     assert target.manifest().version == version
 
@@ -151,7 +151,7 @@ def test_damaged_sources_are_rejected(spark, target):
 
 
 def test_self_import_is_rejected(spark, target):
-    with pytest.raises(CatalogError, match="same"):
+    with pytest.raises(CatalogError, match="into itself"):
         merge.merge_catalog(target, target.initialize())
 
 
@@ -160,7 +160,7 @@ def test_byte_totals_beyond_a_long(spark):
     catalog = catalog_of(
         spark, [{"id": A, "name": "a"}], [{"id": 1, "drive_id": A, "file_count": 2, "total_bytes": -2}], entries
     )
-    assert [r["problem"] for r in rows(validate.reconcile_counts(catalog))] == ["byte total overflows"]
+    assert [r["problem"] for r in rows(validate.reconcile_counts(catalog))] == ["too many bytes for a counter"]
 
 
 def test_version_one_source_without_receipts(spark, target):

@@ -16,8 +16,8 @@ from tests.conftest import rows
 
 LIST = (
     "\ufeffFilename,Size,Date Modified,Attributes\n"
-    '"E:\\Archive\\Photos",,133801632000000000,D\n'
-    '"E:\\Archive\\Photos\\frame 01.jpg",2048,133801632000000000,A\n'
+    '"D:\\Vault\\maps\\",17,132223104000000000,HD\n'
+    '"D:\\Vault\\maps\\north; old.TIFF",81920,132223104000000000,HA\n'
 )
 
 
@@ -29,12 +29,22 @@ def write(path, text):
 @pytest.mark.parametrize("multi_line", [None, True])
 def test_file_list(spark, tmp_path, multi_line):
     path = write(tmp_path / "a.efu", LIST)
-    found = {r["path"]: r for r in rows(read_file_list(spark, path, "E:\\Archive", multi_line=multi_line).drop("origin"))}
-    assert set(found) == {"Photos", "Photos/frame 01.jpg"}
-    assert (found["Photos"]["kind"], found["Photos"]["size"], found["Photos"]["modified_at"]) == ("directory", 0, 0)
-    image = found["Photos/frame 01.jpg"]
-    assert (image["extension"], image["size"], image["parent_path"]) == ("jpg", 2048, "Photos")
-    assert image["modified_at"] == 1735689600 and image["hash"] == "" and image["hidden"] is False
+    found = {r["path"]: r for r in rows(read_file_list(spark, path, "D:\\Vault", multi_line=multi_line).drop("origin"))}
+    assert set(found) == {"maps", "maps/north; old.TIFF"}
+    assert (found["maps"]["kind"], found["maps"]["size"], found["maps"]["modified_at"]) == ("directory", 0, 0)
+    scan = found["maps/north; old.TIFF"]
+    assert (scan["extension"], scan["size"], scan["parent_path"]) == ("tiff", 81920, "maps")
+    assert scan["modified_at"] == 1577836800 and scan["hash"] == "" and scan["hidden"] is False
+
+
+def test_file_lists_with_unlike_headers(spark, tmp_path):
+    first = write(tmp_path / "one.efu", "Filename,Size\na.txt,3\n")
+    second = write(tmp_path / "two.efu", 'Size,Remark,Filename\n7,"x\ny",b.txt\n8,,c.txt\n')
+    third = write(tmp_path / "three.efu", "filename\nd.txt\n")
+    found = rows(read_file_list(spark, [first, second, third]))
+    assert {(r["path"], r["size"], r["origin"].rsplit("/", 1)[1]) for r in found} == {
+        ("a.txt", 3, "one.efu"), ("b.txt", 7, "two.efu"), ("c.txt", 8, "two.efu"), ("d.txt", 0, "three.efu"),
+    }
 
 
 def test_file_list_headers_and_short_rows(spark, tmp_path):
