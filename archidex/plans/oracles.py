@@ -365,7 +365,7 @@ def _document() -> str:
     bare = f"{none} as body_name, {none} as body_path, {none} as body_status, {none} as body_size, {none} as body_modified_at"
     return _ARCHIVE + f"""
 select 0 as part, '' as drive_id, 0 as section, '' as place, {bare},
-  '{{"version":1,"exported_at":"' || {_time(str(NOW), True)} || '","drives":[' as edge, 0 as firsts
+  '{{"version":1,"exported_at":"' || {_time(f"{NOW}::bigint", True)} || '","drives":[' as edge, 0 as firsts
 union all
 select 1, id, 0, '', name, null, null, null, null, null, 0 from drives
 union all
@@ -444,7 +444,7 @@ select name, source_path, (select max(snapshot_id) from done) + row_number() ove
     "start_snapshot": _COMMITTED + f"""
 select * from done
 union all
-select name, '/media/x', (select max(snapshot_id) from done) + row_number() over (order by snapshot_id), 'scanning', 0, 0, 0, 0,
+select name, source_path, (select max(snapshot_id) from done) + row_number() over (order by snapshot_id), 'scanning', 0, 0, 0, 0,
   {NOW + 2}, null, updated_at, '', false from done
 """,
     "commit_rejections": _ARCHIVE + f"""

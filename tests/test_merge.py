@@ -214,18 +214,19 @@ def test_digest_sees_every_field_and_no_order(spark):
         assert body(base.with_(entries=changed)) != first, column
 
 
-def test_digest_depth_does_not_lose_rows(spark, monkeypatch):
-    from archidex.operators import digest
-
-    entries = [entry(1, f"f/{i:05d}", i) for i in range(3000)]
-    catalog = catalog_of(spark, [{"id": A, "name": "a"}], [{"id": 1, "drive_id": A}], entries)
+def test_digest_needs_neither_order_nor_counters(spark):
+    """Symlinks alone are in no counter; rows in any order and layout give one digest, any other rows another."""
+    entries = [entry(1, f"links/{i:05d}", i, kind="symlink") for i in range(3000)]
+    catalog = catalog_of(spark, [{"id": A, "name": "a"}], [{"id": 1, "drive_id": A, "file_count": 77}], entries)
     seen = set()
-    for leaf in (65_536, 0.5, 0.0001):
-        monkeypatch.setattr(digest, "LEAF_ROWS", leaf)
-        found = rows(snapshot_summary(catalog))[0]
-        assert (found["rows"], found["files"], int(found["bytes"]), found["problem"]) == (3000, 3000, sum(range(3000)), None)
+    for order in (catalog.entries, catalog.entries.repartition(7, "path"), catalog.entries.orderBy(F.col("path").desc())):
+        found = rows(snapshot_summary(catalog.with_(entries=order)))[0]
+        assert (found["rows"], found["files"], found["directories"], found["problem"]) == (3000, 0, 0, None)
         seen.add(found["body_digest"])
-    assert len(seen) == 3
+    assert len(seen) == 1
+    fewer = snapshot_summary(catalog.with_(entries=catalog.entries.where("path <> 'links/00007'")))
+    twice = snapshot_summary(catalog.with_(entries=catalog.entries.unionAll(catalog.entries.where("path = 'links/00007'"))))
+    assert len({*seen, rows(fewer)[0]["body_digest"], rows(twice)[0]["body_digest"]}) == 3
 
 
 def test_empty_snapshot_is_imported(spark, target):
