@@ -232,14 +232,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     """key, item_id, distance and item_chars of every benchmark item in every document. No shuffle."""
     out = None
     for ids, items in item_blocks(benchmark):
-        shown = F.array(*(F.lit(i) for i in ids)) if ids else F.array().cast("array<long>")
-        sizes = F.array(*(F.lit(len(normal(t))).cast("long") for t in items)) if ids else F.array().cast("array<long>")
-        hits = docs.select(F.col(key), F.explode(passages(docs, items, text)).alias("hit"))
-        part = hits.select(
-            key,
-            F.get(shown, F.col("hit.item")).alias("item_id"),
-            F.col("hit.distance").alias("distance"),
-            F.get(sizes, F.col("hit.item")).alias("item_chars"),
-        )
+        rows = [(number, i, len(normal(t))) for number, (i, t) in enumerate(zip(ids, items, strict=True))]
+        # As many rows as the block has items, which its size bounds.
+        named = F.broadcast(docs.sparkSession.createDataFrame(rows, "item int, item_id long, item_chars long"))
+        hits = docs.select(F.col(key).alias("key"), F.explode(passages(docs, items, text)).alias("hit")).select("key", "hit.*")
+        part = hits.join(named, "item").select(F.col("key").alias(key), "item_id", "distance", "item_chars")
         out = part if out is None else out.unionAll(part)
     return out
