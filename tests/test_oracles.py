@@ -8,11 +8,9 @@ from archidex.plans.registry import QUERIES
 from tests.check_oracles import connect, differences
 
 SF = "/root/testdata/sf0.001"
-
-
-@pytest.fixture(scope="module")
-def duck():
-    return connect(SF)
+# The smallest tables hold nothing that these find.
+LARGER = "/root/testdata/sf0.01"
+NEED_MORE_ROWS = {"duplicates_drive", "search", "search_index"}
 
 
 def test_every_query_has_its_sql():
@@ -24,6 +22,6 @@ def test_entry(spark):
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query_equals_sql(spark, duck, name):
-    problem = differences(spark, duck, SF, QUERIES[name], ORACLES[name])
-    assert problem is None, problem
+def test_query_equals_sql(spark, name):
+    sf_dir = LARGER if name in NEED_MORE_ROWS else SF
+    assert differences(spark, connect(sf_dir), sf_dir, QUERIES[name], ORACLES[name]) is None
