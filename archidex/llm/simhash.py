@@ -32,6 +32,7 @@ SEED = 42
 DISTANCE = 4
 SEGMENT_BITS = 32
 BLOCK = 2048
+EDGES_PER_FILE = 500_000
 COUNTED_AT_ONCE = 1 << 16
 
 
@@ -200,7 +201,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before, now = None, state(edges)
     while before != now and now[0]:
-        edges = cut_lineage(star(star(edges, larger=True), larger=False))
+        # A round has no more edges than the last one, whose number says how many files it needs.
+        files = now[0] // EDGES_PER_FILE + 1
+        edges = cut_lineage(star(star(edges, larger=True), larger=False).coalesce(files))
         before, now = now, state(edges)
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots)
