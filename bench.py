@@ -79,7 +79,7 @@ def main() -> None:
     queries["merge_repeat"] = timed(lambda: merge.merge_catalog(target, catalog))
     queries["merge_trust"] = timed(lambda: merge.merge_catalog(target, catalog, trust=True))
 
-    lists = derive.written_file_list(spark, SF_DIR)
+    lists = derive.written_file_lists(spark, SF_DIR)
     queries["read_efu"] = timed(lambda: run(read_file_list(spark, lists, strip_prefix="E:\\Archive")))
     queries["fingerprint_full"] = timed(lambda: run(registry.fingerprint_full(spark, SF_DIR)))
     queries["fingerprint_quick"] = timed(lambda: run(registry.fingerprint_quick(spark, SF_DIR)))
