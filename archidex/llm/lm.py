@@ -37,7 +37,7 @@ MASS = 50.0
 ADDED = 0.5
 BLOCK_BYTES = 8 << 20
 RANGE_KEYS = 1 << 20
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 
 # No word holds white space, so these stand for no word: the end and the begin of a text.
 END, BEGIN = b"\n", b" "
@@ -122,11 +122,30 @@ class Block:
                 yield order, int(ranges[a]), slice(int(a), int(b))
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers as planes of like bytes: of numbers that are alike, most planes are constant and cost nothing compressed."""
+    return np.ascontiguousarray(values.astype("<i8", copy=False).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, dtype=np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys of one range as the steps between them, which are shorter than the keys."""
+    return _packed(np.diff(keys, prepend=np.uint64(0)).view(np.int64))
+
+
+def _unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data).view(np.uint64), dtype=np.uint64)
+
+
 def _send(bits: int):
     def run(key: tuple, group: pa.Table) -> pa.Table:
         block = Block(group.column("text").to_pylist(), group.column("taught").to_numpy().astype(bool))
         rows = [
-            (order, part, key[0].as_py(), block.own[order][0][at].tobytes(), block.own[order][1][at].astype(np.int32).tobytes())
+            (order, part, key[0].as_py(), _packed_keys(block.own[order][0][at]), _packed(block.own[order][1][at]))
             for order, part, at in block.chunks(bits)
         ]
         return _table(rows, [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()], ["kind", "part", "block", "keys", "counts"])
@@ -141,12 +160,12 @@ def _table(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.
 
 def _add(group: pa.Table) -> pa.Table:
     """What the other blocks have counted of each block's keys of one range; nothing where that is all zero."""
-    keys = [np.frombuffer(b, dtype=np.uint64) for b in group.column("keys").to_pylist()]
-    own = np.concatenate([np.frombuffer(b, dtype=np.int32) for b in group.column("counts").to_pylist()]).astype(np.int64)
+    keys = [_unpacked_keys(b) for b in group.column("keys").to_pylist()]
+    own = np.concatenate([_unpacked(b) for b in group.column("counts").to_pylist()])
     _, sums, places = _counted(np.concatenate(keys), own)
     others = np.split(sums[places] - own, np.cumsum([len(k) for k in keys])[:-1])
     heads = zip(*(group.column(c).to_pylist() for c in ("kind", "part", "block")), strict=True)
-    rows = [(*head, x.tobytes()) for head, x in zip(heads, others, strict=True) if x.any()]
+    rows = [(*head, _packed(x)) for head, x in zip(heads, others, strict=True) if x.any()]
     return _table(rows, [pa.int32(), pa.int64(), pa.int64(), pa.binary()], ["kind", "part", "block", "others"])
 
 
@@ -178,7 +197,7 @@ def _score(bits: int, n: int, v: int, mass: float):
         taught = left.column("taught").to_numpy().astype(bool)
         block = Block(left.column("text").to_pylist(), taught)
         others = {
-            (order, part): np.frombuffer(x, dtype=np.int64)
+            (order, part): _unpacked(x)
             for order, part, x in zip(*(right.column(c).to_pylist() for c in ("kind", "part", "others")), strict=True)
         }
         counts = {order: own.copy() for order, (_, own) in block.own.items()}
@@ -207,14 +226,14 @@ def _distinct_words(bits: int):
     """Distinct word hashes of each slice's training texts, packed by range, with the tokens' number."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sliced(batches, "text", BLOCK_BYTES):
+        for part in sliced(batches, "text", 4 * BLOCK_BYTES):
             tokens, _ = hashed(part.column("text").to_pylist())
             block = np.unique(tokens)
             ranges = (block >> np.uint64(64 - bits)).astype(np.int64)
             starts = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1]])).tolist()
             stops = [*starts[1:], len(block)]
             counts = [len(tokens), *[0] * (len(starts) - 1)]
-            columns = [ranges[starts].tolist(), [block[a:b].tobytes() for a, b in zip(starts, stops, strict=True)], counts]
+            columns = [ranges[starts].tolist(), [_packed_keys(block[a:b]) for a, b in zip(starts, stops, strict=True)], counts]
             types = [pa.int64(), pa.binary(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["part", "keys", "n"])
 
@@ -222,7 +241,7 @@ def _distinct_words(bits: int):
 
 
 def _count_distinct(group: pa.Table) -> pa.Table:
-    keys = np.concatenate([np.frombuffer(b, dtype=np.uint64) for b in group.column("keys").to_pylist()])
+    keys = np.concatenate([_unpacked_keys(b) for b in group.column("keys").to_pylist()])
     return pa.table({"n": [sum(group.column("n").to_pylist())], "v": [len(np.unique(keys))]})
 
 
