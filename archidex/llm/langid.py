@@ -33,33 +33,65 @@ ROUNDS = 3
 SMOOTHING = 0.01
 UNKNOWN_SHARE = 1e-7
 CHUNK = 32
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 UNDECIDED = "und"
 SCHEMA = "lang_pred string, score double"
 
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+class PieceTrie:
+    """The vocabulary as a trie in sorted arrays, so that many places are looked up at once."""
+
+    def __init__(self, pieces: tuple[str, ...]):
+        nodes = {"": 0}
+        for piece in pieces:
+            for end in range(1, len(piece) + 1):
+                nodes.setdefault(piece[:end], len(nodes))
+        steps = sorted((nodes[prefix[:-1]] << 21 | ord(prefix[-1]), node) for prefix, node in nodes.items() if prefix)
+        self.keys = np.array([key for key, _ in steps] or [-1], dtype=np.int64)
+        self.children = np.array([node for _, node in steps] or [0], dtype=np.int64)
+        self.piece = np.full(len(nodes), -1, dtype=np.int64)  # of the node's prefix, if it is one
+        self.piece[[nodes[p] for p in pieces]] = range(len(pieces))
+        self.unknown = len(pieces)
+
+    def step(self, nodes: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which nodes have a child by their letter, and those children."""
+        wanted = nodes << 21 | letters
+        found = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        has = self.keys[found] == wanted
+        return has, self.children[found[has]]
+
+
 class Lattice:
     """All pieces at all places of a list of distinct chunks, ready for sums over segmentations."""
 
-    def __init__(self, prefixes: dict[str, int], chunks: list[str]):
-        get, unknown = prefixes.get, prefixes[""]
-        words, starts, ends, pieces = [], [], [], []
-        for number, chunk in enumerate(chunks):
-            size = len(chunk)
-            for start in range(size):
-                end = start + 1
-                piece = get(chunk[start:end])
-                if piece is None or piece < 0:  # a single character always counts, if only as the unknown piece
-                    words.append(number), starts.append(start), ends.append(end), pieces.append(unknown)
-                while piece is not None:
-                    if piece >= 0:
-                        words.append(number), starts.append(start), ends.append(end), pieces.append(piece)
-                    end += 1
-                    piece = get(chunk[start:end]) if end <= size else None
+    def __init__(self, trie: PieceTrie, chunks: list[str]):
+        letters = np.frombuffer("".join(chunks).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
         self.sizes = np.array([len(c) for c in chunks], dtype=np.int64)
-        self.words, self.starts, self.ends, self.pieces = (np.array(x, dtype=np.int64) for x in (words, starts, ends, pieces))
+        stops = np.cumsum(self.sizes)
+        word = np.repeat(np.arange(len(chunks)), self.sizes)
+        first, stop = (stops - self.sizes)[word], stops[word]
+        at, node = np.arange(len(letters)), np.zeros(len(letters), dtype=np.int64)
+        found, length = [], 0
+        while len(at):
+            has, children = trie.step(node, letters[at + length])
+            length += 1
+            if length == 1:  # a single character always counts, if only as the unknown piece
+                piece = np.full(len(at), trie.unknown)
+                piece[has] = np.where(trie.piece[children] >= 0, trie.piece[children], trie.unknown)
+                found.append((at, at + 1, piece))
+                at, node = at[has], children
+            else:
+                at, node = at[has], children
+                whole = trie.piece[node] >= 0
+                found.append((at[whole], at[whole] + length, trie.piece[node[whole]]))
+            more = at + length < stop[at]
+            at, node = at[more], node[more]
+        none = np.empty(0, dtype=np.int64)
+        starts, ends, self.pieces = (np.concatenate([none, *x]) for x in (zip(*found, strict=True) if found else ([], [], [])))
+        self.words = word[starts]
+        self.starts, self.ends = starts - first[starts], ends - first[starts]
 
     def _sums(self, weights: np.ndarray, source: np.ndarray, target: np.ndarray, order: range) -> np.ndarray:
         """Sum of weight products of all ways from the first place of ``order`` to each place, per word and language."""
@@ -102,16 +134,6 @@ def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
-def piece_prefixes(pieces: tuple[str, ...]) -> dict[str, int]:
-    """Number of each piece; -1 for what only begins a piece; the empty string stands for the unknown piece."""
-    table = {"": len(pieces)}
-    for number, piece in enumerate(pieces):
-        table[piece] = number
-        for end in range(1, len(piece)):
-            table.setdefault(piece[:end], -1)
-    return table
-
-
 @dataclass(frozen=True, eq=False)
 class LanguageModel:
     pieces: tuple[str, ...]
@@ -122,14 +144,14 @@ class LanguageModel:
 
 def train(sample: dict[str, Counter], pieces: tuple[str, ...]) -> LanguageModel:
     """A model from each language's word counts."""
-    prefixes, columns = piece_prefixes(pieces), []
+    trie, columns = PieceTrie(pieces), []
     languages = tuple(sorted(sample))
     for language in languages:
         counted: Counter = Counter()
         for word, n in sample[language].items():
             for chunk in chunks_of(word):
                 counted[chunk] += n
-        lattice = Lattice(prefixes, list(counted))
+        lattice = Lattice(trie, list(counted))
         counts = np.array(list(counted.values()), dtype=float)
         weights = np.full((len(pieces) + 1, 1), 1.0 / (len(pieces) + 1))
         for _ in range(ROUNDS):
@@ -160,7 +182,7 @@ class Scorer:
 
     def __init__(self, model: LanguageModel):
         self.model = model
-        self.prefixes = piece_prefixes(model.pieces)
+        self.trie = PieceTrie(model.pieces)
         self.places: dict[str, int] = {}
         self.known = np.empty((0, len(model.languages)))
 
@@ -176,7 +198,7 @@ class Scorer:
                 stop += 1
             part = order[at : max(stop, at + 1)]
             pieces = [chunks_of(words[k]) for k in part]
-            logs = np.log(Lattice(self.prefixes, [c for p in pieces for c in p]).likelihoods(self.model.weights))
+            logs = np.log(Lattice(self.trie, [c for p in pieces for c in p]).likelihoods(self.model.weights))
             firsts = np.cumsum([0, *(len(p) for p in pieces[:-1])])
             scores[part] = np.add.reduceat(logs, firsts, axis=0)
             at += len(part)
