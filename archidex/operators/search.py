@@ -179,20 +179,24 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _key_size(phrase: str) -> int:
+    return 1 << (len(phrase).bit_length() - 1)
+
+
 def _matches(postings: DataFrame, phrases: list[str]) -> DataFrame:
     """Frequency of each phrase in each entry that has it: phrase, entry key, length, name, frequency."""
     suffix = F.col("suffix")
-    lengths: dict[int, list[str]] = {}
-    for phrase in phrases:
-        lengths.setdefault(len(phrase), []).append(phrase)
     if len(phrases) <= PUSHED_PHRASES:
         # Sorted suffixes: each phrase is a range, most of the index is never read.
         postings = postings.where(reduce(lambda a, b: a | b, (F.startswith(suffix, F.lit(p)) for p in phrases)))
-    starts = [F.when(F.length(suffix) >= n, F.left(suffix, F.lit(n))) for n in lengths]
-    found = F.explode(F.array_compact(F.array(*starts)))
-    keyed = postings.select(found.alias("phrase"), "snapshot_id", "entry_id", "in_name", "length", "name")
-    wanted = postings.sparkSession.createDataFrame([(p,) for p in phrases], "phrase string")
-    keyed = keyed.join(_small(wanted, len(phrases)), "phrase", "left_semi")
+    # Suffixes and phrases meet by a leading key whose length is a power of two, so a suffix has few of them.
+    sizes = sorted({_key_size(p) for p in phrases})
+    starts = [F.when(F.length(suffix) >= n, F.left(suffix, F.lit(n))) for n in sizes]
+    keyed = postings.select(
+        F.explode(F.array_compact(F.array(*starts))).alias("key"), "suffix", "snapshot_id", "entry_id", "in_name", "length", "name"
+    )
+    wanted = postings.sparkSession.createDataFrame([(p[: _key_size(p)], p) for p in phrases], "key string, phrase string")
+    keyed = keyed.join(_small(wanted, len(phrases)), "key").where(F.startswith("suffix", F.col("phrase")))
     weight = _posting_weight()
     return keyed.groupBy("snapshot_id", "entry_id", "phrase", "length", "name").agg(F.sum(weight).alias("frequency"))
 

@@ -200,16 +200,13 @@ class CatalogStore:
     def _write_entries(self, batch: int, entries: DataFrame, last_entry: int) -> DataFrame:
         """Write one batch and return it as stored; rows without an id get ids above ``last_entry``.
 
-        The rows are written out before the range layout, which samples its
-        input: whatever made them (listing, hashing, a join) runs once.
-
         The range layout splits a large snapshot, or a large folder in it,
         over many files and keeps a folder's rows together, so that a folder
         page reads few row groups. The same layout puts equal paths side by
         side, which makes the uniqueness check free of another shuffle.
         """
         keys = ["snapshot_id", "parent_path", "path"]
-        ordered = cut_lineage(conform(entries, ENTRIES)).repartitionByRange(*keys)
+        ordered = conform(entries, ENTRIES).repartitionByRange(*keys)
         seen = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
         problem = (
             F.when(F.col("snapshot_id").isNull(), "entry of an unknown scan")
@@ -253,7 +250,9 @@ class CatalogStore:
         ``replaced`` holds full new contents of snapshots that already have
         entries (same ids, names and paths), so their postings stay valid.
         With ``counted`` the counters of the new snapshots are taken from the
-        stored entries.
+        stored entries. The range layout samples its input before it reads it,
+        so rows that are dear to make (a scan's listing and hashing, the join
+        of a replacement) are written out first; those of a merge are not.
         """
         previous = self.manifest()
         version = 1 if previous is None else previous.version + 1
@@ -266,7 +265,8 @@ class CatalogStore:
         batch = 2 * version
         last_entry = previous.last_entry if previous else 0
         if new_entries is not None:
-            stored = self._write_entries(batch, new_entries, last_entry)
+            rows = cut_lineage(conform(new_entries, ENTRIES)) if counted else new_entries
+            stored = self._write_entries(batch, rows, last_entry)
             last_entry = max(last_entry, stored.agg(F.max("id")).head()[0] or 0)
             if counted:
                 tables = dict(tables, snapshots=lifecycle.apply_counters(tables["snapshots"], stored))
@@ -275,7 +275,7 @@ class CatalogStore:
                 indexed.append(batch)
             batches.append(batch)
         if replaced is not None:
-            stored = self._write_entries(batch + 1, replaced, last_entry)
+            stored = self._write_entries(batch + 1, cut_lineage(conform(replaced, ENTRIES)), last_entry)
             superseded += self._stored_batches(previous, stored)
             batches.append(batch + 1)
             if self.index:
