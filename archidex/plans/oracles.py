@@ -573,6 +573,7 @@ select id, drive_id, cast((select max(id) from target_snapshots) + row_number()
 from planned where action = 'import'
 """,
     "copy_entries": _merged_entries(_STRIP),
+    "compact_catalog": _merged_entries(_STRIP),
     "apply_hash_policy": _merged_entries("e.hash"),
     "select_latest": _MERGE + r"""
 select d.id, d.name, case when n.target_id is not null and n.completed_at >= s.completed_at then n.target_id

@@ -478,6 +478,11 @@ def copy_entries(spark, sf_dir):
     return store.load().entries.select(*_ENTRY)
 
 
+def compact_catalog(spark, sf_dir):
+    store, _ = _merged(spark, sf_dir)
+    return store.compact().entries.select(*_ENTRY)
+
+
 def apply_hash_policy(spark, sf_dir):
     store, _ = _merge_anew(spark, sf_dir)
     merge.merge_catalog(store, derive.merge_source(spark, sf_dir), rename_conflicts=True, trust=True, now=NOW + 1)
@@ -568,6 +573,7 @@ QUERIES: dict[str, Query] = {
     "plan_import": plan_import,
     "remap_snapshots": remap_snapshots,
     "copy_entries": copy_entries,
+    "compact_catalog": compact_catalog,
     "apply_hash_policy": apply_hash_policy,
     "select_latest": select_latest,
     "merged_snapshots": merged_snapshots,

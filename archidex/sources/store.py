@@ -119,8 +119,10 @@ class CatalogStore:
         versions = self._manifest_versions()
         if not versions:
             return None
-        path = f"{self.root}/manifests/v{versions[-1]:08d}.json"
-        return Manifest.from_json(self.spark.read.text(path, wholetext=True).head()[0])
+        return Manifest.from_json(self.spark.read.text(self._manifest_path(versions[-1]), wholetext=True).head()[0])
+
+    def _manifest_path(self, version: int) -> str:
+        return f"{self.root}/manifests/v{version:08d}.json"
 
     def _publish(self, manifest: Manifest) -> None:
         final = self._path(f"manifests/v{manifest.version:08d}.json")
@@ -289,6 +291,46 @@ class CatalogStore:
         self._publish(Manifest(version, schema_version, tuple(batches), tuple(superseded), tuple(indexed), rows, last_entry))
         return self.load()
 
+    def compact(self) -> Catalog:
+        """Rewrite the entries of all batches as one, with the same ids, and publish that as a new version.
+
+        Long histories of small commits leave many small batches, and replaced
+        entries stay where they were; reads of the new version see neither.
+        """
+        manifest, catalog = self.manifest(), self.load()
+        version = manifest.version + 1
+        stored = self._write_entries(2 * version, catalog.entries, manifest.last_entry)
+        if self.index:
+            self._write_postings(2 * version, stored)
+        rows = self._write_small(version, {name: getattr(catalog, name) for name in _SMALL})
+        batches = (2 * version,)
+        indexed = batches if self.index else ()
+        self._publish(Manifest(version, manifest.schema_version, batches, (), indexed, rows, manifest.last_entry))
+        return self.load()
+
+    def expire(self, keep: int = 1) -> list[str]:
+        """Delete all but the newest ``keep`` versions and the data that none of those names; returns the deleted folders.
+
+        Who still reads an older version loses it, so call this when nobody does.
+        """
+        versions = self._manifest_versions()
+        kept = versions[-max(keep, 1):]
+        manifests = [Manifest.from_json(self.spark.read.text(self._manifest_path(v), wholetext=True).head()[0]) for v in kept]
+        batches = {f"batch={b}" for m in manifests for b in (*m.batches, *m.indexed)}
+        alive = {
+            **{name: {f"v{v:08d}" for v in kept} for name in _SMALL},
+            **{name: batches for name in ("entries", "postings", "postings_stats")},
+        }
+        # Manifests go first: a version is gone as a whole before any of its data is.
+        dead = [f"manifests/v{v:08d}.json" for v in versions if v not in kept]
+        for folder, names in alive.items():
+            if self._fs.exists(self._path(folder)):
+                found = [s.getPath().getName() for s in self._fs.listStatus(self._path(folder))]
+                dead += [f"{folder}/{name}" for name in sorted(found) if name not in names]
+        for path in dead:
+            self._fs.delete(self._path(path), True)
+        return dead
+
     def _stored_batches(self, previous: Manifest, replaced: DataFrame) -> list[tuple[int, int]]:
         """The (batch, snapshot) pairs that hold the replaced snapshots now."""
         ids = replaced.select("snapshot_id").distinct()

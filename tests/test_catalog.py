@@ -136,6 +136,23 @@ def test_commit_evaluates_its_input_once(spark, store):
     assert seen.value == 10
 
 
+def test_compaction_and_expiry_keep_every_row(spark, store, tmp_path):
+    for n in range(3):
+        store.commit_snapshots(*scan(spark, TAPE, [entry(0, f"f{n}", n), entry(0, "all words", 1)]), now=1000 + n)
+    before = sorted(map(str, rows(store.load().entries)))
+    hits = rows(search(store.load(), "words"))
+    catalog = store.compact()
+    assert len(store.manifest().batches) == 1 and sorted(map(str, rows(catalog.entries))) == before
+    deleted = store.expire()
+    assert any(p.startswith("entries/batch=") for p in deleted) and "manifests/v00000001.json" in deleted
+    catalog = store.load()
+    assert sorted(map(str, rows(catalog.entries))) == before and rows(search(catalog, "words")) == hits
+    assert store.expire() == []
+    store.commit_snapshots(*scan(spark, TAPE, [entry(0, "later", 9)]), now=2000)
+    ids = [r["id"] for r in rows(store.load().entries)]
+    assert len(set(ids)) == len(ids) == len(before) + 1
+
+
 def test_unknown_drive(spark, store):
     with pytest.raises(CatalogError, match="unknown drive"):
         store.commit_snapshots(*scan(spark, "drv_ffffffffffff", [entry(0, "a")]))
