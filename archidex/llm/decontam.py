@@ -4,7 +4,7 @@ Texts are compared in lower case with single blanks between words. The CGK embed
 writes out the character under the pointer and advances by a random bit that depends on step and character, so that strings at a small edit
 distance get outputs at a small Hamming distance. A window starts at every word of every document, and at every word of an
 item. Each window is walked ``WALKS`` times with different bits; ``TABLES`` hashes of ``SAMPLED`` outputs of a walk's
-``STEPS`` are compared with those of the items. An item of n words has about n windows with 9 hashes each, any of which may
+``STEPS`` are compared with those of the items. An item of n words has about n windows with 8 hashes each, any of which may
 find it, which is what brings the recall near one. Only outputs that a hash samples need to be walked, so a walk ends there.
 Whatever is found is verified over the whole item: the least edit distance of the item to any part of the text around the
 place, by bit-parallel dynamic programming, is at most ``1 - SIMILARITY`` of the item's length.
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from archidex.llm.common import text_udf
 
 SIMILARITY = 0.8
-WALKS = 3
-TABLES = 3
+WALKS = 2
+TABLES = 4
 STEPS = 40
 SAMPLED = 20
 SEED = 7
