@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import pre_tokenizers
 
-from archidex.llm.common import gather, sliced, texts_of
+from archidex.llm.common import gather, sliced, texts_of, worker_state
 
 CACHED_WORDS = 300_000
-CACHED_PAIRS = 2_000_000
+CACHED_PAIRS = 500_000
 
 # The published pre-token pattern of this tokenizer family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -209,15 +209,9 @@ class Decoder:
         return [data[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-_workers: dict[Vocabulary, tuple[Encoder, Decoder]] = {}
-
-
 def worker_codec(vocabulary: Vocabulary) -> tuple[Encoder, Decoder]:
     """This process's encoder and decoder, built once."""
-    if vocabulary not in _workers:
-        _workers.clear()
-        _workers[vocabulary] = Encoder(vocabulary), Decoder(vocabulary)
-    return _workers[vocabulary]
+    return worker_state(vocabulary, lambda: (Encoder(vocabulary), Decoder(vocabulary)))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:

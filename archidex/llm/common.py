@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,21 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
+_state: dict[Hashable, Any] = {}
+
+
+def worker_state(key: Hashable, build: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task, such as its memory of words.
+
+    A worker process outlives its task and may run another operator next, so
+    the state of any other key is dropped: a process holds one at a time.
+    """
+    if key not in _state:
+        _state.clear()
+        _state[key] = build()
+    return _state[key]
+
+
 def gather(blob: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The bytes ``blob[start:start + size]`` of every item, one after the other."""
     sizes = sizes.astype(np.int64)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archidex.llm.common import text_udf
+from archidex.llm.common import text_udf, worker_state
 
 SIMILARITY = 0.8
 WALKS = 2
@@ -210,19 +210,14 @@ def item_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text")
         yield [r["id"] for r in rows], [r["text"] for r in rows]
 
 
-_workers: dict[tuple, Index] = {}
-
-
 def passages(docs: DataFrame, items: list[str], text: str = "text") -> Column:
     """The items found in the text column: an array of (number, distance)."""
     shared = docs.sparkSession.sparkContext.broadcast(tuple(items))
 
     def search(texts: list[str]) -> pa.Array:
         items = shared.value
-        if items not in _workers:
-            _workers.clear()
-            _workers[items] = Index(list(items))
-        found = [[{"item": i, "distance": d} for i, d in hits] for hits in _workers[items].search(texts)]
+        index = worker_state(("passages", items), lambda: Index(list(items)))
+        found = [[{"item": i, "distance": d} for i, d in hits] for hits in index.search(texts)]
         return pa.array(found, pa.list_(pa.struct([("item", pa.int32()), ("distance", pa.int32())])))
 
     return text_udf(search, FOUND)(F.col(text))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from archidex.llm.common import text_udf
+from archidex.llm.common import text_udf, worker_state
 from archidex.llm.token_counts import WORD_MARK
 
 SAMPLE_DOCUMENTS = 300
@@ -233,18 +233,12 @@ class Scorer:
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(shares, pa.float64())], ["lang_pred", "score"])
 
 
-_workers: dict[str, Scorer] = {}
-
-
 def predicted(model: LanguageModel, texts: DataFrame, text: str = "text") -> Column:
     """A struct of ``lang_pred`` and ``score`` for the text column. The model's size is fixed by the vocabulary."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def predict(values: list[str]) -> pa.Array:
         model = shared.value
-        if model.name not in _workers:
-            _workers.clear()
-            _workers[model.name] = Scorer(model)
-        return _workers[model.name].predict(values)
+        return worker_state(("language", model.name), lambda: Scorer(model)).predict(values)
 
     return text_udf(predict, SCHEMA)(F.col(text))

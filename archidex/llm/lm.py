@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archidex.llm.common import sliced
+from archidex.llm.common import sliced, worker_state
 
 MASS = 50.0
 ADDED = 0.5
@@ -54,9 +54,6 @@ class _Hashes(dict):
         return value
 
 
-_hashes = _Hashes()
-
-
 def tokens_of(text: str | None) -> list[bytes]:
     """Words of the text with A-Z in lower case, then the end. Bytes split at and lower-case ASCII only."""
     return [*(text or "").encode().lower().split(), END]
@@ -64,7 +61,7 @@ def tokens_of(text: str | None) -> list[bytes]:
 
 def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all texts, and the texts' bounds in them."""
-    values, sizes, look = [], [0], _hashes.__getitem__
+    values, sizes, look = [], [0], worker_state("word hashes", _Hashes).__getitem__
     for text in texts:
         values.append(np.fromiter(map(look, tokens_of(text)), dtype=np.uint64))
         sizes.append(len(values[-1]))

@@ -23,7 +23,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archidex.llm.common import sliced, texts_of
+from archidex.llm.common import sliced, texts_of, worker_state
 
 CACHED_WORDS = 400_000
 CACHED_LENGTH = 64
@@ -90,22 +90,12 @@ class WordCounts(dict):
         return [len(words) for words in split], [sum(map(look, words)) for words in split]
 
 
-_workers: dict[tuple[str, ...], WordCounts] = {}
-
-
-def worker_counts(pieces: tuple[str, ...]) -> WordCounts:
-    if pieces not in _workers:
-        _workers.clear()
-        _workers[pieces] = WordCounts(pieces)
-    return _workers[pieces]
-
-
 def token_counts(docs: DataFrame, pieces: tuple[str, ...], key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, ``n_words`` and ``n_tokens``. No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = worker_counts(shared.value)
+        counts = worker_state(shared.value, lambda: WordCounts(shared.value))
         for part in sliced(batches, "text"):
             words, tokens = counts.count_texts(texts_of(part, "text"))
             columns = [part.column("key"), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())]
