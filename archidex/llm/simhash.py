@@ -36,16 +36,20 @@ EDGES_PER_FILE = 500_000
 COUNTED_AT_ONCE = 1 << 16
 
 
-def fingerprint(text: str | None) -> bytes:
-    """The text's 64 bits, most significant first. Splitting and lower-casing bytes touch ASCII only."""
+def shingle_digests(text: str | None, width: int = SHINGLE_WORDS) -> bytes:
+    """The 64-bit hashes of the text's shingles. Splitting and lower-casing bytes touch ASCII only."""
     words = (text or "").encode().lower().split()
     if not words:
-        return bytes(8)
-    joined, width = b" ".join(words), min(SHINGLE_WORDS, len(words))
+        return b""
+    joined, width = b" ".join(words), min(width, len(words))
     starts = [0, *accumulate(len(w) + 1 for w in words)]
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[width:], strict=False)])
-    rows = np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8)
+    return b"".join([digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[width:], strict=False)])
+
+
+def fingerprint(text: str | None) -> bytes:
+    """The text's 64 bits, most significant first."""
+    rows = np.frombuffer(shingle_digests(text), dtype=np.uint8).reshape(-1, 8)
     counts = np.zeros(64, dtype=np.int64)
     for a in range(0, len(rows), COUNTED_AT_ONCE):
         counts += np.unpackbits(rows[a : a + COUNTED_AT_ONCE], axis=1).sum(axis=0, dtype=np.int64)
