@@ -1,16 +1,24 @@
-"""Benchmark passages in documents: CGK walks, bit-sampling hashes, and exact verification by edit distance.
+"""Benchmark passages in documents: CGK walks, bit-sampling hashes, gapped seeds, and exact verification by edit distance.
 
 Texts are compared in lower case with single blanks between words. The CGK embedding walks over a string: at each step it
 writes out the character under the pointer and advances by a random bit that depends on step and character, so that strings at a small edit
 distance get outputs at a small Hamming distance. A window starts at every word of every document, and at every word of an
 item. Each window is walked ``WALKS`` times with different bits; ``TABLES`` hashes of ``SAMPLED`` outputs of a walk's
 ``STEPS`` are compared with those of the items. An item of n words has about n windows with 8 hashes each, any of which may
-find it, which is what brings the recall near one. Only outputs that a hash samples need to be walked, so a walk ends there.
+find it. Only outputs that a hash samples need to be walked, so a walk ends there, after about 20 bytes. That takes a
+nearly clean stretch of the item, which edits spread evenly do not leave.
+
+Gapped seeds find those: ``GRAM`` letters, one letter, ``GRAM`` letters of an item at any place, met by the same letters of a text with
+none, one or two letters between, so that a seed spans an edit of any kind. Edits at every fifth letter leave a seed around each.
+An item of n letters is a candidate where n / ``LETTERS_A_HIT`` seeds meet on about one diagonal, far fewer than are left at the full
+distance, whether edits are spread evenly or at random.
+
 Whatever is found is verified over the whole item: the least edit distance of the item to any part of the text around the
 place, by bit-parallel dynamic programming, is at most ``1 - SIMILARITY`` of the item's length.
 
 Items are broadcast in blocks of bounded size; a larger benchmark takes more passes over the documents.
-Items too short for a walk are looked for in every text by the verification itself.
+Items of less than ``SURE_LETTERS`` are too short for as many seeds, and are looked for in every text exactly: of as many parts as
+edits are allowed and one more, one is met unchanged, and the verification reads the text around each.
 
 Defined results: null, empty and blank texts and items hold and match nothing; an item that occurs several times in a
 text is one row with its least distance; rows of the benchmark with equal id and text are one item. Repeated
@@ -37,6 +45,12 @@ SAMPLED = 20
 SEED = 7
 BLOCK_BYTES = 4 << 20
 FILTER_BITS = 18
+GRAM = 4
+GAPS = (0, 1, 2)  # letters of a text in the place of an item's one: one was deleted, replaced, or another inserted
+LETTERS_A_HIT = 20
+SURE_LETTERS = 50
+SEED_BITS = 20
+STRETCH = 1 << 18  # letters whose seeds are counted at once
 WINDOWS_AT_ONCE = 16_384  # so that a step's arrays stay in a core's cache
 FOUND = "array<struct<item:int,distance:int>>"
 
@@ -118,27 +132,138 @@ def least_distance(item: str, text: str, most: int) -> int | None:
     return best if best <= most else None
 
 
+def least_anywhere(item: str, text: str, most: int) -> int | None:
+    """As ``least_distance``, with fewer letters read: of ``most + 1`` parts of the item one is met unchanged."""
+    if item in text:
+        return 0
+    size, spans = len(item), []
+    cuts = [size * k // (most + 1) for k in range(most + 2)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        at = text.find(item[a:b])
+        while at >= 0:
+            spans.append((max(0, at - a - most), at - a + size + most))
+            at = text.find(item[a:b], at + 1)
+    joined: list[list[int]] = []
+    for begin, end in sorted(set(spans)):
+        if joined and begin <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], end)
+        else:
+            joined.append([begin, end])
+    found = (least_distance(item, text[begin:end], most) for begin, end in joined)
+    return min((d for d in found if d is not None), default=None)
+
+
+def letters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+
+
+def gram_hashes(codes: np.ndarray) -> np.ndarray:
+    """A hash of the ``GRAM`` letters from each place on."""
+    size = max(len(codes) - GRAM + 1, 0)
+    value = codes[:size].copy()
+    for k in range(1, GRAM):
+        value *= np.uint32(0x9E3779B1)
+        value += codes[k : size + k]
+    value *= np.uint32(0x85EBCA77)
+    value ^= value >> np.uint32(15)
+    return value
+
+
+def seed_hashes(grams: np.ndarray, gap: int) -> np.ndarray:
+    """A hash of two grams with ``gap`` letters between from each place on."""
+    size = max(len(grams) - GRAM - gap, 0)
+    value = grams[:size] * np.uint32(0xC2B2AE3D)
+    value += grams[GRAM + gap : GRAM + gap + size]
+    value *= np.uint32(0x27D4EB2F)
+    value ^= value >> np.uint32(13)
+    return value
+
+
+class Seeds:
+    """Gapped seeds of the items with the given numbers."""
+
+    def __init__(self, items: list[str], numbers: list[int]):
+        self.count = len(items)
+        sizes = np.array([len(t) for t in items], dtype=np.int64)
+        self.least = np.maximum(2, sizes // LETTERS_A_HIT)
+        self.band = 2 * (sizes * (1 - SIMILARITY)).astype(np.int64) + 2
+        self.overlap = int(2 * max((sizes[n] for n in numbers), default=0)) + 16
+        values = [seed_hashes(gram_hashes(letters(items[n])), 1) for n in numbers]
+        value = np.concatenate([np.empty(0, np.uint32), *values])
+        order = np.argsort(value, kind="stable")
+        self.value = value[order]
+        self.owner = np.repeat(np.array(numbers, dtype=np.int64), [len(v) for v in values])[order]
+        self.offset = np.concatenate([np.empty(0, np.int64), *(np.arange(len(v)) for v in values)])[order]
+        filled = np.bincount(self.value >> np.uint32(32 - SEED_BITS), minlength=1 << SEED_BITS)
+        self.starts = np.concatenate([[0], np.cumsum(filled)]).astype(np.int32)
+        self.seen = filled > 0
+
+    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the text and number of the seed for every seed met."""
+        places, seeds = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for a in range(0, len(codes), WINDOWS_AT_ONCE):
+            # As many grams as the widest seed from the last place needs, and one place more for each narrower gap.
+            grams = gram_hashes(codes[a : a + WINDOWS_AT_ONCE + 2 * GRAM + max(GAPS) - 1])
+            for gap in GAPS:
+                value = seed_hashes(grams, gap)[:WINDOWS_AT_ONCE]
+                top = value >> np.uint32(32 - SEED_BITS)
+                maybe = np.flatnonzero(np.take(self.seen, top))
+                first = self.starts[top[maybe]].astype(np.int64)
+                many = self.starts[top[maybe] + 1] - first
+                ends = np.cumsum(many)
+                if not len(ends):
+                    continue
+                seed = np.arange(ends[-1]) + np.repeat(first - ends + many, many)
+                place = np.repeat(maybe, many)
+                same = self.value[seed] == value[place]
+                places.append(place[same] + a)
+                seeds.append(seed[same])
+        return np.concatenate(places), np.concatenate(seeds)
+
+    def near(self, texts: list[str]) -> Iterator[tuple[int, int, int]]:
+        """Text, item, and about where in the text's letters the item would begin."""
+        if not len(self.value):
+            return
+        codes = letters("\0".join([*texts, ""]))
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        stretch = max(STRETCH, 4 * self.overlap)
+        for a in range(0, len(codes), stretch - self.overlap):
+            place, seed = self.hits(codes[a : a + stretch])
+            place += a
+            text = np.searchsorted(begins, place, side="right") - 1
+            key, diagonal = text * self.count + self.owner[seed], place - self.offset[seed]
+            order = np.lexsort((diagonal, key))
+            key, diagonal = key[order], diagonal[order]
+            item = key % self.count
+            last = np.arange(len(key)) + self.least[item] - 1
+            inside = np.flatnonzero(last < len(key))
+            last = last[inside]
+            enough = (key[last] == key[inside]) & (diagonal[last] - diagonal[inside] <= self.band[item[inside]])
+            for k, d in np.unique(np.stack([key[inside[enough]], diagonal[inside[enough]]]), axis=1).T.tolist():
+                yield k // self.count, k % self.count, d - int(begins[k // self.count])
+
+
 class Index:
-    """Hashes of all windows of a block of items."""
+    """Hashes of all windows, and the seeds, of a block of items."""
 
     def __init__(self, items: list[str]):
         self.items = [normal(t) for t in items]
         self.allowed = [int((1 - SIMILARITY) * len(t) + 1e-9) for t in self.items]
         self.walks = walks()
-        self.short = []
+        self.short = [n for n, t in enumerate(self.items) if 0 < len(t) < SURE_LETTERS]
+        self.seeds = Seeds(self.items, [n for n, t in enumerate(self.items) if len(t) >= SURE_LETTERS])
         hashes: list[list[np.ndarray]] = [[] for _ in range(WALKS * TABLES)]
         owners: list[list[np.ndarray]] = [[] for _ in range(WALKS * TABLES)]
         for number, item in enumerate(self.items):
+            if len(item) < SURE_LETTERS:
+                continue
             data = item.encode()
             buffer = np.frombuffer(data + b"\0", dtype=np.uint8)
-            starts, used = word_starts(buffer), 0
+            starts = word_starts(buffer)
             for k, value, end in window_hashes(buffer, starts, self.walks):
                 inside = end < len(data)  # else the item's end has stopped the walk
                 hashes[k].append(value[inside])
                 owners[k].append(np.stack([np.full(inside.sum(), number), starts[inside]]))
-                used += int(inside.sum())
-            if not used and item:
-                self.short.append(number)
         self.tables = []
         for values, owner in zip(hashes, owners, strict=True):
             value = np.concatenate([np.empty(0, np.uint64), *values])
@@ -167,6 +292,9 @@ class Index:
                     text = int(np.searchsorted(begins, place, side="right")) - 1
                     for item, offset in owner[:, a:b].T.tolist():
                         found.setdefault(text, {}).setdefault(item, []).append(place - int(begins[text]) - offset)
+        for text, item, begin in self.seeds.near(texts):
+            before = begin if begin <= 0 or texts[text].isascii() else len(texts[text][:begin].encode())
+            found.setdefault(text, {}).setdefault(item, []).append(before)
         return found
 
     def verified(self, text: str, item: int, begins: list[int]) -> int | None:
@@ -194,7 +322,7 @@ class Index:
                     out[text].append((item, distance))
         for item in self.short:
             for text, whole in enumerate(texts):
-                distance = least_distance(self.items[item], whole, self.allowed[item])
+                distance = least_anywhere(self.items[item], whole, self.allowed[item])
                 if distance is not None and whole:
                     out[text].append((item, distance))
         return out
