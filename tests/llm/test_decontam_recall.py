@@ -42,6 +42,12 @@ def test_recall_by_length(spark, size, rate):
     assert recall(spark, size, rate, evenly=False) >= 0.97
 
 
+@pytest.mark.parametrize("rate", [0.15, 0.18, 0.2])
+@pytest.mark.parametrize("size", [50, 80, 400])
+def test_recall_of_evenly_spread_edits(spark, size, rate):
+    assert recall(spark, size, rate, evenly=True) >= 0.99
+
+
 def test_search_by_parts_equals_the_table():
     rng = random.Random(4)
     for _ in range(2000):
