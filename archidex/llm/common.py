@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from archidex.session import cut_lineage
+
 SLICE_BYTES = 4 << 20
 
 
@@ -71,3 +73,21 @@ def text_udf(function, kind):
     # Given as objects: the annotations of a nested function are strings in this module.
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, kind)
+
+
+HOT_SHARE = 1000
+
+
+def with_group_values(rows: DataFrame, groups: DataFrame, on: str) -> DataFrame:
+    """The rows with the other columns of ``groups``, which has one row for each value of ``on`` and its number of rows ``n``.
+
+    Groups with more than one in ``HOT_SHARE`` of all rows, of which there are fewer than that many, are broadcast,
+    so their rows are not brought together; the others are joined by shuffle. Null is a value like any other.
+    """
+    groups = cut_lineage(groups.withColumnRenamed(on, "_on"))
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT_SHARE > total
+    often, others = F.broadcast(groups.where(hot).drop("n")), groups.where(~hot).drop("n")
+    same = F.col(on).eqNullSafe(F.col("_on"))
+    rest = rows.join(F.broadcast(groups.where(hot).select("_on")), same, "left_anti").join(others, same)
+    return rows.join(often, same).unionByName(rest).drop("_on")

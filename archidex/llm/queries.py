@@ -22,6 +22,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": tokens.op8_token_counts,
     "op9_decontam": duplicates.op9_decontam,
     "op10_warc": web.op10_warc,
+    "op11_minhash": duplicates.op11_minhash,
+    "op12_vector_codes": vectors.op12_vector_codes,
+    "op13_resampling": tokens.op13_resampling,
 }
 
 ORACLES: dict[str, str] = {
@@ -29,4 +32,7 @@ ORACLES: dict[str, str] = {
     "op4_chat": web.OP4_SQL,
     "op6_ann": vectors.OP6_SQL,
     "op10_warc": web.OP10_SQL,
+    "op11_minhash": duplicates.OP11_SQL,
+    "op12_vector_codes": vectors.OP12_SQL,
+    "op13_resampling": tokens.OP13_SQL,
 }

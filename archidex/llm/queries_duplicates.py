@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archidex.llm import decontam, linededup, simhash
+from archidex.llm import decontam, linededup, minhash, simhash
 from archidex.llm.common import table
 
 
@@ -61,3 +61,36 @@ group by l.doc_id
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = linededup.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "text", "n_lines", "n_dropped")
+
+
+OP11_SQL = r"""
+with recursive words as (
+    select doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+    from documents
+), sets as (
+    select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else
+        list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) end as s
+    from words
+), singles as (
+    select doc_id, unnest(s) as shingle from sets
+), common as (
+    select a.doc_id as a, b.doc_id as b, count(*) as both
+    from singles a join singles b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id
+), links as (
+    select c.a, c.b from common c join sets x on x.doc_id = c.a join sets y on y.doc_id = c.b
+    where 100 * c.both >= 80 * (len(x.s) + len(y.s) - c.both)
+), reach as (
+    select doc_id, doc_id as other from sets
+    union
+    select r.doc_id, l.b from reach r join links l on r.other = l.a
+), smallest as (
+    select doc_id, min(other) as component_id from reach group by doc_id
+)
+select s.doc_id, len(s.s) as n_shingles, m.component_id, s.doc_id = m.component_id as kept
+from sets s join smallest m using (doc_id)
+"""
+
+
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
