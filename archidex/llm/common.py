@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Hashable, Iterable, Iterator
 from typing import Any
 
@@ -54,6 +55,13 @@ def worker_state(key: Hashable, build: Callable[[], Any]) -> Any:
     return _state[key]
 
 
+def release_state() -> None:
+    """Give back what the worker keeps, at the end of a task whose state is large beside its cost to build."""
+    _state.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def gather(blob: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The bytes ``blob[start:start + size]`` of every item, one after the other."""
     sizes = sizes.astype(np.int64)
@@ -62,13 +70,18 @@ def gather(blob: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return blob[shift + np.arange(len(shift))]
 
 
-def text_udf(function, kind):
-    """A column function that runs ``function(list of texts) -> pa.Array`` over slices of the texts; null is the empty text."""
+def text_udf(function, kind, release: bool = False):
+    """A column function that runs ``function(list of texts) -> pa.Array`` over slices of the texts; null is the empty text.
+
+    With ``release`` the worker's state goes with the task, so that idle workers hold none while other stages run.
+    """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             parts = [function(texts_of(part, "text")) for part in sliced([pa.RecordBatch.from_arrays([texts], ["text"])], "text")]
             yield pa.concat_arrays(parts) if parts else function([])
+        if release:
+            release_state()
 
     # Given as objects: the annotations of a nested function are strings in this module.
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

@@ -33,7 +33,7 @@ ROUNDS = 3
 SMOOTHING = 0.01
 UNKNOWN_SHARE = 1e-7
 CHUNK = 32
-CACHED_WORDS = 500_000
+CACHED_WORDS = 150_000
 UNDECIDED = "und"
 SCHEMA = "lang_pred string, score double"
 
@@ -241,4 +241,4 @@ def predicted(model: LanguageModel, texts: DataFrame, text: str = "text") -> Col
         model = shared.value
         return worker_state(("language", model.name), lambda: Scorer(model)).predict(values)
 
-    return text_udf(predict, SCHEMA)(F.col(text))
+    return text_udf(predict, SCHEMA, release=True)(F.col(text))

@@ -276,15 +276,16 @@ def near_duplicates(
     """key, ``n_shingles``, ``component_id`` and ``kept`` of each document."""
     signed = cut_lineage(_signed(docs, key, text, width))
     grouped = signed.where("node is not null").groupBy("node").agg(
-        F.min(F.struct("key", "copy")).alias("row"), F.min("n").alias("n"), F.min("signature").alias("signature"), F.count("*").alias("rows")
+        F.min(F.struct("key", "copy")).alias("row"), F.min("key").alias("first"), F.min("n").alias("n"),
+        F.min("signature").alias("signature"), F.count("*").alias("rows"),
     )
     # Numbers are given once, in a written table.
-    nodes = grouped.select("node", "row.key", "row.copy", "n", "signature", "rows", F.monotonically_increasing_id().alias("id"))
+    nodes = grouped.select("node", "row.key", "row.copy", "first", "n", "signature", "rows", F.monotonically_increasing_id().alias("id"))
     nodes = cut_lineage(nodes)
-    rooted = nodes.select("id", "key").join(components(links(docs, nodes, key, text, width, bound)).withColumnRenamed("node", "id"), "id")
-    smallest = rooted.groupBy("root").agg(F.min("key").alias("component"))
+    rooted = nodes.select("id", "first").join(components(links(docs, nodes, key, text, width, bound)).withColumnRenamed("node", "id"), "id")
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component"))
     of_linked = rooted.select("id", "root").join(smallest, "root").select("id", "component")
-    groups = nodes.join(of_linked, "id", "left").select("node", F.col("rows").alias("n"), F.coalesce("component", "key").alias("component_id"))
+    groups = nodes.join(of_linked, "id", "left").select("node", F.col("rows").alias("n"), F.coalesce("component", "first").alias("component_id"))
     rows = signed.select("key", F.col("n").alias("n_shingles"), "node")
     found = with_group_values(rows.where("node is not null"), groups, "node").select("key", "n_shingles", "component_id")
     alone = rows.where("node is null").select("key", "n_shingles", F.col("key").alias("component_id"))

@@ -1,7 +1,7 @@
 """The pipeline's stages: each takes a table of documents and applies one operator's decisions to it.
 
-All but the last return the columns they were given. A stage that filters keeps every row with a null id: nothing can be
-decided about documents that can't be told apart.
+All but the last return the columns they were given. Decisions are made row by row or by id and text together, so documents
+that share an id, or have none, are judged by their own texts.
 """
 
 from __future__ import annotations
@@ -10,14 +10,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archidex.llm import bpe, decontam, langid, linededup, nearcopies, token_counts
+from archidex.llm import bpe, decontam, langid, linededup, simhash, token_counts
 from archidex.llm.common import table
 
 LEAST_LANGUAGE_SCORE = 0.5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model has learnt; undecided ones and those without a letter go."""
+    """Documents with a letter whose language the model decides on; all others, null texts among them, go."""
     pieces = token_counts.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     model = langid.fit(docs, pieces)
     found = docs.select(F.struct(*docs.columns).alias("row"), langid.predicted(model, docs).alias("found"))
@@ -27,15 +27,26 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier one has; n_chars follows the text."""
-    cleaned = linededup.drop_repeated_lines(docs)
-    size = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cleaned.withColumn("n_chars", size).select(docs.columns)
+    others = F.struct(*(c for c in docs.columns if c != "text")).alias("row")
+    cleaned = linededup.drop_repeated_lines(docs.select("doc_id", others, "text"))
+    size = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
+    values = {"text": F.col("text"), "n_chars": size}
+    return cleaned.select(*(values.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies, linked by five-word similarities of 0.8 or more."""
-    others = nearcopies.near_copies(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    """One row of each SimHash component: that with the smallest id, then hash of id and text; rows without an id come last.
+
+    Documents without a word have fingerprint zero, so one of them stays. Of identical rows one stays.
+    """
+    row_hash = F.xxhash64("doc_id", "text")
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), row_hash.alias("hash"))
+    found = simhash.near_duplicates(docs.select(key.alias("key"), "text"), "key", "text")
+    kept = found.where("key = component_id").select("key.id", "key.hash").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), row_hash.alias("hash"))
+    same = (rows["hash"] == kept["hash"]) & F.col("row.doc_id").eqNullSafe(kept["id"])
+    chosen = rows.join(kept, same, "left_semi").withColumn("id", F.col("row.doc_id"))
+    return chosen.dropDuplicates(["hash", "id"]).select("row.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

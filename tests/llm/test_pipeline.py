@@ -70,6 +70,19 @@ def test_stages_of_odd_documents(spark):
         assert empty.count() == 0
 
 
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    """Rows that share an id are judged by their texts; one of identical rows stays; other columns stay as given."""
+    texts = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "ABCDE"}
+    rows = [(1, "A"), (2, "A"), (2, "B"), (3, "C"), (3, "C"), (None, "B"), (None, "D"), (None, "D"), (5, "E"), (4, "E")]
+    schema = "doc_id long, text string, n_dropped string, hash string, id int, key string, n_chars long"
+    given = spark.createDataFrame([(i, texts[t], "mine", t, 7, "k", 1) for i, t in rows], schema).repartition(3)
+    kept = stages.one_of_each_group(spark, given, SF)
+    assert kept.columns == given.columns
+    assert sorted(((r.doc_id or 0, r.hash) for r in kept.collect())) == [(0, "D"), (1, "A"), (2, "B"), (3, "C"), (4, "E")]
+    lines = stages.without_repeated_lines(spark, given, SF)
+    assert lines.columns == given.columns and {(r.n_dropped, r.id, r.key) for r in lines.collect()} == {("mine", 7, "k")}
+
+
 def test_the_rest_stands_without_the_subpackage(tmp_path):
     """A copy without the llm folders and the pipeline still offers all other queries."""
     code = (
