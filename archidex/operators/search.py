@@ -7,9 +7,12 @@ also when only the current view is returned.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +33,10 @@ HIT_COLUMNS = (
     "modified_at", "hash", "hidden", "drive_id", "drive_name", "location",
 )
 ENTRY_COLUMNS = HIT_COLUMNS[:11]
-# Up to this many phrases are pushed down into the index scan as ranges; the rows are the same either way.
-PUSHED_PHRASES = 50
+# A batch's phrases are tested by their leading characters inside the scan, up to that many distinct ones; rows are the same either way.
+LEADING_CHARS = 4
+TESTED_KEYS = 2000
+LAST_CHAR = "\U0010ffff"  # no token holds it
 
 
 def _idf(documents: Column, containing: Column) -> Column:
@@ -179,26 +184,68 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _key_size(phrase: str) -> int:
-    return 1 << (len(phrase).bit_length() - 1)
+def _may_match(suffix: Column, phrases: list[str]) -> Column:
+    """A cheap test that every suffix with one of the phrases passes, for the scan to skip most others."""
+    keys: dict[int, set[str]] = {}
+    for phrase in phrases:
+        keys.setdefault(min(len(phrase), LEADING_CHARS), set()).add(phrase[:LEADING_CHARS])
+    within = (suffix >= phrases[0]) & ((suffix < phrases[-1]) | F.startswith(suffix, F.lit(phrases[-1])))
+    if sum(map(len, keys.values())) > TESTED_KEYS:
+        return within
+    return within & reduce(lambda a, b: a | b, (F.left(suffix, F.lit(n)).isin(sorted(k)) for n, k in keys.items()))
+
+
+def _ranges(suffixes: list[str], phrases: list[str], known: dict[str, int]) -> Iterator[tuple[int, int, int]]:
+    """Number of the phrase, first and last place (exclusive), for all phrases that begin some of the sorted suffixes."""
+    first = suffixes[0]
+    shorter = [known[first[:n]] for n in range(1, len(first)) if first[:n] in known]
+    numbers = range(bisect_left(phrases, first), bisect_right(phrases, suffixes[-1]))
+    for number in (*shorter, *numbers):
+        start = bisect_left(suffixes, phrases[number])
+        stop = bisect_left(suffixes, phrases[number] + LAST_CHAR, start)
+        if stop > start:
+            yield number, start, stop
+
+
+def _merge_in_order(phrases: list[str], columns: list[str]):
+    """Over index rows: number of the phrase and the given columns of each row that a phrase begins.
+
+    The index is stored in order of suffixes, and so are the phrases: a run of rows meets only the phrases between its own first
+    and last suffix, each as one range of the run.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {phrase: number for number, phrase in enumerate(phrases)}
+        for batch in batches:
+            suffixes = batch.column("suffix").to_pylist()
+            # A task may read several files, each in order.
+            cuts = [0, *(i for i in range(1, len(suffixes)) if suffixes[i] < suffixes[i - 1]), len(suffixes)]
+            numbers, places = [], []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                for number, start, stop in _ranges(suffixes[a:b], phrases, known) if b > a else ():
+                    numbers.append(np.full(stop - start, number, dtype=np.int32))
+                    places.append(np.arange(a + start, a + stop))
+            if places:
+                rows = batch.take(pa.array(np.concatenate(places)))
+                found = [pa.array(np.concatenate(numbers)), *(rows.column(c) for c in columns)]
+                yield pa.RecordBatch.from_arrays(found, ["number", *columns])
+
+    return run
 
 
 def _matches(postings: DataFrame, phrases: list[str]) -> DataFrame:
-    """Frequency of each phrase in each entry that has it: phrase, entry key, length, name, frequency."""
-    suffix = F.col("suffix")
-    if len(phrases) <= PUSHED_PHRASES:
-        # Sorted suffixes: each phrase is a range, most of the index is never read.
-        postings = postings.where(reduce(lambda a, b: a | b, (F.startswith(suffix, F.lit(p)) for p in phrases)))
-    # Suffixes and phrases meet by a leading key whose length is a power of two, so a suffix has few of them.
-    sizes = sorted({_key_size(p) for p in phrases})
-    starts = [F.when(F.length(suffix) >= n, F.left(suffix, F.lit(n))) for n in sizes]
-    keyed = postings.select(
-        F.explode(F.array_compact(F.array(*starts))).alias("key"), "suffix", "snapshot_id", "entry_id", "in_name", "length", "name"
-    )
-    wanted = postings.sparkSession.createDataFrame([(p[: _key_size(p)], p) for p in phrases], "key string, phrase string")
-    keyed = keyed.join(_small(wanted, len(phrases)), "key").where(F.startswith("suffix", F.col("phrase")))
-    weight = _posting_weight()
-    return keyed.groupBy("snapshot_id", "entry_id", "phrase", "length", "name").agg(F.sum(weight).alias("frequency"))
+    """Frequency of each phrase in each entry that has it: phrase, entry key, length, name, frequency.
+
+    ``phrases`` is the caller's own list, distinct and in order, and goes to every task; the index stays where it is.
+    """
+    spark = postings.sparkSession
+    columns = ["snapshot_id", "entry_id", "in_name", "length", "name"]
+    kinds = ", ".join(f"{c} {postings.schema[c].dataType.simpleString()}" for c in columns)
+    rows = postings.where(_may_match(F.col("suffix"), phrases)).select("suffix", *columns)
+    met = rows.mapInArrow(_merge_in_order(phrases, columns), f"number int, {kinds}")
+    met = met.groupBy("snapshot_id", "entry_id", "number", "length", "name").agg(F.sum(_posting_weight()).alias("frequency"))
+    names = _small(spark.createDataFrame(list(enumerate(phrases)), "number int, phrase string"), len(phrases))
+    return met.join(names, "number").drop("number")
 
 
 def search_batch(
@@ -226,9 +273,7 @@ def search_batch(
     texts = _small(spark.createDataFrame(list(enumerate(queries)), "query_no int, query string"), len(queries))
     wanted = spark.createDataFrame(wants, "query_no int, phrase string, times int, phrases int")
 
-    matches = _matches(catalog.postings, sorted({w[1] for w in wants}))
-    if len(wants) > PUSHED_PHRASES:
-        matches = cut_lineage(matches)
+    matches = cut_lineage(_matches(catalog.postings, sorted({w[1] for w in wants})))
     containing = matches.groupBy("phrase").agg(F.count(F.lit(1)).alias("containing"))
     known = wanted.join(containing, "phrase")
     # Corpus figures have seen all history; the hits are the current view's.

@@ -496,6 +496,7 @@ from (select *, unnest(range(1, len(segments) + 1)) as i from parts)
     "search": _LIBRARY + "select path, size, drive_id, drive_name, score from (" + _search([["blue"], ["gear"]], 100, "") + ")",
     "search_index": _LIBRARY + "select path, size, drive_id, drive_name, score from (" + _search([["blue"], ["gear"]], 100, "") + ")",
     "search_batch": _search_batch(),
+    "search_topk": _LIBRARY + "select path, size, drive_id, drive_name, score from (" + _search([["brand"]], 40, "") + ")",
     "search_all": _LIBRARY + "select path, size, drive_id, drive_name, score from (" + _search([["brand"]], None, "") + ")",
     "search_index_all": _LIBRARY + "select path, size, drive_id, drive_name, score from (" + _search([["brand"]], None, "") + ")",
     "stats": _ARCHIVE + r"""

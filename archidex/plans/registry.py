@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from archidex.functions import display, fingerprints, paths, tags
 from archidex.operators import (
-    browse, diff, digest, drives, duplicates, export, lifecycle, merge, search, stats, validate,
+    browse, diff, digest, drives, duplicates, export, impact, lifecycle, merge, search, stats, validate,
 )
 from archidex.plans import derive
 from archidex.schema import DRIVES, ENTRIES, IMPORTS, SNAPSHOTS, Catalog, CatalogError, empty
@@ -330,6 +330,12 @@ def search_batch(spark, sf_dir):
     return hits.select("query", "path", F.round("score", 6).alias("score"))
 
 
+def search_topk(spark, sf_dir):
+    catalog = _library(spark, sf_dir)
+    index = impact.build(catalog, scratch_path(spark, "impact"))
+    return _ranked(impact.search_topk(catalog, index, SEARCH_WHOLE, limit=40))
+
+
 def search_all(spark, sf_dir):
     return _ranked(search.search_all(_library(spark, sf_dir), SEARCH_WHOLE))
 
@@ -548,6 +554,7 @@ QUERIES: dict[str, Query] = {
     "search": search_query,
     "search_index": search_index,
     "search_batch": search_batch,
+    "search_topk": search_topk,
     "search_all": search_all,
     "search_index_all": search_index_all,
     "stats": catalog_stats,

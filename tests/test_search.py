@@ -80,13 +80,30 @@ def test_batch_equals_single(catalog, indexed):
         assert sorted(by_query[query]) == expected(catalog, query), query
 
 
-def test_large_batches_use_the_same_figures(catalog, indexed, monkeypatch):
+@pytest.mark.parametrize("size", [1, 50, 51, 5000])
+def test_batches_of_any_size_give_the_same_rows(catalog, indexed, monkeypatch, size):
+    """Also beside phrases that nothing has, and with and without the test inside the scan."""
     from archidex.operators import search as module
 
-    monkeypatch.setattr(module, "PUSHED_PHRASES", 0)
-    hits = search_batch(indexed, ["aurora final", "a a"], limit=3)
-    for number, query in enumerate(["aurora final", "a a"]):
-        assert found(hits.where(f"query_no = {number}")) == expected(catalog, query, 3)
+    monkeypatch.setattr(module, "TESTED_KEYS", 2000 if size != 51 else 0)
+    texts = ["aurora final", "a a", "a", "fin cut", "docs/a"]
+    asked = [texts[i] if i < 5 else f"zz{i}" if i % 2 else f"a{i}q" for i in range(size)]
+    by_query = {}
+    for r in search_batch(indexed, asked, limit=3).collect():
+        by_query.setdefault(r["query"], []).append((r.snapshot_id, r.path, round(r.score, 9)))
+    assert {q: sorted(v) for q, v in by_query.items()} == {q: expected(catalog, q, 3) for q in texts[:size]}
+
+
+def test_ranges_of_sorted_suffixes_meet_all_phrases():
+    from archidex.operators.search import _ranges
+
+    suffixes = sorted(["a", "a b", "aa", "ab c", "b", "ba", "é", "é x", "東", "東京", "𐐀 z"])
+    phrases = sorted({s[:n] for s in suffixes for n in range(1, 4)} | {"0", "aaa", "zz", "\U0010fffe"})
+    known = {p: i for i, p in enumerate(phrases)}
+    for a in range(len(suffixes)):
+        for b in range(a + 1, len(suffixes) + 1):
+            got = {(phrases[n], suffixes[a + k]) for n, i, j in _ranges(suffixes[a:b], phrases, known) for k in range(i, j)}
+            assert got == {(p, s) for p in phrases for s in suffixes[a:b] if s.startswith(p)}
 
 
 def test_whole_forms_have_every_hit(catalog, indexed):
