@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +35,7 @@ HIT_COLUMNS = (
 )
 ENTRY_COLUMNS = HIT_COLUMNS[:11]
 # A batch's phrases are tested by their leading characters inside the scan, up to that many distinct ones; rows are the same either way.
-LEADING_CHARS = 4
-TESTED_KEYS = 2000
+TESTED_KEYS = 10_000
 LAST_CHAR = "\U0010ffff"  # no token holds it
 
 
@@ -188,7 +188,8 @@ def _may_match(suffix: Column, phrases: list[str]) -> Column:
     """A cheap test that every suffix with one of the phrases passes, for the scan to skip most others."""
     keys: dict[int, set[str]] = {}
     for phrase in phrases:
-        keys.setdefault(min(len(phrase), LEADING_CHARS), set()).add(phrase[:LEADING_CHARS])
+        size = 1 << (len(phrase).bit_length() - 1)
+        keys.setdefault(size, set()).add(phrase[:size])
     within = (suffix >= phrases[0]) & ((suffix < phrases[-1]) | F.startswith(suffix, F.lit(phrases[-1])))
     if sum(map(len, keys.values())) > TESTED_KEYS:
         return within
@@ -217,9 +218,11 @@ def _merge_in_order(phrases: list[str], columns: list[str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {phrase: number for number, phrase in enumerate(phrases)}
         for batch in batches:
-            suffixes = batch.column("suffix").to_pylist()
+            column = batch.column("suffix")
+            suffixes = column.to_pylist()
             # A task may read several files, each in order.
-            cuts = [0, *(i for i in range(1, len(suffixes)) if suffixes[i] < suffixes[i - 1]), len(suffixes)]
+            falls = pc.less(column.slice(1), column.slice(0, max(0, len(column) - 1))).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(falls) + 1).tolist(), len(suffixes)]
             numbers, places = [], []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 for number, start, stop in _ranges(suffixes[a:b], phrases, known) if b > a else ():

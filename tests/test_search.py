@@ -85,7 +85,7 @@ def test_batches_of_any_size_give_the_same_rows(catalog, indexed, monkeypatch, s
     """Also beside phrases that nothing has, and with and without the test inside the scan."""
     from archidex.operators import search as module
 
-    monkeypatch.setattr(module, "TESTED_KEYS", 2000 if size != 51 else 0)
+    monkeypatch.setattr(module, "TESTED_KEYS", 10_000 if size != 51 else 0)
     texts = ["aurora final", "a a", "a", "fin cut", "docs/a"]
     asked = [texts[i] if i < 5 else f"zz{i}" if i % 2 else f"a{i}q" for i in range(size)]
     by_query = {}
