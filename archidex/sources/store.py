@@ -43,6 +43,7 @@ from archidex.schema import (
 from archidex.session import cut_lineage
 
 _SMALL = {"drives": DRIVES, "snapshots": SNAPSHOTS, "imports": IMPORTS}
+_PAIRS = T.StructType([T.StructField("batch", T.LongType()), T.StructField("snapshot_id", T.LongType())])
 _ENTRY_FILE_ROWS = 5_000_000
 
 
@@ -51,10 +52,11 @@ class Manifest:
     version: int
     schema_version: int
     batches: tuple[int, ...]
-    superseded: tuple[tuple[int, int], ...]
+    superseded: tuple[int, ...]  # versions that wrote a table of replaced (batch, snapshot) pairs
     indexed: tuple[int, ...]
     rows: dict[str, int]
     last_entry: int = 0
+    superseded_rows: int = 0
 
     def to_json(self) -> str:
         return json.dumps(self.__dict__)
@@ -66,10 +68,11 @@ class Manifest:
             version=raw["version"],
             schema_version=raw["schema_version"],
             batches=tuple(raw["batches"]),
-            superseded=tuple((b, s) for b, s in raw["superseded"]),
+            superseded=tuple(raw["superseded"]),
             indexed=tuple(raw["indexed"]),
             rows=dict(raw["rows"]),
             last_entry=raw.get("last_entry", 0),
+            superseded_rows=raw.get("superseded_rows", 0),
         )
 
 
@@ -153,7 +156,7 @@ class CatalogStore:
         postings, stats = self._postings(manifest)
         return Catalog(
             **small,
-            entries=self._batches("entries", ENTRIES, manifest.batches, manifest.superseded),
+            entries=self._entries(manifest),
             version=manifest.schema_version,
             location=self.resolved_root(),
             drive_rows=manifest.rows.get("drives"),
@@ -162,29 +165,39 @@ class CatalogStore:
             postings_stats=stats,
         )
 
-    def _batches(self, table: str, schema: T.StructType, batches: Iterable[int], superseded: Iterable[tuple[int, int]]) -> DataFrame:
+    def _batches(self, table: str, schema: T.StructType, batches: Iterable[int]) -> DataFrame:
+        """The stored rows of the given batches, with their batch."""
         paths = [f"{self.root}/{table}/batch={batch}" for batch in batches]
         if not paths:
-            return empty(self.spark, schema)
-        df = self.spark.read.schema(_with_batch(schema)).option("basePath", f"{self.root}/{table}").parquet(*paths)
-        stale: dict[int, list[int]] = {}
-        for batch, snapshot in superseded:
-            stale.setdefault(batch, []).append(snapshot)
-        for batch, snapshots in stale.items():
-            df = df.where(~((F.col("batch") == batch) & F.col("snapshot_id").isin(snapshots)))
-        return df.drop("batch")
+            return empty(self.spark, _with_batch(schema))
+        return self.spark.read.schema(_with_batch(schema)).option("basePath", f"{self.root}/{table}").parquet(*paths)
+
+    def _entries(self, manifest: Manifest) -> DataFrame:
+        """Entries without those that a later batch replaces: a left anti join with the table of replaced snapshots."""
+        rows = self._batches("entries", ENTRIES, manifest.batches)
+        if manifest.superseded_rows:
+            rows = rows.join(self._replaced_pairs(manifest), ["batch", "snapshot_id"], "left_anti")
+        return rows.select(*(f.name for f in ENTRIES))
+
+    def _pairs(self, table: str, versions: Iterable[int]) -> DataFrame:
+        paths = [f"{self.root}/{table}/v{version:08d}" for version in versions]
+        return self.spark.read.schema(_PAIRS).parquet(*paths) if paths else self.spark.createDataFrame([], _PAIRS)
+
+    def _replaced_pairs(self, manifest: Manifest) -> DataFrame:
+        pairs = self._pairs("superseded", manifest.superseded)
+        return F.broadcast(pairs) if manifest.superseded_rows <= BROADCAST_ROWS else pairs
 
     def _postings(self, manifest: Manifest) -> tuple[DataFrame | None, DataFrame | None]:
         """The token index of all batches; those written without one are tokenized when they are searched."""
         if not manifest.indexed:
             return None, None
         paths = [f"{self.root}/postings_stats/batch={batch}" for batch in manifest.indexed]
-        postings = self._batches("postings", POSTINGS, manifest.indexed, ())
+        postings = self._batches("postings", POSTINGS, manifest.indexed).drop("batch")
         stats = self.spark.read.schema("docs long, tokens long").parquet(*paths)
         # Odd batches replace entries of earlier ones and repeat their texts.
         plain = [batch for batch in manifest.batches if batch % 2 == 0 and batch not in manifest.indexed]
         if plain:
-            entries = self._batches("entries", ENTRIES, plain, ())
+            entries = self._batches("entries", ENTRIES, plain).drop("batch")
             postings = postings.unionByName(conform(build_postings(entries), POSTINGS))
             stats = stats.unionByName(postings_stats(entries))
         return postings, stats
@@ -256,11 +269,13 @@ class CatalogStore:
         so rows that are dear to make (a scan's listing and hashing, the join
         of a replacement) are written out first; those of a merge are not.
         """
+        check_schema_version(schema_version)
         previous = self.manifest()
         version = 1 if previous is None else previous.version + 1
         batches = list(previous.batches) if previous else []
         indexed = list(previous.indexed) if previous else []
         superseded = list(previous.superseded) if previous else []
+        superseded_rows = previous.superseded_rows if previous else 0
         if isinstance(tables, Catalog):
             tables = {name: getattr(tables, name) for name in _SMALL}
 
@@ -278,7 +293,9 @@ class CatalogStore:
             batches.append(batch)
         if replaced is not None:
             stored = self._write_entries(batch + 1, cut_lineage(conform(replaced, ENTRIES)), last_entry)
-            superseded += self._stored_batches(previous, stored)
+            self._stored_pairs(previous, stored).write.mode("overwrite").parquet(f"{self.root}/superseded/v{version:08d}")
+            superseded.append(version)
+            superseded_rows += self._pairs("superseded", [version]).count()
             batches.append(batch + 1)
             if self.index:
                 # The rows keep their ids and texts, so only an empty index part is added.
@@ -288,7 +305,8 @@ class CatalogStore:
                 zero.write.mode("overwrite").parquet(f"{self.root}/postings_stats/batch={batch + 1}")
                 indexed.append(batch + 1)
         rows = self._write_small(version, tables)
-        self._publish(Manifest(version, schema_version, tuple(batches), tuple(superseded), tuple(indexed), rows, last_entry))
+        manifest = Manifest(version, schema_version, tuple(batches), tuple(superseded), tuple(indexed), rows, last_entry, superseded_rows)
+        self._publish(manifest)
         return self.load()
 
     def compact(self) -> Catalog:
@@ -320,6 +338,7 @@ class CatalogStore:
         alive = {
             **{name: {f"v{v:08d}" for v in kept} for name in _SMALL},
             **{name: batches for name in ("entries", "postings", "postings_stats")},
+            "superseded": {f"v{v:08d}" for m in manifests for v in m.superseded},
         }
         # Manifests go first: a version is gone as a whole before any of its data is.
         dead = [f"manifests/v{v:08d}.json" for v in versions if v not in kept]
@@ -331,17 +350,13 @@ class CatalogStore:
             self._fs.delete(self._path(path), True)
         return dead
 
-    def _stored_batches(self, previous: Manifest, replaced: DataFrame) -> list[tuple[int, int]]:
-        """The (batch, snapshot) pairs that hold the replaced snapshots now."""
-        ids = replaced.select("snapshot_id").distinct()
-        paths = [f"{self.root}/entries/batch={b}" for b in previous.batches]
-        stored = (
-            self.spark.read.schema(_with_batch(ENTRIES))
-            .option("basePath", f"{self.root}/entries").parquet(*paths)
-            .select("batch", "snapshot_id").distinct().join(ids, "snapshot_id")
-        )
-        known = set(previous.superseded)
-        return [(r["batch"], r["snapshot_id"]) for r in stored.collect() if (r["batch"], r["snapshot_id"]) not in known]
+    def _stored_pairs(self, previous: Manifest, replaced: DataFrame) -> DataFrame:
+        """The (batch, snapshot) pairs that hold the replaced snapshots now. Partition values only; no entry is read."""
+        stored = self._batches("entries", ENTRIES, previous.batches).select("batch", "snapshot_id").distinct()
+        stored = stored.join(replaced.select("snapshot_id").distinct(), "snapshot_id", "left_semi")
+        if previous.superseded_rows:
+            stored = stored.join(self._replaced_pairs(previous), ["batch", "snapshot_id"], "left_anti")
+        return stored.select(*(f.name for f in _PAIRS))
 
     # -- operations ----------------------------------------------------------
 

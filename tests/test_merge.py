@@ -90,6 +90,39 @@ def test_flip_needs_the_same_paths(spark, target):
     assert target.manifest().version == version
 
 
+def test_replaced_snapshots_are_a_table_and_not_part_of_the_plan(spark, tmp_path):
+    """Flip after flip the entries stay right, and reading them takes the same plan."""
+    drive = {"id": A, "name": "Many", "latest_snapshot_id": 40}
+    whole = catalog_of(
+        spark, [drive], [{"id": i, "drive_id": A} for i in range(1, 41)], [entry(i, f"d/{i}.bin", size=i) for i in range(1, 41)]
+    )
+    store = CatalogStore(spark, str(tmp_path / "flips"))
+    catalog = store.publish(whole, new_entries=whole.entries)
+    sizes = []
+    for flip, upto in enumerate((40, 25, 40, 1), start=1):
+        changed = catalog.entries.where(f"snapshot_id <= {upto}").withColumn("hash", F.lit(f"quick:{flip}"))
+        catalog = store.publish(catalog, replaced=changed)
+        assert store.manifest().superseded_rows == sum((40, 25, 40, 1)[:flip])
+        sizes.append(catalog.entries._jdf.queryExecution().optimizedPlan().toString().count("snapshot_id"))
+        found = {r.snapshot_id: r.hash for r in catalog.entries.collect()}
+        assert len(found) == catalog.entries.count() == 40
+    assert found == {1: "quick:4", **{i: "quick:3" for i in range(2, 41)}}
+    assert len(set(sizes)) == 1
+    plan = catalog.entries._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "InSet" not in plan
+    assert store.compact().entries.count() == 40 and store.manifest().superseded_rows == 0
+    assert any(p.startswith("superseded/") for p in store.expire())
+    assert {r.hash for r in store.load().entries.collect()} == {"quick:3", "quick:4"}
+
+
+def test_unreadable_version_is_never_published(spark, target):
+    target.initialize()
+    before = target.manifest()
+    with pytest.raises(CatalogError, match="newer"):
+        target.publish(target.load(), schema_version=9)
+    assert target.manifest() == before and target.load().drives.count() >= 0
+
+
 def test_name_conflict(spark, target):
     empty = target.initialize()
     local = spark.createDataFrame([(B, "LAPTOP")], "id string, name string")
@@ -132,6 +165,7 @@ def test_chained_renames_equal_one_by_one(spark):
 
 
 def rejected(target, source, message):
+    target.initialize()
     before = target.manifest()
     with pytest.raises(CatalogError, match=message):
         merge.merge_catalog(target, source)
