@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from archidex.llm import bpe, decontam, langid, linededup, simhash, token_counts
 from archidex.llm.common import table
+from archidex.session import cut_lineage
 
 LEAST_LANGUAGE_SCORE = 0.5
 
@@ -58,7 +59,10 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document left, and the text that they decode to."""
+    """Token ids of every document left, and the text that they decode to.
+
+    Ids are written before they are decoded, so that an executor runs one Python worker for each core and not two.
+    """
     vocabulary = bpe.load_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
-    coded = bpe.decode(bpe.encode(docs, vocabulary), vocabulary)
+    coded = bpe.decode(cut_lineage(bpe.encode(docs, vocabulary)), vocabulary)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
