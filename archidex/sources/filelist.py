@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from archidex.functions import filelist as fields
 from archidex.functions.paths import base_name, extension_of, is_hidden, parent_of
 from archidex.schema import CatalogError
+from archidex.sources.records import quoted_records
 
 
 def _forms(spark: SparkSession, paths: list[str]) -> dict[tuple[str, bool], list[str]]:
@@ -87,9 +88,10 @@ def read_file_list(
 ) -> DataFrame:
     """Entries of one or more file lists, with the list as ``origin``.
 
-    Each list is read by its own header line. Lists are read in splits; only
-    one in which a quoted field may cross a line end is read whole, unless
-    ``multi_line`` says so for all. A list without a line is an error.
+    Each list is read by its own header line, and in splits; those in which a
+    quoted field may cross a line end are cut into records first. With
+    ``multi_line`` every list is read whole by one task, or, if it is False,
+    every line is a record. A list without a line is an error.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     forms = _forms(spark, paths)
@@ -97,14 +99,26 @@ def read_file_list(
         raise CatalogError("file list without a header")
     parts = []
     for (header, spans), files in forms.items():
-        reader = spark.read.option("quote", '"').option("escape", '"')
-        reader = reader.option("multiLine", spans if multi_line is None else multi_line)
-        schema = T.StructType([T.StructField(name, T.StringType()) for name in _names(header)])
-        raw = reader.schema(schema).option("header", True).option("enforceSchema", True).csv(files)
-        parts.append(parse_rows(raw.withColumn("origin", F.col("_metadata.file_path")), strip_prefix, zone))
+        names = _names(header)
+        if spans and multi_line is None:
+            raw = _split_rows(quoted_records(spark, files), names)
+        else:
+            reader = spark.read.options(quote='"', escape='"', multiLine=bool(multi_line))
+            schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
+            raw = reader.schema(schema).option("header", True).option("enforceSchema", True).csv(files)
+            raw = raw.withColumn("origin", F.col("_metadata.file_path"))
+        parts.append(parse_rows(raw, strip_prefix, zone))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _split_rows(records: DataFrame, names: list[str]) -> DataFrame:
+    """The columns of a list's records, as the reader of whole lists names them."""
+    schema = ", ".join(f"`{name}` string" for name in names)
+    row = F.from_csv("record", schema, {"quote": '"', "escape": '"'}).alias("row")
+    fields_of = [F.col(f"row.`{name}`") for name in names if name.lower() != "origin"]
+    return records.where(F.col("record") != "").select(F.col("file").alias("origin"), row).select("origin", *fields_of)
+
+
 def _names(header: str) -> list[str]:
     """Names of a header line, made unique so that a repeated one can be addressed."""
     names: list[str] = []
