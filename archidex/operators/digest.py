@@ -24,7 +24,7 @@ _HEADER_FIELDS = (
 )
 
 
-def _framed(*values: Column) -> Column:
+def framed(*values: Column) -> Column:
     """Values joined with their byte lengths in front, so that no two lists look alike."""
     texts = [F.coalesce(v.cast("string"), F.lit("")) for v in values]
     return F.concat(*[part for t in texts for part in (F.octet_length(t).cast("string"), F.lit(":"), t)])
@@ -67,7 +67,7 @@ def snapshot_summary(catalog: Catalog) -> DataFrame:
 
 
 def header_digest(body: Column) -> Column:
-    return F.sha2(_framed(*[F.col(c) for c in _HEADER_FIELDS], body), 256)
+    return F.sha2(framed(*[F.col(c) for c in _HEADER_FIELDS], body), 256)
 
 
 def snapshot_digests(snapshots: DataFrame, summary: DataFrame) -> DataFrame:

@@ -381,6 +381,42 @@ select 2, '', 0, '', {', '.join(['null'] * 5)}, ']}}', 0
 """
 
 
+def _framed_sql(*values: str) -> str:
+    return " || ".join(f"strlen(cast({v} as varchar)) || ':' || cast({v} as varchar)" for v in values)
+
+
+# Folders of the document archive: batches in languages in the root, so three levels from the lowest up.
+_FOLDERS = _ARCHIVE + f"""
+, nodes as (
+  select snapshot_id, parent_path as path, sha256(name) as place,
+    sha256({_framed_sql("name", "extension", "kind", "size", "modified_at", "hash", "hidden")}) as node
+  from entries
+), levels as (
+  select snapshot_id, path, sha256(string_agg(node, '' order by place, node)) as level, count(*) as entries
+  from nodes group by snapshot_id, path
+), lowest as (
+  select *, 2 as depth, sha256(level) as digest from levels where path like '%/%'
+), middle as (
+  select l.*, 1 as depth, sha256(l.level || below) as digest
+  from levels l join (
+    select snapshot_id, split_part(path, '/', 1) as path, sha256(string_agg(sha256({_framed_sql("name", "digest")}), ''
+      order by sha256(name), sha256({_framed_sql("name", "digest")}))) as below
+    from (select *, split_part(path, '/', 2) as name from lowest) group by snapshot_id, split_part(path, '/', 1)
+  ) using (snapshot_id, path)
+), top as (
+  select l.*, 0 as depth, sha256(l.level || below) as digest
+  from levels l join (
+    select snapshot_id, '' as path, sha256(string_agg(sha256({_framed_sql("path", "digest")}), ''
+      order by sha256(path), sha256({_framed_sql("path", "digest")}))) as below
+    from middle group by snapshot_id
+  ) using (snapshot_id, path)
+)
+select snapshot_id, path, depth, level, entries, digest from lowest
+union all select snapshot_id, path, depth, level, entries, digest from middle
+union all select snapshot_id, path, depth, level, entries, digest from top
+"""
+
+
 ORACLES: dict[str, str] = {
     "read_efu": r"""
 select source || '/' || lang || '/Doc, "' || doc_id || '".TXT' as path, source || '/' || lang as parent_path,
@@ -527,6 +563,11 @@ select path, change, kind, old_size, new_size, old_modified, new_modified from c
 where drive_id = (select drive_id from owners where n = 1)
 """,
     "diff_latest_two": _ARCHIVE + _DIFF + "select * from changes",
+    "diff_descent": _ARCHIVE + _DIFF + """
+select path, change, kind, old_size, new_size, old_modified, new_modified from changes
+where drive_id = (select drive_id from owners where n = 1)
+""",
+    "folder_digests": _FOLDERS,
     "duplicates": _ARCHIVE + _duplicates("current", "", 50),
     "duplicates_drive": _ARCHIVE + _duplicates("current", "and drive_name = 'Archive src8'", 200),
     "duplicates_all": _ARCHIVE + _duplicates("current", "", None),

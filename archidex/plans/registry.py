@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from archidex.functions import display, fingerprints, paths, tags
 from archidex.operators import (
-    browse, diff, digest, drives, duplicates, export, impact, lifecycle, merge, search, stats, validate,
+    browse, diff, digest, drives, duplicates, export, folders, impact, lifecycle, merge, search, stats, validate,
 )
 from archidex.plans import derive
 from archidex.schema import DRIVES, ENTRIES, IMPORTS, SNAPSHOTS, Catalog, CatalogError, empty
@@ -370,6 +370,14 @@ def diff_all(spark, sf_dir):
     return diff.diff_all(_documents(spark, sf_dir), 3, 4)
 
 
+def folder_digests(spark, sf_dir):
+    return folders.folder_digests(_documents(spark, sf_dir).entries)
+
+
+def diff_descent(spark, sf_dir):
+    return folders.diff_by_descent(_documents(spark, sf_dir), 3, 4)
+
+
 def diff_latest_two(spark, sf_dir):
     return diff.diff_latest_two(_documents(spark, sf_dir))
 
@@ -564,6 +572,8 @@ QUERIES: dict[str, Query] = {
     "diff": diff_two,
     "diff_all": diff_all,
     "diff_latest_two": diff_latest_two,
+    "diff_descent": diff_descent,
+    "folder_digests": folder_digests,
     "duplicates": duplicate_files,
     "duplicates_all": duplicates_all,
     "duplicates_orders_all": duplicates_orders_all,
