@@ -300,6 +300,29 @@ _COMMITTED = (
 )
 
 
+# Files of the tree with the stage that decides them: samples of 64 KiB from both ends are the whole of a file of 128 KiB.
+_STAGED = """
+with files as (
+  select source || '/' || lang || '/' || case when doc_id % 4 = 0 then '.doc' else 'doc' end || '-' || doc_id
+    || case doc_id % 3 when 0 then '.TXT' when 1 then '.tar.gz' else '' end as path, strlen(text) as size, text
+  from documents
+), sampled as (
+  select *, count(*) over (partition by size) as same_size,
+    case when size > 131072 then hex(encode(text)[1:65536]) || hex(encode(text)[size - 65535:size]) end as samples
+  from files
+), placed as (
+  select *, case when same_size = 1 then 'size' when size <= 131072 or count(*) over (partition by size, samples) = 1 then 'quick'
+    else 'full' end as stage
+  from sampled
+), staged as (
+  select path, size, stage,
+    case when stage = 'full' or stage = 'quick' and size <= 131072 then 'sha256:' || sha256(text) end as hash,
+    case stage when 'size' then 0 when 'quick' then least(size, 131072) else 131072 + size end as bytes_read
+  from placed
+)
+"""
+
+
 def _quick_hash() -> str:
     # Size as eight little-endian bytes, the first 64 KiB, and the end without overlap; via hex text.
     pairs = " || ".join(f"substr(size_hex, {15 - 2 * i}, 2)" for i in range(8))
@@ -444,6 +467,19 @@ union all
 select distinct source || '/' || lang, source, lang, '', 'directory', cast(0 as bigint), '', false from documents
 union all
 select distinct source, '', source, '', 'directory', cast(0 as bigint), '', false from documents
+""",
+    "staged_fingerprints": _STAGED + "select * from staged",
+    "staged_duplicates": """
+select 'sha256:' || sha256(text) as hash, strlen(text) as size, count(*) over (partition by text) as copies,
+  source || '/' || lang || '/' || case when doc_id % 4 = 0 then '.doc' else 'doc' end || '-' || doc_id
+    || case doc_id % 3 when 0 then '.TXT' when 1 then '.tar.gz' else '' end as path
+from documents
+qualify copies > 1
+""",
+    "staged_reading": _STAGED + """
+select stage, count(*) as files, cast(sum(size) as bigint) as bytes, cast(sum(bytes_read) as bigint) as bytes_read,
+  cast(0 as bigint) as errors
+from staged group by stage
 """,
     "exclude_globs": _ARCHIVE + r"""
 select drive_id, path, kind from current

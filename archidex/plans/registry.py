@@ -18,6 +18,7 @@ from archidex.session import scratch_path
 from archidex.sources.filelist import read_file_list
 from archidex.sources.globs import exclude_globs
 from archidex.sources.inventory import file_inventory, inventory_entries
+from archidex.sources.staged import reading_report, staged_duplicates, staged_fingerprints
 from archidex.sources.store import CatalogStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +74,19 @@ def inventory(spark, sf_dir):
     return inventory_entries(file_inventory(spark, root, hash_mode="full", folders_per_task=8)).drop("modified_at")
 
 
+def staged(spark, sf_dir):
+    files = staged_fingerprints(spark, derive.written_tree(spark, sf_dir))
+    return files.select("path", "size", "stage", "hash", "bytes_read")
+
+
+def staged_groups(spark, sf_dir):
+    return staged_duplicates(staged_fingerprints(spark, derive.written_tree(spark, sf_dir)))
+
+
+def staged_reading(spark, sf_dir):
+    return reading_report(staged_fingerprints(spark, derive.written_tree(spark, sf_dir)))
+
+
 def excluded(spark, sf_dir):
     current = _documents(spark, sf_dir).current_entries("path", "kind")
     return exclude_globs(current, EXCLUDED).select("drive_id", "path", "kind")
@@ -534,6 +548,9 @@ QUERIES: dict[str, Query] = {
     "read_catalog": read_catalog,
     "file_inventory": inventory,
     "exclude_globs": excluded,
+    "staged_fingerprints": staged,
+    "staged_duplicates": staged_groups,
+    "staged_reading": staged_reading,
     "fingerprint_full": fingerprint_full,
     "fingerprint_quick": fingerprint_quick,
     "export_csv": export_csv,
