@@ -41,9 +41,14 @@ class MergePlan:
 # -- drives --------------------------------------------------------------------
 
 
+def _marked(name: Column, drive_id: Column) -> Column:
+    """The name with its mark; numbered marks are this with a number behind it."""
+    return F.concat(name, F.lit(" (imported "), F.right(F.replace(drive_id, F.lit("drv_"), F.lit("")), F.lit(6)), F.lit(")"))
+
+
 def _candidate(name: Column, drive_id: Column, attempt: Column) -> Column:
     """Name number ``attempt``: the own one, then the marked one, then numbered marks."""
-    marked = F.concat(name, F.lit(" (imported "), F.right(F.replace(drive_id, F.lit("drv_"), F.lit("")), F.lit(6)), F.lit(")"))
+    marked = _marked(name, drive_id)
     return F.when(attempt == 0, name).when(attempt == 1, marked).otherwise(
         F.concat(marked, F.lit(" "), attempt.cast("string"))
     )
@@ -60,22 +65,77 @@ def _standing(proposals: DataFrame, taken: DataFrame) -> DataFrame:
     )
 
 
+def _places(names: DataFrame) -> DataFrame:
+    """Where a name stands in series of marked names: place 1 of its own, place n of the one it numbers."""
+    numbered = rf"(?s)^(.*) ([2-9]|[1-9][0-9]{{1,{len(str(MAX_NAME_ATTEMPTS)) - 1}}})\z"
+    own = names.withColumns({"series": F.col("name_key"), "place": F.lit(1)})
+    tail = names.where(F.col("name_key").rlike(numbered)).withColumns({
+        "series": F.regexp_extract("name_key", numbered, 1),
+        "place": F.regexp_extract("name_key", numbered, 2).cast("int"),
+    })
+    return own.unionByName(tail).drop("name_key")
+
+
+def _moved(proposals: DataFrame, taken: DataFrame) -> DataFrame:
+    """The next names of drives that lost their own one.
+
+    Such drives fill their series in id order, each taking the first free place. The places that are not free to any of
+    them (names of the target, and names now held by a smaller id outside the series) leave gaps; the k-th drive can't get
+    a gap before the k-th, nor one before its predecessor's next. Both are lower bounds, so no free name is passed over.
+    """
+    name, drive = F.col("name"), F.col("id")
+    members = proposals.where("refused or attempt > 0").withColumn("series", nocase(_marked(name, drive)))
+    first = members.groupBy("series").agg(F.min("id").alias("first_id"))
+    holders = proposals.where("not refused").select(
+        nocase(_candidate(name, drive, F.col("attempt"))).alias("name_key"), F.col("id").alias("holder"),
+        F.when(F.col("attempt") > 0, nocase(_marked(name, drive))).alias("home"),
+    )
+    everyone = taken.withColumns({"holder": F.lit(None).cast("string"), "home": F.lit(None).cast("string")})
+    closed = _places(everyone.unionByName(holders)).join(first, "series").where(
+        F.col("holder").isNull() | ((F.col("holder") < F.col("first_id")) & ~F.col("home").eqNullSafe(F.col("series")))
+    )
+    closed = closed.select("series", "place").distinct()
+    # Gaps before a closed place, and closed places up to each drive's present one.
+    in_series = Window.partitionBy("series")
+    before = closed.withColumn("gap", F.col("place") - F.row_number().over(in_series.orderBy("place")))
+    asking = members.withColumns({"place": F.col("attempt"), "is_drive": F.lit(1)})
+    along = in_series.orderBy("place", "is_drive").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = asking.unionByName(closed.withColumn("is_drive", F.lit(0)), allowMissingColumns=True)
+    placed = both.withColumn("passed", F.sum(1 - F.col("is_drive")).over(along)).where("is_drive = 1")
+    at = closed.withColumn("on_closed", F.lit(True))
+    placed = placed.join(at, ["series", "place"], "left").withColumn("on_closed", F.coalesce("on_closed", F.lit(False)))
+    # Its gap now; a refused drive, and one whose place is closed, stands before the next.
+    stands = F.col("place") - F.col("passed") + (F.col("refused") | F.col("on_closed")).cast("int")
+    by_id = in_series.orderBy("id")
+    upto = by_id.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = placed.withColumns({"stands": stands, "rank": F.row_number().over(by_id)})
+    ahead = ranked.withColumn("gap", F.max(F.col("stands") - F.col("rank")).over(upto) + F.col("rank"))
+    ahead = ahead.select("id", "name", "series", "gap").withColumn("is_drive", F.lit(1))
+    # The gap's place: closed places with fewer gaps before them come first.
+    lined = ahead.unionByName(before.select("series", "gap").withColumn("is_drive", F.lit(0)), allowMissingColumns=True)
+    order = in_series.orderBy("gap", F.col("is_drive").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = lined.withColumn("attempt", F.col("gap") + F.sum(1 - F.col("is_drive")).over(order)).where("is_drive = 1")
+    return found.select("id", "name", F.col("attempt").cast("int").alias("attempt"))
+
+
 def assign_names(target: DataFrame, source: DataFrame) -> DataFrame:
     """Source drives unknown to the target with the names they get: id, name, attempt.
 
-    Every drive asks for its first name; a name goes to the smallest id that
-    asks for it, and a refused drive asks for its next one. The rounds end
-    with what adding the drives one after the other in id order would give.
+    A name goes to the smallest id that asks for it; drives that lose their own name are dealt the free places of their
+    series of marked names by rank, all at once. The result is that of adding the drives one after the other in id order.
+    Clashes within a series take no further step, however many; only a name that one series takes from another,
+    or from a drive's own name, takes one more.
     """
     taken = target.select(nocase(F.col("name")).alias("name_key")).distinct()
     unknown = source.join(target.select("id"), "id", "left_anti").select("id", "name")
     proposals = cut_lineage(_standing(unknown.withColumn("attempt", F.lit(0)), taken))
-    for _ in range(MAX_NAME_ATTEMPTS + 1):
-        if proposals.where("refused").isEmpty():
-            return proposals.select("id", "name", "attempt")
-        attempt = F.col("attempt") + F.when(F.col("refused"), 1).otherwise(0)
-        proposals = cut_lineage(_standing(proposals.select("id", "name", attempt.alias("attempt")), taken))
-    raise CatalogError(f"no free name for an imported drive in {MAX_NAME_ATTEMPTS} tries")
+    while not proposals.where("refused").isEmpty():
+        moved = cut_lineage(_moved(proposals, taken))
+        if not moved.where(F.col("attempt") > MAX_NAME_ATTEMPTS).isEmpty():
+            raise CatalogError(f"no free name for an imported drive in {MAX_NAME_ATTEMPTS} tries")
+        kept = proposals.where("not refused and attempt = 0").select("id", "name", "attempt")
+        proposals = cut_lineage(_standing(kept.unionByName(moved), taken))
+    return proposals.select("id", "name", "attempt")
 
 
 def merge_drives(target: DataFrame, source: DataFrame, rename_conflicts: bool) -> DataFrame:

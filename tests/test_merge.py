@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,12 +140,14 @@ def test_name_conflict(spark, target):
 def sequential_names(target, source):
     """Names as adding the drives one by one in id order gives them."""
     taken = {n.lower() for _, n in target}
-    result = {}
+    result, begin = {}, {}  # names are never given back, so a mark's search goes on where its last one ended
     for drive, name in sorted(d for d in source if d[0] not in {t for t, _ in target}):
         candidate, attempt = name, 0
+        mark = f"{name} (imported {drive[-6:]})".lower()
         while candidate.lower() in taken:
-            attempt += 1
+            attempt = max(attempt + 1, begin.get(mark, 1))
             candidate = f"{name} (imported {drive[-6:]})" + (f" {attempt}" if attempt > 1 else "")
+        begin[mark] = attempt
         taken.add(candidate.lower())
         result[drive] = candidate
     return result
@@ -164,6 +168,39 @@ def test_chained_renames_equal_one_by_one(spark):
     assert plan[ids[1]]["target_name"] == "a (imported 000001) 2" and plan[ids[2]]["renamed"]
 
 
+def assigned(spark, target, source):
+    schema = "id string, name string"
+    plan = rows(merge.merge_drives(spark.createDataFrame(target, schema), spark.createDataFrame(source, schema), rename_conflicts=True))
+    return {r["id"]: r["target_name"] for r in plan if r["status"] == "added"}
+
+
+def test_ten_thousand_clashing_drives_equal_one_by_one(spark):
+    """One series of marked names; some of its places belong to the target, to earlier and to later drives."""
+    target = [("drv_ffffff000000", "Box")] + [(f"drv_ffffff{i:06x}", f"BOX (imported 00aaaa) {i}") for i in (2, 3, 700)]
+    source = [(f"drv_{i:06x}00aaaa", "box" if i % 2 else "BOX") for i in range(1, 9_800)]
+    source += [("drv_000000bbbbbb", "Box (imported 00aaaa) 5"), ("drv_000abcbbbbbb", "box (Imported 00aaaa) 4000")]
+    assert assigned(spark, target, source) == sequential_names(target, source)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_names_that_cross_series_equal_one_by_one(spark, seed):
+    draw = random.Random(seed)
+    ends = ["00000a", "00000b"]
+    bases = ["x", "X", *[f"x (imported {e})" for e in ends], *[f"X (imported {e}) {n}" for e in ends for n in (2, 3, 4, 9)],
+             "x (imported 00000a) 02", "x (imported 00000a) 1", "x (imported 00000a) 2\n", "x (imported 00000a) (imported 00000b)"]
+    source = [(f"drv_{i:06x}{draw.choice(ends)}", draw.choice(bases)) for i in draw.sample(range(1000), 60)]
+    names = draw.sample(bases, 5)
+    target = [(f"drv_ffffff{i:06x}", n) for i, n in enumerate({n.lower(): n for n in names}.values())]
+    assert assigned(spark, target, source) == sequential_names(target, source)
+
+
+def test_no_name_left_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(merge, "MAX_NAME_ATTEMPTS", 20)
+    source = [(f"drv_{i:06x}00aaaa", "box") for i in range(30)]
+    with pytest.raises(CatalogError, match="no free name"):
+        assigned(spark, [("drv_ffffff000000", "box")], source)
+
+
 def rejected(target, source, message):
     target.initialize()
     before = target.manifest()
