@@ -1,8 +1,8 @@
 """Web archives without repeated payloads: revisit records that refer to one original response.
 
-Small headers (id, payload size, payload digest) are shuffled by digest; of records with equal payloads of at least
-``MINIMUM_BYTES`` the one with the smallest id stays a response, the others become revisits of it. Archives are written
-by Spark's own text writer: a record's header, HTTP head and payload are one value, the two line breaks that end a
+Only headers (id, payload size, payload digest) are shuffled by digest; of records with equal payloads of at least
+``MINIMUM_BYTES`` the one with the smallest id stays a response, the others become revisits of it. What a page refers to
+comes back to it by (id, digest), so a payload that a third of all pages share meets nowhere. Archives are written by Spark's own text writer: a record's header, HTTP head and payload are one value, the two line breaks that end a
 record are the separator, so every file is a plain (gzipped) WARC file and lost tasks are repeated by Spark. Reading
 goes by ``Content-Length``, record by record, and joins revisits to their originals.
 
@@ -23,8 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from archidex.session import cut_lineage
+
 MINIMUM_BYTES = 100
-RECORDS_PER_FILE = 5_000
+# Payloads of up to so many bytes go so many into a file, larger ones alone: the payloads of a file stay within 256 MB.
+FILE_CLASSES = ((64 << 10, 4_096), (4 << 20, 64))
 
 # Fixed values of the archive format.
 VERSION = "WARC/1.1"
@@ -71,16 +74,37 @@ def _record(page_id: Column, url: Column, refers_to: Column, size: Column, diges
     return F.concat(F.concat_ws("\r\n", *lines), F.lit(RECORD_END), head, content)
 
 
+def revisits(heads: DataFrame) -> DataFrame:
+    """page_id, payload_digest and ``original``, once for each page whose payload an earlier id has."""
+    large = heads.where((F.col("payload_bytes") >= MINIMUM_BYTES) & F.col("page_id").isNotNull())
+    pages = large.select("page_id", "payload_digest").distinct()
+    return pages.join(originals(heads), "payload_digest").where("original < page_id")
+
+
 def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html") -> None:
-    """Deduplicated archives of all pages below ``path``."""
-    firsts = originals(headers(pages, key, payload))
+    """Deduplicated archives of all pages below ``path``, one write for each class of payload sizes that occurs."""
+    heads = cut_lineage(headers(pages, key, payload))
+    known = cut_lineage(revisits(heads))
     body = F.coalesce(F.col(payload), F.lit(""))
     full = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), body.alias("body"))
-    full = full.withColumn("payload_digest", F.sha2("body", 256)).join(firsts, "payload_digest", "left")
-    refers_to = F.when((F.octet_length("body") >= MINIMUM_BYTES) & (F.col("original") < F.col("page_id")), F.col("original"))
-    record = _record(F.col("page_id"), F.col("url"), refers_to, F.octet_length("body"), F.col("payload_digest"), F.col("body"))
-    writer = full.select(record.alias("value")).write.option("lineSep", RECORD_END).option("compression", "gzip")
-    writer.option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    # Pages without an id refer to nothing; they take no part in the join, where they would share one key.
+    given = full.where("page_id is not null").withColumn("payload_digest", F.sha2("body", 256))
+    rest = full.where("page_id is null").withColumn("payload_digest", F.sha2("body", 256))
+    full = given.join(known, ["page_id", "payload_digest"], "left").unionByName(rest, allowMissingColumns=True)
+    record = _record(F.col("page_id"), F.col("url"), F.col("original"), F.octet_length("body"), F.col("payload_digest"), F.col("body"))
+
+    def class_of(size: Column) -> Column:
+        kind = F.lit(len(FILE_CLASSES))
+        for number, (most, _) in reversed(list(enumerate(FILE_CLASSES))):
+            kind = F.when(size <= most, number).otherwise(kind)
+        return kind
+
+    present = sorted(r["kind"] for r in heads.select(class_of(F.col("payload_bytes")).alias("kind")).distinct().collect())
+    for kind in present or [0]:
+        records = FILE_CLASSES[kind][1] if kind < len(FILE_CLASSES) else 1
+        values = full.where(class_of(F.octet_length("body")) == kind).select(record.alias("value"))
+        writer = values.write.mode("append").option("lineSep", RECORD_END).option("compression", "gzip")
+        writer.option("maxRecordsPerFile", records).text(path)
 
 
 def _records(file: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import os
 
 import numpy as np
 import public_tokenizers
@@ -116,6 +117,32 @@ def test_hot_payload(spark, tmp_path):
     assert {r.refers_to for r in found if r.record_type == "revisit"} == {1} and sum(r.record_type == "revisit" for r in found) == 399
 
 
+def test_files_are_bounded_by_payload_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_CLASSES", ((200, 4), (1_000, 2)))
+    rows = [(i, "u", "s" * 150 + str(i % 5)) for i in range(20)] + [(100 + i, "u", "m" * (500 + i)) for i in range(4)]
+    rows += [(200, "u", "l" * 5_000), (201, "u", "l" * 5_000), (None, "u", "m" * 600), (None, "u", "s" * 150)]
+    path, found = archived(spark, tmp_path, [(*row, "v", "o") for row in rows])
+    assert warc.read_archives(spark, path).count() == len(rows)
+    sizes = []
+    for name in os.listdir(path):
+        if name.startswith("part-") and name.endswith(".gz"):
+            with gzip.open(os.path.join(path, name)) as file:
+                sizes.append([len(block) for _, block in warc._records(file)])
+    heads = 120  # the HTTP head of a response
+    assert all(len(s) <= (4 if max(s) <= 200 + heads else 2 if max(s) <= 1_000 + heads else 1) for s in sizes if s)
+    kinds = {k[0]: (r.record_type, r.refers_to) for k, r in found.items() if k[0] is not None}
+    assert kinds[200] == ("response", None) and kinds[201] == ("revisit", 200)
+    assert {kinds[i] for i in range(5)} == {("response", None)} and all(kinds[i] == ("revisit", i % 5) for i in range(5, 20))
+
+
+def test_revisits_come_from_headers_alone(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", "x" * 200) for i in range(8)], "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages"))
+    heads = warc.headers(spark.read.parquet(str(tmp_path / "pages")))
+    known = warc.revisits(heads)
+    assert known.columns == ["payload_digest", "page_id", "original"] and known.count() == 7
+
+
 def test_damaged_archive_is_an_error(spark, tmp_path):
     path, _ = archived(spark, tmp_path, [(1, "u", "q" * 200, "v", "o")], "bad")
     for part in (tmp_path / "bad").glob("part-*.gz"):
