@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archidex.llm import bpe, langid, lm, resampling, token_counts
+from archidex.llm import bpe, langid, lm, resampling, token_counts, unigram
 from archidex.llm.common import table
 
 
@@ -23,7 +23,8 @@ def op5_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
 
 def op8_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     pieces = token_counts.load_pieces(path or public_tokenizers.path("piece_bpe_32k.model"))
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), pieces)
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.token_counts(docs, pieces, unigram.fit(docs, pieces))
 
 
 def training_part(key: Column, folds: int, held_out: int) -> Column:

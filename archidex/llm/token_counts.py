@@ -5,8 +5,9 @@ sum of the pieces' scores is highest (ties: fewer pieces). The distinct words of
 order. The best score and piece count that end at a trie node depend on its prefix only, so they are computed once
 per shared prefix; the count at a word's end is kept for all its occurrences, also across slices.
 
-A piece's score is ``-log(rank + 2)``, rank being its place in the vocabulary: the usual Zipf weight of a list sorted by
-frequency. A character outside the vocabulary counts as its UTF-8 bytes, each a piece scored below all others.
+A piece's score is the logarithm of its probability, given by the caller; ``unigram.fit`` fits it to the corpus itself. The counts
+are those of this unigram model over the vocabulary's pieces, not of the merges its file may define for another kind of
+tokenizer. A character outside the vocabulary counts as its UTF-8 bytes, each a piece scored below all others.
 
 Defined results: null and empty texts have no words and no tokens. Rows are independent; repeated rows and null ids
 pass through, other columns are not read. A word of any length takes time in proportion to it.
@@ -14,8 +15,7 @@ pass through, other columns are not read. A word of any length takes time in pro
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -41,11 +41,11 @@ def load_pieces(path: str) -> tuple[str, ...]:
 class WordCounts(dict):
     """Pieces of a word's best segmentation, by word: a bounded memory."""
 
-    def __init__(self, pieces: tuple[str, ...]):
+    def __init__(self, pieces: tuple[str, ...], scores: Sequence[float]):
         super().__init__()
-        self.scores = {p: -math.log(rank + 2) for rank, p in enumerate(pieces)}
+        self.scores = dict(zip(pieces, map(float, scores), strict=True))
         self.longest = max(map(len, pieces))
-        self.byte_score = -math.log(len(pieces) + 2) - 1
+        self.byte_score = min(self.scores.values()) - 1
 
     def visit(self, words: Iterable[str]) -> Iterator[tuple[str, int]]:
         """Counts of distinct words, visiting their trie depth first: sorted words share all nodes of a common prefix."""
@@ -90,12 +90,15 @@ class WordCounts(dict):
         return [len(words) for words in split], [sum(map(look, words)) for words in split]
 
 
-def token_counts(docs: DataFrame, pieces: tuple[str, ...], key: str = "doc_id", text: str = "text") -> DataFrame:
+def token_counts(
+    docs: DataFrame, pieces: tuple[str, ...], scores: Sequence[float], key: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """One row per document: key, ``n_words`` and ``n_tokens``. No shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)
+    model = (pieces, tuple(map(float, scores)))
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), hash(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = worker_state(shared.value, lambda: WordCounts(shared.value))
+        counts = worker_state(("token_counts", name), lambda: WordCounts(*shared.value))
         for part in sliced(batches, "text"):
             words, tokens = counts.count_texts(texts_of(part, "text"))
             columns = [part.column("key"), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())]
