@@ -1,6 +1,6 @@
 """Unigram probabilities of vocabulary pieces, fitted to a whole corpus by expectation maximisation.
 
-The distinct words of all documents, in chunks of bounded length, are counted once (within slices, then by shuffle). Each
+The distinct words of all documents, in chunks of bounded length, are counted once (within tasks, then by shuffle). Each
 round sums over all segmentations of every distinct chunk, weighed by its count, and adds up how often each piece is expected
 to be used. Only those sums, one for each piece of the fixed vocabulary, come to the driver.
 
@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archidex.llm.common import release_state, sliced, texts_of
-from archidex.llm.langid import Lattice, PieceTrie, chunks_of
+from archidex.llm.langid import CHUNK, Lattice, PieceTrie, chunks_of
+from archidex.llm.token_counts import WORD_MARK
 from archidex.session import cut_lineage
 
 ROUNDS = 3
@@ -29,20 +30,31 @@ UNKNOWN_SHARE = 1e-7
 LEAST_SHARE = 1e-9
 GRAIN = 1 << 16
 LATTICE_CHUNKS = 8_000
+HELD_WORDS = 200_000
 
 
 def chunk_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Distinct chunks of the marked words of all texts with their number: chunk, n."""
 
+    def chunked(words: Counter) -> pa.RecordBatch:
+        short = {WORD_MARK + word: n for word, n in words.items() if len(word) < CHUNK}
+        counted = Counter(short) if len(short) < len(words) else short
+        for word, n in words.items() if len(short) < len(words) else ():
+            if len(word) >= CHUNK:
+                for chunk in chunks_of(word):
+                    counted[chunk] += n
+        return pa.RecordBatch.from_arrays([pa.array(list(counted), pa.string()), pa.array(list(counted.values()), pa.int64())], ["chunk", "n"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter = Counter()
         for batch in batches:
             for part in sliced([batch], "text"):
-                counted: Counter = Counter()
-                for word, n in Counter(w for t in texts_of(part, "text") for w in t.split()).items():
-                    for chunk in chunks_of(word):
-                        counted[chunk] += n
-                columns = [pa.array(list(counted), pa.string()), pa.array(list(counted.values()), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["chunk", "n"])
+                for text in texts_of(part, "text"):
+                    words.update(text.split())
+                if len(words) > HELD_WORDS:
+                    yield chunked(words)
+                    words.clear()
+        yield chunked(words)
 
     found = docs.select(F.col(text).alias("text")).mapInArrow(run, "chunk string, n long")
     return found.groupBy("chunk").agg(F.sum("n").alias("n"))
