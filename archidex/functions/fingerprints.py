@@ -19,6 +19,21 @@ def has_scheme(value: Column, scheme: str) -> Column:
     return F.startswith(value, F.lit(scheme)) | (nocase(F.left(value, F.lit(len(scheme)))) == scheme)
 
 
+def packed(value: Column) -> Column:
+    """A stored fingerprint in as few bytes as it needs: a byte for the scheme, then the digest or, for any other text, that text."""
+    scheme = F.when(F.startswith(value, F.lit(FULL)), F.lit(b"\2")).otherwise(F.lit(b"\1"))
+    # \\z and not $, which a line break may follow.
+    usual = F.rlike(value, F.lit(FINGERPRINT_PATTERN.removesuffix("$") + "\\z"))
+    return F.when(usual, F.concat(scheme, F.unhex(F.right(value, F.lit(64))))).otherwise(F.concat(F.lit(b"\0"), value.cast("binary")))
+
+
+def unpacked(value: Column) -> Column:
+    """The fingerprint that ``packed`` made the bytes from."""
+    scheme, rest = F.substring(value, 1, 1), F.substring(value, 2, (1 << 31) - 1)
+    usual = F.concat(F.when(scheme == F.lit(b"\2"), FULL).otherwise(QUICK), F.lower(F.hex(rest)))
+    return F.when(scheme == F.lit(b"\0"), rest.cast("string")).otherwise(usual)
+
+
 def full_fingerprint(content: Column) -> Column:
     return F.concat(F.lit(FULL), F.sha2(content, 256))
 

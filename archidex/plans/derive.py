@@ -99,10 +99,14 @@ def folder_entries(files: DataFrame) -> DataFrame:
     )
 
 
-def document_catalog(documents: DataFrame) -> Catalog:
-    """Drives, snapshots and entries of the document archive as lazy frames."""
+def document_entries(documents: DataFrame) -> DataFrame:
     files = document_files(documents)
-    entries = file_entries(files).unionByName(folder_entries(files))
+    return file_entries(files).unionByName(folder_entries(files))
+
+
+def document_catalog(documents: DataFrame, entries: DataFrame | None = None) -> Catalog:
+    """Drives, snapshots and entries of the document archive as lazy frames; entries as stored need not be made again."""
+    entries = document_entries(documents) if entries is None else entries
     owners = documents.select("source").distinct().select(
         "source", source_number(F.col("source")).alias("n"), drive_id_of(F.col("source")).alias("drive_id")
     )
@@ -167,10 +171,9 @@ def library_files(pages: DataFrame, parts: DataFrame) -> DataFrame:
     return page_files.unionByName(part_files)
 
 
-def _two_scan_catalog(files: DataFrame, names: list[str]) -> Catalog:
-    """A catalog over ``files`` whose snapshots 2i+1, 2i+2 belong to drive i of ``names``."""
-    spark = files.sparkSession
-    entries = file_entries(files)
+def _two_scan_catalog(entries: DataFrame, names: list[str]) -> Catalog:
+    """A catalog of ``entries`` whose snapshots 2i+1, 2i+2 belong to drive i of ``names``."""
+    spark = entries.sparkSession
     owners = spark.createDataFrame(list(enumerate(names)), "n int, name string").withColumn("drive_id", drive_id_of(F.col("name")))
     counted = entry_counters(entries).withColumnRenamed("snapshot_id", "id")
     started = F.lit(SCAN_EPOCH) + F.col("v") * DAY
@@ -195,33 +198,44 @@ def _two_scan_catalog(files: DataFrame, names: list[str]) -> Catalog:
     return Catalog(drives, snapshots, entries, empty(spark, IMPORTS))
 
 
+LIBRARY_DRIVES = ["Web pages", "Spare parts"]
+ORDER_DRIVES = ["Orders"]
+
+
 def library_catalog(pages: DataFrame, parts: DataFrame) -> Catalog:
-    return _two_scan_catalog(library_files(pages, parts), ["Web pages", "Spare parts"])
+    return _two_scan_catalog(file_entries(library_files(pages, parts)), LIBRARY_DRIVES)
 
 
 def order_files(lineitem: DataFrame) -> DataFrame:
     """One file per line item; copies share part and quantity. The old scan lacks some, differs in others."""
     part = F.col("l_partkey")
-    path = F.concat(
-        F.lit("Archive/part-"), (part % 4096).cast("string"), F.lit("/"),
+    stem = F.concat(
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), part.cast("string"),
                     F.col("l_suppkey").cast("string"), F.col("l_quantity").cast("int").cast("string")),
         F.lit("."), F.lower("l_returnflag"),
     )
+    items = lineitem.select(
+        stem.alias("stem"), "l_partkey", F.col("l_quantity").cast("string").alias("quantity"),
+        F.unix_timestamp("l_shipdate").alias("modified_at"), F.coalesce(F.col("l_orderkey") % 11 != 0, F.lit(False)).alias("in_old"),
+    )
+    # Line items can repeat in all that makes a file; a path names one file. The columns it is made of are grouped, once for
+    # both scans: they say as much as path, size and hash and are far shorter.
+    once = items.groupBy("stem", "l_partkey", "quantity").agg(
+        F.max("in_old").alias("in_old"), F.max(F.when(F.col("in_old"), F.col("modified_at"))).alias("old_modified_at"),
+        F.max("modified_at").alias("modified_at"),
+    )
     old = F.col("v") == 1
-    files = _both_scans(lineitem).where(~old | (F.col("l_orderkey") % 11 != 0)).select(
+    return _both_scans(once).where(~old | F.col("in_old")).select(
         F.col("v").cast("long").alias("snapshot_id"),
-        path.alias("path"),
+        F.concat(F.lit("Archive/part-"), (part % 4096).cast("string"), F.lit("/"), F.col("stem")).alias("path"),
         (part + 100 + F.when(old & (part % 13 == 0), 1).otherwise(0)).alias("size"),
-        F.unix_timestamp("l_shipdate").alias("modified_at"),
-        F.concat(F.lit(FULL), F.sha2(F.concat_ws("-", part.cast("string"), F.col("l_quantity").cast("string")), 256)).alias("hash"),
+        F.concat(F.lit(FULL), F.sha2(F.concat_ws("-", part.cast("string"), F.col("quantity")), 256)).alias("hash"),
+        F.when(old, F.col("old_modified_at")).otherwise(F.col("modified_at")).alias("modified_at"),
     )
-    # Line items can repeat in all of these columns; a path names one file.
-    return files.groupBy("snapshot_id", "path", "size", "hash").agg(F.max("modified_at").alias("modified_at"))
 
 
 def order_catalog(lineitem: DataFrame) -> Catalog:
-    return _two_scan_catalog(order_files(lineitem), ["Orders"])
+    return _two_scan_catalog(file_entries(order_files(lineitem)), ORDER_DRIVES)
 
 
 def stored(spark: SparkSession, sf_dir: str, kind: str) -> Catalog:
@@ -229,13 +243,16 @@ def stored(spark: SparkSession, sf_dir: str, kind: str) -> Catalog:
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _stores:
         if kind == "documents":
-            catalog = document_catalog(table(spark, sf_dir, "documents"))
+            documents = table(spark, sf_dir, "documents")
+            entries, tables = document_entries(documents), lambda stored: document_catalog(documents, stored)
         elif kind == "library":
-            catalog = library_catalog(table(spark, sf_dir, "pages"), table(spark, sf_dir, "part"))
+            entries = file_entries(library_files(table(spark, sf_dir, "pages"), table(spark, sf_dir, "part")))
+            tables = lambda stored: _two_scan_catalog(stored, LIBRARY_DRIVES)
         else:
-            catalog = order_catalog(table(spark, sf_dir, "lineitem"))
+            entries = file_entries(order_files(table(spark, sf_dir, "lineitem")))
+            tables = lambda stored: _two_scan_catalog(stored, ORDER_DRIVES)
         root = scratch_path(spark, f"catalog-{kind}")
-        CatalogStore(spark, root, index=kind == "library").publish(catalog, new_entries=catalog.entries)
+        CatalogStore(spark, root, index=kind == "library").publish(tables, new_entries=entries)
         _stores[key] = root
     return CatalogStore(spark, _stores[key]).load()
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from archidex.functions.fingerprints import packed, unpacked
 from archidex.operators import lifecycle
 from archidex.operators.postings import build_postings, postings_stats
 from archidex.schema import (
@@ -40,7 +41,7 @@ from archidex.schema import (
     conform,
     empty,
 )
-from archidex.session import cut_lineage
+from archidex.session import cut_lineage, shuffles_freed
 
 _SMALL = {"drives": DRIVES, "snapshots": SNAPSHOTS, "imports": IMPORTS}
 _PAIRS = T.StructType([T.StructField("batch", T.LongType()), T.StructField("snapshot_id", T.LongType())])
@@ -219,9 +220,10 @@ class CatalogStore:
         over many files and keeps a folder's rows together, so that a folder
         page reads few row groups. The same layout puts equal paths side by
         side, which makes the uniqueness check free of another shuffle.
+        Fingerprints are most of a row; they pass the shuffle as bytes.
         """
         keys = ["snapshot_id", "parent_path", "path"]
-        ordered = conform(entries, ENTRIES).repartitionByRange(*keys)
+        ordered = conform(entries, ENTRIES).withColumn("hash", packed(F.col("hash"))).repartitionByRange(*keys)
         seen = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
         problem = (
             F.when(F.col("snapshot_id").isNull(), "entry of an unknown scan")
@@ -235,13 +237,15 @@ class CatalogStore:
             ordered.withColumn("_seen", seen)
             .withColumn("path", F.when(problem.isNotNull(), refused.cast("string")).otherwise(F.col("path")))
             .drop("_seen")
+            .withColumn("hash", unpacked(F.col("hash")))
             .withColumn("id", F.coalesce(F.col("id"), number))
         )
         path = f"{self.root}/entries/batch={batch}"
-        (
-            checked.write.mode("overwrite").option("maxRecordsPerFile", _ENTRY_FILE_ROWS)
-            .partitionBy("snapshot_id").parquet(path)
-        )
+        with shuffles_freed(self.spark):
+            (
+                checked.write.mode("overwrite").option("maxRecordsPerFile", _ENTRY_FILE_ROWS).option("compression", "zstd")
+                .partitionBy("snapshot_id").parquet(path)
+            )
         return self.spark.read.schema(ENTRIES).parquet(path)
 
     def _write_postings(self, batch: int, stored: DataFrame) -> None:
@@ -254,7 +258,7 @@ class CatalogStore:
 
     def publish(
         self,
-        tables: Catalog | dict[str, DataFrame],
+        tables: Catalog | dict[str, DataFrame] | Callable[[DataFrame], Catalog],
         new_entries: DataFrame | None = None,
         replaced: DataFrame | None = None,
         counted: bool = False,
@@ -264,6 +268,8 @@ class CatalogStore:
 
         ``replaced`` holds full new contents of snapshots that already have
         entries (same ids, names and paths), so their postings stay valid.
+        ``tables`` may be a function of the new entries as stored, for tables
+        that are derived from them: the entries are then made only once.
         With ``counted`` the counters of the new snapshots are taken from the
         stored entries. The range layout samples its input before it reads it,
         so rows that are dear to make (a scan's listing and hashing, the join
@@ -278,6 +284,8 @@ class CatalogStore:
         superseded_rows = previous.superseded_rows if previous else 0
         if isinstance(tables, Catalog):
             tables = {name: getattr(tables, name) for name in _SMALL}
+        if callable(tables) and new_entries is None:
+            raise CatalogError("tables made from new entries need new entries")
 
         batch = 2 * version
         last_entry = previous.last_entry if previous else 0
@@ -285,6 +293,9 @@ class CatalogStore:
             rows = cut_lineage(conform(new_entries, ENTRIES)) if counted else new_entries
             stored = self._write_entries(batch, rows, last_entry)
             last_entry = max(last_entry, stored.agg(F.max("id")).head()[0] or 0)
+            if callable(tables):
+                derived = tables(stored)
+                tables = {name: getattr(derived, name) for name in _SMALL}
             if counted:
                 tables = dict(tables, snapshots=lifecycle.apply_counters(tables["snapshots"], stored))
             if self.index:
