@@ -8,10 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from archidex.functions.fingerprints import packed, unpacked
+from archidex.operators import duplicates
 from archidex.plans import derive
 from archidex.schema import CatalogError
 from archidex.session import CLEANUP_KEY
 from archidex.sources.store import CatalogStore
+from tests.conftest import catalog_of, entry, rows
 
 ITEM = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string, l_shipdate timestamp"
 
@@ -74,6 +76,17 @@ def test_fingerprints_as_bytes(spark):
     assert len(back[0].bytes) == 33
 
 
+def test_duplicates_shuffle_bytes(spark):
+    drive = {"id": "drv_000000000001", "name": "One", "latest_snapshot_id": 1}
+    hashes = [h for h in HASHES if h.lower().startswith("sha256:")]
+    files = [entry(1, f"{n}-{k}", 5, 1, h) for n in range(2) for k, h in enumerate(hashes)] + [entry(1, "alone", 6, 1, hashes[0])]
+    catalog = catalog_of(spark, [drive], [{"id": 1, "drive_id": drive["id"]}], files)
+    members = duplicates.duplicates_all(catalog)
+    assert "hashpartitioning(content" in plan(members) and "hashpartitioning(hash" not in plan(members)
+    assert sorted((r.hash, r.size, r.copies, r.path) for r in members.collect()) == sorted((f["hash"], 5, 2, f["path"]) for f in files[:-1])
+    assert {r["hash"] for r in rows(duplicates.duplicate_groups_all(catalog))} == set(hashes)
+
+
 def test_tables_from_stored_entries(spark, items, tmp_path):
     before = spark.conf.get(CLEANUP_KEY)
     whole = items.where("l_shipdate is not null and l_quantity <> 2.5")
