@@ -21,10 +21,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archidex.functions.text import parse_query, token_count
+from archidex.operators.postings import sorting_tasks
 from archidex.operators.search import (
     K1, NAME_WEIGHT, PATH_WEIGHT, _fetched, _frequency, _idf, _merit, _no_hits, _order, _scored, _term_score, _with_text,
 )
 from archidex.schema import Catalog, bounded
+from archidex.session import cut_lineage, shuffles_freed
 
 TIERS = 32
 BLOCK_BITS = 12
@@ -56,12 +58,32 @@ def _shared(suffix: Column, previous: Column) -> Column:
     return F.when(previous.isNull() | (F.left(suffix, F.lit(1)) != F.left(previous, F.lit(1))), 0).otherwise(F.size(same))
 
 
+def _blocks(rows: DataFrame, count: int) -> DataFrame:
+    """The table of blocks of that many rows.
+
+    Least and greatest texts are found by sorting. Whole blocks are dealt to as many tasks as sorted the rows, since a task that
+    reads the small files they were written to would sort all of a split, and a split holds millions of rows.
+    """
+    fresh = F.array(*(F.count_if(F.col("shared") < n) for n in range(1, LONGEST_SHARED + 1))).alias("fresh")
+    dealt = rows.select("block", "suffix", "top", "length", "shared").repartition(sorting_tasks(count), "block")
+    return dealt.groupBy("block").agg(
+        F.min("suffix").alias("first"), F.max("suffix").alias("last"), F.max("top").alias("top"), F.min("length").alias("length"), fresh
+    )
+
+
 def build(catalog: Catalog, path: str) -> ImpactIndex:
-    """Write the index of all entries of the catalog to ``path`` and open it."""
+    """Write the index of all entries of the catalog to ``path`` and open it.
+
+    The number of tasks that sort it follows its rows. Left to the shuffle's bytes, which repeated words make few, a task's rows
+    would grow with the catalog.
+    """
     texts = _with_text(catalog.entries.select("snapshot_id", F.col("id").alias("entry_id"), "name", "path"))
-    figures = texts.agg(F.count(F.lit(1)).cast("double").alias("documents"), F.avg("length").alias("mean"))
-    mean = figures.head()["mean"] or 1.0
     counted = texts.withColumns({"name_tokens": token_count(F.col("name_text")), "path_tokens": token_count(F.col("path_text"))})
+    known = counted.agg(
+        F.count(F.lit(1)).cast("double").alias("documents"), F.avg("length").alias("mean"), F.sum("path_tokens").alias("rows")
+    ).head()
+    mean = known["mean"] or 1.0
+    figures = catalog.spark.range(0, 1, 1, 1).select(F.lit(known["documents"]).alias("documents"), F.lit(known["mean"]).cast("double").alias("mean"))
     counted = counted.where("path_tokens > 0").withColumn("suffixes", _suffixes())
     rows = counted.select("snapshot_id", "entry_id", "name", "name_text", "path_text", "length", "suffixes", F.posexplode("suffixes").alias("at", "one"))
     first = F.left(F.col("one.suffix"), F.lit(1))
@@ -74,15 +96,14 @@ def build(catalog: Catalog, path: str) -> ImpactIndex:
     bound = _term_score(F.lit(1.0), F.col("top"), F.col("length"), F.lit(mean))
     rows = rows.withColumn("tier", (-F.floor(bound / (K1 + 1.0) * TIERS)).cast("int"))
     order = ["tier", "suffix", "snapshot_id", "entry_id"]
-    laid = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    laid = rows.repartitionByRange(sorting_tasks(known["rows"] or 0), *order).sortWithinPartitions(*order)
     laid = laid.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS))
     # Small pages and row groups, so that the reader skips what a block does not need.
-    laid.write.option("parquet.block.size", 8 << 20).option("parquet.page.row.count.limit", 1 << BLOCK_BITS).parquet(f"{path}/rows")
+    with shuffles_freed(catalog.spark):
+        laid.write.option("parquet.block.size", 8 << 20).option("parquet.page.row.count.limit", 1 << BLOCK_BITS).parquet(f"{path}/rows")
     stored = catalog.spark.read.parquet(f"{path}/rows")
-    fresh = F.array(*(F.count_if(F.col("shared") < n) for n in range(1, LONGEST_SHARED + 1))).alias("fresh")
-    blocks = stored.groupBy("block").agg(
-        F.min("suffix").alias("first"), F.max("suffix").alias("last"), F.max("top").alias("top"), F.min("length").alias("length"), fresh
-    )
+    # Written first: the layout by text would make the table twice, once to sample it.
+    blocks = cut_lineage(_blocks(stored, known["rows"] or 0))
     blocks.repartitionByRange("first").sortWithinPartitions("first").write.parquet(f"{path}/blocks")
     figures.write.parquet(f"{path}/figures")
     return open_index(catalog.spark, path)

@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from archidex.functions.text import token_count, token_text
 
 
+# Rows of an index that one task sorts: some 300 bytes each in memory, so tasks stay the same size however large the index is.
+ROWS_A_TASK = 200_000
+
+
+def sorting_tasks(rows: int) -> int:
+    """How many tasks sort that many rows of an index."""
+    return max(1, -(-rows // ROWS_A_TASK))
+
+
 def _with_tokens(entries: DataFrame) -> DataFrame:
     texts = entries.withColumns({"name_text": token_text(F.col("name")), "path_text": token_text(F.col("path"))})
     return texts.withColumns({

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from archidex.functions.fingerprints import packed, unpacked
 from archidex.operators import lifecycle
-from archidex.operators.postings import build_postings, postings_stats
+from archidex.operators.postings import build_postings, postings_stats, sorting_tasks
 from archidex.schema import (
     BROADCAST_ROWS,
     DRIVES,
@@ -251,10 +251,14 @@ class CatalogStore:
     def _write_postings(self, batch: int, stored: DataFrame) -> None:
         path = f"{self.root}/postings/batch={batch}"
         keys = ["suffix", "snapshot_id", "entry_id"]
-        index = conform(build_postings(stored), POSTINGS)
-        index.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
         stats_path = f"{self.root}/postings_stats/batch={batch}"
         postings_stats(stored).write.mode("overwrite").parquet(stats_path)
+        # Tokens of names count twice here, so tasks get somewhat less than their share.
+        tokens = self.spark.read.schema("docs long, tokens long").parquet(stats_path).agg(F.sum("tokens")).head()[0] or 0
+        index = conform(build_postings(stored), POSTINGS)
+        laid = index.repartitionByRange(sorting_tasks(tokens), *keys).sortWithinPartitions(*keys)
+        with shuffles_freed(self.spark):
+            laid.write.mode("overwrite").parquet(path)
 
     def publish(
         self,

@@ -1,8 +1,9 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
-from archidex.operators import impact
+from archidex.operators import impact, postings
 from archidex.operators.search import search_all, search_scan
 from archidex.sources.store import CatalogStore
 from tests.conftest import catalog_of, entry
@@ -75,3 +76,21 @@ def test_empty_catalog(spark, tmp_path):
     none = catalog_of(spark, [], [], [])
     index = impact.build(none, str(tmp_path / "none"))
     assert impact.search_topk(none, index, "blue").count() == 0 == search_all(none, "blue").count()
+
+
+def test_tasks_follow_the_rows(spark, wide, monkeypatch, tmp_path):
+    monkeypatch.setattr(postings, "ROWS_A_TASK", 500)
+    stored, index = wide
+    count = index.rows.count()
+    blocks = impact._blocks(index.rows, count)
+    text = blocks._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" in text and "Aggregate" not in text[text.index("Exchange") :]  # no task sorts what a split of files holds
+    assert blocks.rdd.getNumPartitions() == postings.sorting_tasks(count) > 4
+    again = impact.build(stored, str(tmp_path / "again"))
+    sizes = [r["count"] for r in again.rows.groupBy(F.input_file_name()).count().collect()]
+    assert max(sizes) <= 1000 and sum(sizes) == count
+    kept = ["first", "last", "top", "length", "fresh"]
+    by_block = index.rows.groupBy("block").agg(F.min("suffix").alias("first"), F.max("suffix").alias("last"), F.count("*").alias("n"))
+    found = {r["block"]: (r["first"], r["last"]) for r in by_block.collect()}
+    assert {r["block"]: (r["first"], r["last"]) for r in blocks.select("block", *kept).collect()} == found
+    assert in_order(impact.search_topk(stored, again, "b", limit=60)) == in_order(impact.search_topk(stored, index, "b", limit=60))
