@@ -13,7 +13,7 @@ none, one or two letters between, so that a seed spans an edit of any kind. Edit
 An item of n letters is a candidate where n / ``LETTERS_A_HIT`` seeds meet on about one diagonal, far fewer than are left at the full
 distance, whether edits are spread evenly or at random.
 
-Whatever is found is verified over the whole item: the least edit distance of the item to any part of the text around the
+Whatever is found, unless too few of the item's grams of three and four letters are there, is verified over the whole item: the least edit distance of the item to any part of the text around the
 place, by bit-parallel dynamic programming, is at most ``1 - SIMILARITY`` of the item's length.
 
 Items are broadcast in blocks of bounded size; a larger benchmark takes more passes over the documents.
@@ -50,6 +50,7 @@ GAPS = (0, 1, 2)  # letters of a text in the place of an item's one: one was del
 LETTERS_A_HIT = 20
 SURE_LETTERS = 50
 SEED_BITS = 20
+SURE_GRAMS = (4, 3)  # letters of the grams whose number shows that an item can't be near a place
 STRETCH = 1 << 18  # letters whose seeds are counted at once
 WINDOWS_AT_ONCE = 16_384  # so that a step's arrays stay in a core's cache
 FOUND = "array<struct<item:int,distance:int>>"
@@ -114,9 +115,9 @@ def least_distance(item: str, text: str, most: int) -> int | None:
     full, top = (1 << size) - 1, 1 << size - 1
     # Bits of up and down say where the column of the distance table rises and falls by one.
     up, down, score = full, 0, size
-    best = score
+    best, reach, known = score, most + len(text), masks.get
     for letter in text:
-        same = masks.get(letter, 0)
+        same = known(letter, 0)
         diagonal = (((same & up) + up) ^ up) | same | down
         rises = down | ~(diagonal | up) & full
         falls = up & diagonal
@@ -128,10 +129,30 @@ def least_distance(item: str, text: str, most: int) -> int | None:
         falls = falls << 1 & full
         up = falls | ~(diagonal | rises) & full
         down = rises & diagonal
-        best = min(best, score)
+        if score < best:
+            best = score
+        reach -= 1
+        if score > reach:  # it falls by one a letter at most
+            break
     return best if best <= most else None
 
 
+def grams_of(text: str, size: int) -> list[str]:
+    return [text[k : k + size] for k in range(len(text) - size + 1)]
+
+
+def may_be_near(grams: dict[int, list[str]], text: str, most: int) -> bool:
+    """False only if no part of the text is within ``most`` edits of the item with these grams by their length.
+
+    An edit changes at most as many of the item's grams as a gram has letters; all others are in the text.
+    """
+    for size, of_item in grams.items():
+        least = len(of_item) - size * most
+        if least > 0 and sum(map(set(grams_of(text, size)).__contains__, of_item)) < least:
+            return False
+    return True
+
+
 def least_anywhere(item: str, text: str, most: int) -> int | None:
     """As ``least_distance``, with fewer letters read: of ``most + 1`` parts of the item one is met unchanged."""
     if item in text:
@@ -239,7 +260,9 @@ class Seeds:
             inside = np.flatnonzero(last < len(key))
             last = last[inside]
             enough = (key[last] == key[inside]) & (diagonal[last] - diagonal[inside] <= self.band[item[inside]])
-            for k, d in np.unique(np.stack([key[inside[enough]], diagonal[inside[enough]]]), axis=1).T.tolist():
+            key, diagonal = key[inside[enough]], diagonal[inside[enough]]  # in order, so equal ones are neighbours
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (diagonal[1:] != diagonal[:-1])])[: len(key)]
+            for k, d in zip(key[new].tolist(), diagonal[new].tolist(), strict=True):
                 yield k // self.count, k % self.count, d - int(begins[k // self.count])
 
 
@@ -249,6 +272,7 @@ class Index:
     def __init__(self, items: list[str]):
         self.items = [normal(t) for t in items]
         self.allowed = [int((1 - SIMILARITY) * len(t) + 1e-9) for t in self.items]
+        self.grams = [{size: grams_of(t, size) for size in SURE_GRAMS} for t in self.items]
         self.walks = walks()
         self.short = [n for n, t in enumerate(self.items) if 0 < len(t) < SURE_LETTERS]
         self.seeds = Seeds(self.items, [n for n, t in enumerate(self.items) if len(t) >= SURE_LETTERS])
@@ -308,7 +332,8 @@ class Index:
                 spans[-1][1] = b
             else:
                 spans.append([a, b])
-        near = (least_distance(self.items[item], data[a:b].decode("utf-8", "ignore"), allowed) for a, b in spans)
+        texts = (data[a:b].decode("utf-8", "ignore") for a, b in spans)
+        near = (least_distance(self.items[item], t, allowed) for t in texts if may_be_near(self.grams[item], t, allowed))
         return min((d for d in near if d is not None), default=None)
 
     def search(self, texts: list[str]) -> list[list[tuple[int, int]]]:

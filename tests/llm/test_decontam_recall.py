@@ -65,3 +65,18 @@ def test_seeds_in_long_and_wide_texts(monkeypatch):
     for before in range(0, 2000, 37):
         text = "щ " * before + edited(rng, item, 0.18, True) + " ю" * 500
         assert [i for i, _ in index.search([text, "", "words"])[0]] == [0]
+
+
+def test_places_without_enough_grams_are_not_read(monkeypatch):
+    rng = random.Random(8)
+    for _ in range(1000):
+        item, text = ("".join(rng.choice("abé ") for _ in range(n)) for n in (rng.randrange(1, 40), 60))
+        text = text[:20] + edited(rng, item, rng.choice([0, 0.1, 0.2]), False) + text[20:]
+        grams = {size: decontam.grams_of(item, size) for size in decontam.SURE_GRAMS}
+        for most in (0, 1, len(item) // 5):
+            if most < len(item) and decontam.least_distance(item, text, most) is not None:
+                assert decontam.may_be_near(grams, text, most)
+    item = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(20))
+    index, read = decontam.Index([item]), []
+    monkeypatch.setattr(decontam, "least_distance", lambda *given: read.append(given))
+    assert index.verified(" ".join(item.split()[:3]) + " klmnopq" * 40, 0, [0]) is None and not read
