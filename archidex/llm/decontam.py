@@ -13,8 +13,9 @@ none, one or two letters between, so that a seed spans an edit of any kind. Edit
 An item of n letters is a candidate where n / ``LETTERS_A_HIT`` seeds meet on about one diagonal, far fewer than are left at the full
 distance, whether edits are spread evenly or at random.
 
-Whatever is found, unless too few of the item's grams of three and four letters are there, is verified over the whole item: the least edit distance of the item to any part of the text around the
-place, by bit-parallel dynamic programming, is at most ``1 - SIMILARITY`` of the item's length.
+Whatever is found is verified over the whole item: the least edit distance of the item to any part of the text around the
+place, by bit-parallel dynamic programming, is at most ``1 - SIMILARITY`` of the item's length. The places of a slice of texts are
+verified side by side. Items over ``TOGETHER_LETTERS`` are verified place by place, unless too few of their grams of three and four letters are there.
 
 Items are broadcast in blocks of bounded size; a larger benchmark takes more passes over the documents.
 Items of less than ``SURE_LETTERS`` are too short for as many seeds, and are looked for in every text exactly: of as many parts as
@@ -53,6 +54,9 @@ SEED_BITS = 20
 SURE_GRAMS = (4, 3)  # letters of the grams whose number shows that an item can't be near a place
 STRETCH = 1 << 18  # letters whose seeds are counted at once
 WINDOWS_AT_ONCE = 16_384  # so that a step's arrays stay in a core's cache
+TOGETHER_LETTERS = 4096  # longer items are verified place by place
+WORDS_AT_ONCE = 8192  # 64 letters of an item each
+MASK_WORDS = 1 << 22
 FOUND = "array<struct<item:int,distance:int>>"
 
 
@@ -137,6 +141,101 @@ def least_distance(item: str, text: str, most: int) -> int | None:
     return best if best <= most else None
 
 
+class Together:
+    """Places of many items, verified side by side: ``least_distance`` with a row of each item's words of 64 bits in one array.
+
+    Longer places are cut with as much overlap as a part within ``most`` edits may take, so none is lost.
+    """
+
+    def __init__(self, codes: np.ndarray, items: list[np.ndarray], most: np.ndarray):
+        self.codes, self.items, self.most = codes, items, most
+        self.sizes = np.array([len(t) for t in items], dtype=np.int64)
+
+    def distances(self, item: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For every place, given by its item and letters, the least distance, or one over ``most`` if none is at most that."""
+        out = self.most[item] + 1
+        reach = self.sizes[item] + self.most[item]
+        pieces = np.maximum(1, -(-(end - begin - reach) // (2 * reach)))
+        place = np.repeat(np.arange(len(item)), pieces)
+        part = np.arange(len(place)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = begin[place] + part * 2 * reach[place]
+        end = np.minimum(begin + 3 * reach[place], end[place])
+        order = np.argsort(item[place], kind="stable")
+        words = -(-self.sizes[item[place[order]]] // 64)
+        letters = np.unique(np.concatenate([np.empty(0, np.uint32), *(self.items[n] for n in np.unique(item).tolist())]))
+        group = np.cumsum(words) // max(1, min(WORDS_AT_ONCE, MASK_WORDS // (len(letters) + 1)))
+        for some in np.split(order, np.flatnonzero(np.diff(group)) + 1) if len(order) else ():
+            some = some[np.argsort(begin[some] - end[some], kind="stable")]  # the longest first, so that those not ended are a prefix
+            np.minimum.at(out, place[some], self._batch(item[place[some]], begin[some], end[some] - begin[some], letters))
+        return out
+
+    def _masks(self, items: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each item has each letter, by item, letter and word, and where each item's masks begin; no item has the last letter."""
+        words = -(-self.sizes[items] // 64)
+        ends = np.cumsum(words * (len(letters) + 1))
+        first = ends - words * (len(letters) + 1)
+        at = np.concatenate([np.arange(self.sizes[n]) for n in items.tolist()])
+        letter = np.searchsorted(letters, np.concatenate([self.items[n] for n in items.tolist()]))
+        owner = np.repeat(np.arange(len(items)), self.sizes[items])
+        masks = np.zeros(ends[-1], dtype=np.uint64)
+        np.bitwise_or.at(masks, first[owner] + letter * words[owner] + (at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+        return masks, first
+
+    def _batch(self, item: np.ndarray, begin: np.ndarray, length: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        one, high = np.uint64(1), np.uint64(63)
+        kinds, row = np.unique(item, return_inverse=True)
+        masks, first = self._masks(kinds, letters)
+        size = self.sizes[item]
+        words = -(-size // 64)
+        ends = np.cumsum(words)
+        owner = np.repeat(np.arange(len(item)), words)
+        mask_at = first[row[owner]] + np.arange(ends[-1]) - (ends - words)[owner]
+        inner = np.ones(ends[-1], dtype=np.uint64)  # whether a word continues the one before
+        inner[ends - words] = 0
+        top = ((size - 1) & 63).astype(np.uint64)
+        table = np.full(int(letters[-1]) + 2, len(letters), dtype=np.int64)
+        table[letters] = np.arange(len(letters))
+        up, down = np.full(ends[-1], ~np.uint64(0)), np.zeros(ends[-1], dtype=np.uint64)
+        score, best = size.copy(), size.copy()
+        open_at = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), side="left")
+        for step, count in enumerate(open_at.tolist()):
+            n = int(ends[count - 1])
+            if len(up) > n:
+                up, down = up[:n], down[:n]
+            letter = np.take(table, np.take(self.codes, begin[:count] + step), mode="clip") * words[:count]
+            same = np.take(masks, mask_at[:n] + np.take(letter, owner[:n]))
+            total = same & up
+            carry = total + up
+            over = (carry < total).view(np.uint8)
+            total = carry
+            while over[:-1].any():  # into the next word, seldom through it
+                more = over[:-1] * inner[1:n]
+                total[1:] += more
+                over = np.concatenate([[np.uint8(0)], (total[1:] < more).view(np.uint8)])
+            total ^= up
+            total |= same
+            total |= down  # where the diagonal does not rise
+            rises = total | up
+            np.invert(rises, out=rises)
+            rises |= down
+            falls = up & total
+            last = ends[:count] - 1
+            score[:count] += (rises[last] >> top[:count] & one).view(np.int64)
+            score[:count] -= (falls[last] >> top[:count] & one).view(np.int64)
+            np.minimum(best[:count], score[:count], out=best[:count])
+            for bits in (rises, falls):  # the first row is zero: a match may begin anywhere
+                out = bits[:-1] >> high
+                out &= inner[1:n]
+                bits <<= one
+                bits[1:] |= out
+            down = rises & total
+            rises |= total
+            np.invert(rises, out=rises)
+            rises |= falls
+            up = rises
+        return best
+
+
 def grams_of(text: str, size: int) -> list[str]:
     return [text[k : k + size] for k in range(len(text) - size + 1)]
 
@@ -241,14 +340,11 @@ class Seeds:
                 seeds.append(seed[same])
         return np.concatenate(places), np.concatenate(seeds)
 
-    def near(self, texts: list[str]) -> Iterator[tuple[int, int, int]]:
-        """Text, item, and about where in the text's letters the item would begin."""
-        if not len(self.value):
-            return
-        codes = letters("\0".join([*texts, ""]))
-        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    def near(self, codes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, item, and about where in all texts' letters the item would begin. ``begins``: the texts' first letters."""
+        found = [np.empty((3, 0), np.int64)]
         stretch = max(STRETCH, 4 * self.overlap)
-        for a in range(0, len(codes), stretch - self.overlap):
+        for a in range(0, len(codes) if len(self.value) else 0, stretch - self.overlap):
             place, seed = self.hits(codes[a : a + stretch])
             place += a
             text = np.searchsorted(begins, place, side="right") - 1
@@ -262,8 +358,29 @@ class Seeds:
             enough = (key[last] == key[inside]) & (diagonal[last] - diagonal[inside] <= self.band[item[inside]])
             key, diagonal = key[inside[enough]], diagonal[inside[enough]]  # in order, so equal ones are neighbours
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (diagonal[1:] != diagonal[:-1])])[: len(key)]
-            for k, d in zip(key[new].tolist(), diagonal[new].tolist(), strict=True):
-                yield k // self.count, k % self.count, d - int(begins[k // self.count])
+            found.append(np.stack([key[new] // self.count, key[new] % self.count, diagonal[new]]))
+        return tuple(np.concatenate(found, axis=1))
+
+
+class Letters:
+    """Texts, each ended by a zero, as letters and as bytes, and places of one in the other."""
+
+    def __init__(self, texts: list[str]):
+        joined = "\0".join([*texts, ""])
+        self.codes = letters(joined)
+        self.buffer = np.frombuffer(joined.encode(), dtype=np.uint8)
+        self.begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        self.later = np.flatnonzero(self.buffer & 0xC0 == 0x80)  # bytes that continue a letter
+        self.of_letter = self.later - np.arange(len(self.later)) - 1
+        self.byte_begins = self.byte_of(self.begins)
+
+    def byte_of(self, letter: np.ndarray) -> np.ndarray:
+        return letter + np.searchsorted(self.of_letter, letter)
+
+    def whole(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The letters that lie wholly within the bytes."""
+        cut = self.buffer[np.minimum(end, len(self.buffer) - 1)] & 0xC0 == 0x80
+        return begin - np.searchsorted(self.later, begin), end - np.searchsorted(self.later, end) - cut
 
 
 class Index:
@@ -272,7 +389,10 @@ class Index:
     def __init__(self, items: list[str]):
         self.items = [normal(t) for t in items]
         self.allowed = [int((1 - SIMILARITY) * len(t) + 1e-9) for t in self.items]
-        self.grams = [{size: grams_of(t, size) for size in SURE_GRAMS} for t in self.items]
+        self.codes = [letters(t) for t in self.items]
+        self.most = np.array(self.allowed, dtype=np.int64)
+        self.letter_sizes = np.array([len(t) for t in self.items], dtype=np.int64)
+        self.byte_sizes = np.array([len(t.encode()) for t in self.items], dtype=np.int64)
         self.walks = walks()
         self.short = [n for n, t in enumerate(self.items) if 0 < len(t) < SURE_LETTERS]
         self.seeds = Seeds(self.items, [n for n, t in enumerate(self.items) if len(t) >= SURE_LETTERS])
@@ -296,30 +416,31 @@ class Index:
             seen[value >> np.uint64(64 - FILTER_BITS)] = True
             self.tables.append((value[order], np.concatenate([np.empty((2, 0), np.int64), *owner], axis=1)[:, order], seen))
 
-    def candidates(self, texts: list[str]) -> dict[int, dict[int, list[int]]]:
-        """By text and item: where in the text's bytes the item would begin."""
-        data = [t.encode() for t in texts]
-        buffer = np.frombuffer(b"\0".join([*data, b""]), dtype=np.uint8)
-        starts = word_starts(buffer)
-        begins = np.cumsum([0, *(len(d) + 1 for d in data)])
-        found: dict[int, dict[int, list[int]]] = {}
+    def candidates(self, shown: Letters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, item, and where in the text's bytes the item would begin, in the order of all three."""
+        starts = word_starts(shown.buffer)
+        found = [np.empty((3, 0), np.int64)]
         for some in np.split(starts, range(WINDOWS_AT_ONCE, len(starts), WINDOWS_AT_ONCE)):
-            for k, value, _ in window_hashes(buffer, some, self.walks):
+            for k, value, _ in window_hashes(shown.buffer, some, self.walks):
                 known, owner, seen = self.tables[k]
                 maybe = np.flatnonzero(seen[(value >> np.uint64(64 - FILTER_BITS)).view(np.int64)])
                 if not len(maybe):
                     continue
                 low = np.searchsorted(known, value[maybe], side="left")
-                high = np.searchsorted(known, value[maybe], side="right")
-                for window, a, b in zip(*(x[high > low].tolist() for x in (maybe, low, high)), strict=True):
-                    place = int(some[window])
-                    text = int(np.searchsorted(begins, place, side="right")) - 1
-                    for item, offset in owner[:, a:b].T.tolist():
-                        found.setdefault(text, {}).setdefault(item, []).append(place - int(begins[text]) - offset)
-        for text, item, begin in self.seeds.near(texts):
-            before = begin if begin <= 0 or texts[text].isascii() else len(texts[text][:begin].encode())
-            found.setdefault(text, {}).setdefault(item, []).append(before)
-        return found
+                many = np.searchsorted(known, value[maybe], side="right") - low
+                if not many.any():
+                    continue
+                ends = np.cumsum(many)
+                item, offset = owner[:, np.arange(ends[-1]) + np.repeat(low - ends + many, many)]
+                place = np.repeat(some[maybe], many)
+                text = np.searchsorted(shown.byte_begins, place, side="right") - 1
+                found.append(np.stack([text, item, place - shown.byte_begins[text] - offset]))
+        text, item, begin = self.seeds.near(shown.codes, shown.begins)
+        before = np.where(begin <= shown.begins[text], begin - shown.begins[text], shown.byte_of(begin) - shown.byte_begins[text])
+        found.append(np.stack([text, item, before]))
+        text, item, begin = np.concatenate(found, axis=1)
+        order = np.lexsort((begin, item, text))
+        return text[order], item[order], begin[order]
 
     def verified(self, text: str, item: int, begins: list[int]) -> int | None:
         """The item's least distance near any of the places, read as bytes of the text."""
@@ -333,18 +454,45 @@ class Index:
             else:
                 spans.append([a, b])
         texts = (data[a:b].decode("utf-8", "ignore") for a, b in spans)
-        near = (least_distance(self.items[item], t, allowed) for t in texts if may_be_near(self.grams[item], t, allowed))
+        grams = {size: grams_of(self.items[item], size) for size in SURE_GRAMS}
+        near = (least_distance(self.items[item], t, allowed) for t in texts if may_be_near(grams, t, allowed))
         return min((d for d in near if d is not None), default=None)
 
+    def verified_together(self, shown: Letters, text: np.ndarray, item: np.ndarray, begin: np.ndarray) -> dict[tuple[int, int], int]:
+        """As ``verified`` for many texts and items, ordered by text, item and place: distances of those found."""
+        new = np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1])])[: len(text)]
+        slack = 2 * self.most[item] + 16
+        a, b = np.maximum(begin - slack, 0), begin + self.byte_sizes[item] + slack
+        new[1:] |= a[1:] > b[:-1]
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(text))[: len(first)] - 1
+        text, item = text[first], item[first]
+        base, end = shown.byte_begins[text], shown.byte_begins[text + 1] - 1
+        a, b = shown.whole(base + a[first], np.minimum(base + b[last], end))
+        distance = Together(shown.codes, self.codes, self.most).distances(item, a, b)
+        out: dict[tuple[int, int], int] = {}
+        for k in np.flatnonzero(distance <= self.most[item]).tolist():
+            key = int(text[k]), int(item[k])
+            out[key] = min(int(distance[k]), out.get(key, int(distance[k])))
+        return out
+
     def search(self, texts: list[str]) -> list[list[tuple[int, int]]]:
         """Numbers and distances of the items found in each text."""
         texts = [normal(t) for t in texts]
         out: list[list[tuple[int, int]]] = [[] for _ in texts]
-        for text, places in self.candidates(texts).items():
-            for item in sorted(places):
-                distance = self.verified(texts[text], item, places[item])
-                if distance is not None:
-                    out[text].append((item, distance))
+        shown = Letters(texts)
+        text, item, begin = self.candidates(shown)
+        long = self.letter_sizes[item] > TOGETHER_LETTERS
+        found = self.verified_together(shown, text[~long], item[~long], begin[~long])
+        places: dict[tuple[int, int], list[int]] = {}
+        for t, i, place in zip(text[long].tolist(), item[long].tolist(), begin[long].tolist(), strict=True):
+            places.setdefault((t, i), []).append(place)
+        for (t, i), begins in places.items():
+            distance = self.verified(texts[t], i, begins)
+            if distance is not None:
+                found[t, i] = distance
+        for (t, i), distance in sorted(found.items()):
+            out[t].append((i, distance))
         for item in self.short:
             for text, whole in enumerate(texts):
                 distance = least_anywhere(self.items[item], whole, self.allowed[item])

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from archidex.llm import decontam
@@ -80,3 +81,50 @@ def test_places_without_enough_grams_are_not_read(monkeypatch):
     index, read = decontam.Index([item]), []
     monkeypatch.setattr(decontam, "least_distance", lambda *given: read.append(given))
     assert index.verified(" ".join(item.split()[:3]) + " klmnopq" * 40, 0, [0]) is None and not read
+
+
+def test_places_verified_together_have_their_least_distances():
+    rng, items, places, codes = random.Random(5), [], [], []
+    for size in (1, 20, 63, 64, 65, 128, 129, 200, 400):
+        for letters in ("ab", "abcdeé \U0001f600"):
+            items.append("".join(rng.choice(letters) for _ in range(size)))
+    for n in range(600):
+        item = rng.randrange(len(items))
+        copy = edited(rng, items[item], rng.choice([0, 0.1, 0.2, 0.3]), bool(n % 2)) if len(items[item]) > 1 else "b"
+        around = ["".join(rng.choice("abcé \0") for _ in range(rng.choice([0, 5, 300, 2500]))) for _ in range(2)]
+        places.append((item, len("".join(codes)), around[0] + copy + around[1]))
+        codes.append(places[-1][2])
+    most = [len(t) // 5 for t in items]
+    together = decontam.Together(decontam.letters("".join(codes)), [decontam.letters(t) for t in items], np.array(most))
+    item, begin, end = (np.array(x) for x in zip(*((i, a, a + len(t)) for i, a, t in places), strict=True))
+    want = [decontam.least_distance(items[i], t, most[i]) for i, _, t in places]
+    got = together.distances(item, begin, end)
+    assert [int(d) if d <= most[i] else None for d, (i, _, _) in zip(got, places, strict=True)] == want
+    assert None in want and len(set(want)) > 20
+    assert not len(together.distances(item[:0], begin[:0], end[:0]))
+
+
+@pytest.mark.parametrize("words", [1, 40, decontam.WORDS_AT_ONCE])
+def test_places_are_not_verified_one_by_one(monkeypatch, words):
+    monkeypatch.setattr(decontam, "WORDS_AT_ONCE", words)
+    rng = random.Random(9)
+    items = [" ".join("".join(rng.choice("abcdefghijé") for _ in range(rng.randrange(2, 9))) for _ in range(n)) for n in (12, 20, 40, 60)]
+    index = decontam.Index(items)
+    want, texts = [], []
+    for _ in range(60):
+        some = rng.sample(range(4), 2)
+        texts.append(" ü ".join(edited(rng, items[i], 0.1, True) + " and" * rng.randrange(300) for i in some))
+        shown = decontam.normal(texts[-1])
+        found = [(i, decontam.least_distance(items[i], shown, index.allowed[i])) for i in range(4)]
+        want.append([(i, d) for i, d in found if d is not None])
+    monkeypatch.setattr(decontam, "least_distance", lambda *given: pytest.fail("one place alone"))
+    assert index.search(texts) == want and index.search([]) == [] and index.search(["", "ü"]) == [[], []]
+
+
+def test_long_items_are_verified_as_short_ones(monkeypatch):
+    rng = random.Random(12)
+    items = [" ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(30)) for _ in range(3)]
+    texts = [f"é {edited(rng, items[n % 3], 0.15, False)} ö {items[n % 2][:70]}" for n in range(30)]
+    want = decontam.Index(items).search(texts)
+    monkeypatch.setattr(decontam, "TOGETHER_LETTERS", 100)
+    assert decontam.Index(items).search(texts) == want and all(want)
