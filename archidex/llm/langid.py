@@ -54,6 +54,15 @@ class PieceTrie:
         self.piece = np.full(len(nodes), -1, dtype=np.int64)  # of the node's prefix, if it is one
         self.piece[[nodes[p] for p in pieces]] = range(len(pieces))
         self.unknown = len(pieces)
+        at_root = (self.keys >= 0) & (self.keys < 1 << 21)
+        self.roots = np.zeros(int(self.keys[at_root].max(initial=0)) + 2, dtype=np.int64)  # children of the root by letter; 0: none
+        self.roots[self.keys[at_root]] = self.children[at_root]
+
+    def begin(self, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``step`` from the root."""
+        children = np.take(self.roots, letters, mode="clip")
+        has = children > 0
+        return has, children[has]
 
     def step(self, nodes: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which nodes have a child by their letter, and those children."""
@@ -75,7 +84,7 @@ class Lattice:
         at, node = np.arange(len(letters)), np.zeros(len(letters), dtype=np.int64)
         found, length = [], 0
         while len(at):
-            has, children = trie.step(node, letters[at + length])
+            has, children = trie.step(node, letters[at + length]) if length else trie.begin(letters)
             length += 1
             if length == 1:  # a single character always counts, if only as the unknown piece
                 piece = np.full(len(at), trie.unknown)
@@ -98,7 +107,8 @@ class Lattice:
         reach = np.zeros((len(self.sizes), int(self.sizes.max(initial=0)) + 1, weights.shape[1]))
         first = np.zeros(len(self.sizes), dtype=np.int64) if order.step > 0 else self.sizes
         reach[np.arange(len(self.sizes)), first] = 1.0
-        by_target = np.lexsort((self.words, target))
+        # Keys of two bytes or less are sorted by radix.
+        by_target = np.lexsort((self.words.astype(np.min_scalar_type(len(self.sizes))), target.astype(np.min_scalar_type(reach.shape[1]))))
         bounds = np.searchsorted(target[by_target], np.arange(reach.shape[1] + 1))
         for place in order:
             edges = by_target[bounds[place] : bounds[place + 1]]

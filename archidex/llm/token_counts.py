@@ -3,7 +3,8 @@
 A text is cut at white space; each word, with the mark ``▁`` before it, is segmented into vocabulary pieces so that the
 sum of the pieces' scores is highest (ties: fewer pieces). The distinct words of a slice form a trie, visited in sorted
 order. The best score and piece count that end at a trie node depend on its prefix only, so they are computed once
-per shared prefix; the count at a word's end is kept for all its occurrences, also across slices.
+per shared prefix, from the pieces that an Aho-Corasick automaton finds to end there; the count at a word's end is kept
+for all its occurrences, also across slices.
 
 A piece's score is the logarithm of its probability, given by the caller; ``unigram.fit`` fits it to the corpus itself. The counts
 are those of this unigram model over the vocabulary's pieces, not of the merges its file may define for another kind of
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
+from math import inf
 
 import pyarrow as pa
 import sentencepiece
@@ -38,51 +40,104 @@ def load_pieces(path: str) -> tuple[str, ...]:
     return tuple(model.id_to_piece(i) for i in plain)
 
 
+class PieceEnds:
+    """An Aho-Corasick automaton over the pieces: which of them end at a letter.
+
+    A state is the longest piece's beginning that the text read so far ends with. ``steps``: the next state by letter, ``fall``: the
+    next shorter such beginning, ``pieces``: lengths and scores of all pieces that end here.
+    """
+
+    def __init__(self, scores: dict[str, float]):
+        self.steps: list[dict[str, int]] = [{}]
+        self.fall = [0]
+        self.pieces: list[tuple[tuple[int, float], ...]] = [()]
+        own: dict[int, tuple[int, float]] = {}
+        for piece, score in scores.items():
+            state = 0
+            for letter in piece:
+                after = self.steps[state].get(letter)
+                if after is None:
+                    after = self.steps[state][letter] = len(self.steps)
+                    self.steps.append({})
+                state = after
+            own[state] = (len(piece), score)
+        self.fall = [0] * len(self.steps)
+        self.pieces = [()] * len(self.steps)
+        level = [0]
+        while level:  # shorter beginnings first
+            below = []
+            for state in level:
+                for letter, after in self.steps[state].items():
+                    if state:
+                        self.fall[after] = self.next(self.fall[state], letter)
+                    shorter = self.pieces[self.fall[after]]
+                    self.pieces[after] = (own[after], *shorter) if after in own else shorter
+                    below.append(after)
+            level = below
+
+    def next(self, state: int, letter: str) -> int:
+        after = self.steps[state].get(letter)
+        while after is None and state:
+            state = self.fall[state]
+            after = self.steps[state].get(letter)
+        return after or 0
+
+
 class WordCounts(dict):
     """Pieces of a word's best segmentation, by word: a bounded memory."""
 
     def __init__(self, pieces: tuple[str, ...], scores: Sequence[float]):
         super().__init__()
         self.scores = dict(zip(pieces, map(float, scores), strict=True))
-        self.longest = max(map(len, pieces))
         self.byte_score = min(self.scores.values()) - 1
+        self.ends = PieceEnds(self.scores)
 
     def visit(self, words: Iterable[str]) -> Iterator[tuple[str, int]]:
         """Counts of distinct words, visiting their trie depth first: sorted words share all nodes of a common prefix."""
-        scores, longest = self.scores, self.longest
-        best: list[tuple[float, int]] = [(0.0, 0)]  # at each node of the path from the root: score, minus pieces
+        known, pieces, steps, fall = self.scores, self.ends.pieces, self.ends.steps, self.ends.fall
+        # At each node of the path from the root: the automaton's state, the best score, and with how few pieces.
+        states, best, count = [0], [0.0], [0]
         path = ""
         for word in sorted(words):
             marked = WORD_MARK + word
             shared, most = 0, min(len(path), len(marked))
             while shared < most and path[shared] == marked[shared]:
                 shared += 1
-            del best[shared + 1 :]
-            for end in range(shared + 1, len(marked) + 1):
-                top = None
-                for start in range(max(0, end - longest), end):
-                    score = scores.get(marked[start:end])
-                    if score is not None:
-                        before = best[start]
-                        found = (before[0] + score, before[1] - 1)
-                        if top is None or found > top:
-                            top = found
-                if marked[end - 1] not in scores:
-                    size = len(marked[end - 1].encode())
-                    found = (best[end - 1][0] + size * self.byte_score, best[end - 1][1] - size)
-                    if top is None or found > top:
-                        top = found
+            del states[shared + 1 :], best[shared + 1 :], count[shared + 1 :]
+            state = states[-1]
+            for end, letter in enumerate(marked[shared:], shared + 1):
+                after = steps[state].get(letter)
+                while after is None and state:
+                    state = fall[state]
+                    after = steps[state].get(letter)
+                state = after or 0
+                top, few = -inf, 0
+                for size, score in pieces[state]:
+                    found = best[end - size] + score
+                    if found > top:
+                        top, few = found, count[end - size] + 1
+                    elif found == top and count[end - size] < few:
+                        few = count[end - size] + 1
+                if letter not in known:
+                    size = len(letter.encode())
+                    found, many = best[end - 1] + size * self.byte_score, count[end - 1] + size
+                    if found > top or found == top and many < few:
+                        top, few = found, many
+                states.append(state)
                 best.append(top)
+                count.append(few)
             path = marked
-            yield word, -best[-1][1]
+            yield word, count[-1]
 
     def count_texts(self, texts: list[str]) -> tuple[list[int], list[int]]:
         """Words and pieces of each text."""
         split = [t.split() for t in texts]
-        new = {w for words in split for w in words if w not in self}
-        if len(self) + len(new) > CACHED_WORDS:
+        seen = set().union(*split)
+        new = [w for w in seen if w not in self]
+        if len(self) + len(new) > CACHED_WORDS:  # the words of these texts stay, frequent ones among them
+            kept = {w: self[w] for w in seen if w in self}
             self.clear()
-            new = {w for words in split for w in words}
+            self.update(kept)
         here = dict(self.visit(new))
         self.update((w, n) for w, n in here.items() if len(w) <= CACHED_LENGTH)
         long = {w: n for w, n in here.items() if len(w) > CACHED_LENGTH}

@@ -135,6 +135,51 @@ def test_token_counts_of_odd_texts(spark):
     assert len(set(unigram.fit(frame(spark, [None, "", " "]), PIECES))) == 1
 
 
+def test_pieces_that_end_at_each_letter():
+    rng = random.Random(6)
+    for _ in range(50):
+        pieces = {"".join(rng.choice("abé▁") for _ in range(rng.randrange(1, 6))): -rng.random() for _ in range(20)}
+        ends, state, text = token_counts.PieceEnds(pieces), 0, "".join(rng.choice("aabbé▁x") for _ in range(60))
+        for end, letter in enumerate(text, 1):
+            state = ends.next(state, letter)
+            want = [(n, pieces[text[end - n : end]]) for n in range(min(end, 5), 0, -1) if text[end - n : end] in pieces]
+            assert list(ends.pieces[state]) == want
+
+
+def test_words_of_long_pieces_equal_the_plain_table():
+    rng = random.Random(7)
+    pieces = tuple({"".join(rng.choice("abcd▁") for _ in range(rng.randrange(1, 9))) for _ in range(150)} - {"d"})
+    counts = token_counts.WordCounts(pieces, [-rng.choice([1.0, 2.0, 2.5, 3.0]) for _ in pieces])  # sums without rounding, many ties
+    words = {"".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 40))) for _ in range(500)} | {"a" * 3000}
+    for word, n in counts.visit(words):
+        text, best = "▁" + word, [(0.0, 0)]
+        for end in range(1, len(text) + 1):
+            steps = [(best[a][0] + counts.scores[text[a:end]], best[a][1] - 1) for a in range(max(0, end - 8), end) if text[a:end] in counts.scores]
+            if text[end - 1] not in counts.scores:
+                size = len(text[end - 1].encode())
+                steps.append((best[end - 1][0] + size * counts.byte_score, best[end - 1][1] - size))
+            best.append(max(steps))
+        assert n == -best[-1][1], word
+
+
+def test_a_full_memory_keeps_the_words_of_the_present_texts(monkeypatch):
+    monkeypatch.setattr(token_counts, "CACHED_WORDS", 4)
+    counts, visited = token_counts.WordCounts(PIECES, SCORES), []
+    visit = counts.visit
+    monkeypatch.setattr(counts, "visit", lambda words: visit(visited.extend(words) or words))
+    assert counts.count_texts(["a b", "c a"]) == ([2, 2], [3, 3])
+    assert counts.count_texts(["a ab ba a", "", "b"]) == ([4, 0, 1], [6, 0, 2])
+    assert sorted(visited) == ["a", "ab", "b", "ba", "c"] and set(counts) == {"a", "b", "ab", "ba"}
+
+
+def test_first_letters_by_table():
+    for pieces in (PIECES, (), ("a", "\U0001f600b")):
+        trie, letters = langid.PieceTrie(pieces), np.array([0, *map(ord, "abcz▁é\U0001f600\U0010ffff")])
+        has, children = trie.begin(letters)
+        want = trie.step(np.zeros(len(letters), dtype=np.int64), letters)
+        assert has.tolist() == want[0].tolist() and children.tolist() == want[1].tolist()
+
+
 def plain_fit(texts, pieces, rounds):
     """Expectation maximisation word by word; words over 32 letters, mark included, in pieces of 32."""
     counted = Counter()
