@@ -110,13 +110,15 @@ class Lattice:
         # Keys of two bytes or less are sorted by radix.
         by_target = np.lexsort((self.words.astype(np.min_scalar_type(len(self.sizes))), target.astype(np.min_scalar_type(reach.shape[1]))))
         bounds = np.searchsorted(target[by_target], np.arange(reach.shape[1] + 1))
+        flat, row, pieces = reach.reshape(-1, weights.shape[1]), self.words[by_target] * reach.shape[1], self.pieces[by_target]
+        goal, row = row + target[by_target], row + source[by_target]
         for place in order:
-            edges = by_target[bounds[place] : bounds[place + 1]]
-            if len(edges):
-                words = self.words[edges]
-                steps = reach[words, source[edges]] * weights[self.pieces[edges]]
-                firsts = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
-                reach[words[firsts], place] += np.add.reduceat(steps, firsts, axis=0)
+            a, b = bounds[place : place + 2]
+            if a < b:
+                steps = np.take(flat, row[a:b], axis=0) * np.take(weights, pieces[a:b], axis=0)
+                goals = goal[a:b]
+                firsts = np.flatnonzero(np.concatenate([[True], goals[1:] != goals[:-1]]))
+                flat[goals[firsts]] += np.add.reduceat(steps, firsts, axis=0)
         return reach
 
     def forward(self, weights: np.ndarray) -> np.ndarray:

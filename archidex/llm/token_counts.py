@@ -96,15 +96,16 @@ class WordCounts(dict):
         """Counts of distinct words, visiting their trie depth first: sorted words share all nodes of a common prefix."""
         known, pieces, steps, fall = self.scores, self.ends.pieces, self.ends.steps, self.ends.fall
         # At each node of the path from the root: the automaton's state, the best score, and with how few pieces.
-        states, best, count = [0], [0.0], [0]
+        words = sorted(words)
+        room = max(map(len, words), default=0) + len(WORD_MARK) + 1
+        states, best, count = [0] * room, [0.0] * room, [0] * room
         path = ""
-        for word in sorted(words):
+        for word in words:
             marked = WORD_MARK + word
             shared, most = 0, min(len(path), len(marked))
             while shared < most and path[shared] == marked[shared]:
                 shared += 1
-            del states[shared + 1 :], best[shared + 1 :], count[shared + 1 :]
-            state = states[-1]
+            state = states[shared]
             for end, letter in enumerate(marked[shared:], shared + 1):
                 after = steps[state].get(letter)
                 while after is None and state:
@@ -123,26 +124,27 @@ class WordCounts(dict):
                     found, many = best[end - 1] + size * self.byte_score, count[end - 1] + size
                     if found > top or found == top and many < few:
                         top, few = found, many
-                states.append(state)
-                best.append(top)
-                count.append(few)
+                states[end], best[end], count[end] = state, top, few
             path = marked
-            yield word, count[-1]
+            yield word, count[len(marked)]
 
     def count_texts(self, texts: list[str]) -> tuple[list[int], list[int]]:
         """Words and pieces of each text."""
-        split = [t.split() for t in texts]
-        seen = set().union(*split)
-        new = [w for w in seen if w not in self]
-        if len(self) + len(new) > CACHED_WORDS:  # the words of these texts stay, frequent ones among them
-            kept = {w: self[w] for w in seen if w in self}
+        sizes, sums, missed = [], [], []
+        for words in map(str.split, texts):
+            known = list(map(self.get, words))  # None: not known yet; no word has no pieces
+            unknown = [w for w, n in zip(words, known, strict=True) if n is None] if None in known else []
+            sizes.append(len(words))
+            sums.append(sum(filter(None, known)))
+            missed.append(unknown)
+        here = dict(self.visit(set().union(*missed)))
+        short = {w: n for w, n in here.items() if len(w) <= CACHED_LENGTH}
+        if len(self) + len(short) > CACHED_WORDS:  # the words of these texts stay, frequent ones among them
+            kept = {w: self[w] for text in texts for w in text.split() if w in self}
             self.clear()
             self.update(kept)
-        here = dict(self.visit(new))
-        self.update((w, n) for w, n in here.items() if len(w) <= CACHED_LENGTH)
-        long = {w: n for w, n in here.items() if len(w) > CACHED_LENGTH}
-        look = self.__getitem__ if not long else (lambda w: long[w] if len(w) > CACHED_LENGTH else self[w])
-        return [len(words) for words in split], [sum(map(look, words)) for words in split]
+        self.update(short)
+        return sizes, [n + sum(map(here.__getitem__, words)) for n, words in zip(sums, missed, strict=True)]
 
 
 def token_counts(
