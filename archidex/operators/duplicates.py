@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archidex.functions.fingerprints import FULL, has_scheme, packed, unpacked
 from archidex.schema import Catalog, bounded
+from archidex.session import scratch_path, shuffles_freed
 
 CHUNK_FILES = 10_000
+# Current files of a slice, and the most slices that members are found in: each reads the entries once more.
+SLICE_FILES = 1_000_000
+MEMBER_SLICES = 8
 
 
 def _proven_files(catalog: Catalog, drive_id: str | None) -> DataFrame:
@@ -17,7 +23,46 @@ def _proven_files(catalog: Catalog, drive_id: str | None) -> DataFrame:
 
 
 def _packed_groups(files: DataFrame) -> DataFrame:
-    return files.groupBy("content", "size").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
+    packed_files = files.select(packed(F.col("hash")).alias("content"), "size")
+    return packed_files.groupBy("content", "size").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
+
+
+def _groups(files: DataFrame) -> DataFrame:
+    return _packed_groups(files).select(unpacked(F.col("content")).alias("hash"), "size", "copies")
+
+
+def _members(files: DataFrame) -> DataFrame:
+    packed_files = files.select(packed(F.col("hash")).alias("content"), "size", "drive_id", "drive_name", "path")
+    members = packed_files.join(_packed_groups(files), ["content", "size"])
+    return members.select(unpacked(F.col("content")).alias("hash"), "size", "copies", "drive_id", "drive_name", "path")
+
+
+def _slices(catalog: Catalog, drive_id: str | None, most: int) -> int:
+    """Slices of the current files by the counters of a stored catalog; one that is not stored would have to be made to be counted."""
+    if catalog.location is None:
+        return 1
+    drives = catalog.current_drives(drive_id).select(F.col("latest_snapshot_id").alias("id"))
+    files = catalog.snapshots.join(catalog.small_drives(drives), "id").agg(F.sum("file_count")).head()[0] or 0
+    return max(min(-(-files // SLICE_FILES), most), 1)
+
+
+def _in_slices(catalog: Catalog, drive_id: str | None, result: Callable[[DataFrame], DataFrame], slices: int) -> DataFrame:
+    """``result`` of the proven files, taken in slices by fingerprint, one after the other.
+
+    Equal fingerprints are in one slice. Each slice's result is written to the
+    shared folder and its shuffle files are freed before the next begins, so
+    the disk holds results and the shuffle of one slice, not that of all files.
+    """
+    files = _proven_files(catalog, drive_id)
+    if slices == 1:
+        return result(files)
+    path = scratch_path(catalog.spark, "duplicates")
+    parts = [f"{path}/{i}" for i in range(slices)]
+    for i, part in enumerate(parts):
+        some = result(files.where(F.pmod(F.xxhash64("hash"), F.lit(slices)) == i))
+        with shuffles_freed(catalog.spark):
+            some.write.option("compression", "zstd").parquet(part)
+    return catalog.spark.read.schema(some.schema).parquet(*parts)
 
 
 def duplicate_groups_all(catalog: Catalog, drive_id: str | None = None) -> DataFrame:
@@ -26,20 +71,17 @@ def duplicate_groups_all(catalog: Catalog, drive_id: str | None = None) -> DataF
     Copies are counted before the shuffle, so a group that holds a large part
     of all files costs one row per task.
     """
-    files = _proven_files(catalog, drive_id).select(packed(F.col("hash")).alias("content"), "size")
-    return _packed_groups(files).select(unpacked(F.col("content")).alias("hash"), "size", "copies")
+    return _groups(_proven_files(catalog, drive_id))
 
 
-def duplicates_all(catalog: Catalog, drive_id: str | None = None) -> DataFrame:
+def duplicates_all(catalog: Catalog, drive_id: str | None = None, slices: int | None = None) -> DataFrame:
     """Every member of every duplicate group, one row per file, in no order.
 
     The groups' side has one row per key, so a skewed join can split the
     files of a hot group over many tasks. Fingerprints are shuffled as bytes,
-    which takes half of what their text does.
+    which takes half of what their text does. Many files are taken in slices.
     """
-    files = _proven_files(catalog, drive_id).select(packed(F.col("hash")).alias("content"), "size", "drive_id", "drive_name", "path")
-    members = files.join(_packed_groups(files.select("content", "size")), ["content", "size"])
-    return members.select(unpacked(F.col("content")).alias("hash"), "size", "copies", "drive_id", "drive_name", "path")
+    return _in_slices(catalog, drive_id, _members, slices or _slices(catalog, drive_id, MEMBER_SLICES))
 
 
 def duplicate_groups(catalog: Catalog, drive_id: str | None = None, limit: int | None = None) -> DataFrame:

@@ -20,6 +20,10 @@ from archidex.sources.store import CatalogStore
 EPOCH = 1_704_067_200
 SCAN_EPOCH = 1_704_000_000
 DAY = 86_400
+# Line items that one task groups and sorts as files of two scans: some 1,100 bytes each in memory.
+ITEMS_A_TASK = 200_000
+# Fewer are not worth a task of their own.
+LEAST_ITEMS = 20_000
 
 _stores: dict[tuple[str, str, str], str] = {}
 
@@ -72,9 +76,10 @@ def document_files(documents: DataFrame) -> DataFrame:
 
 def file_entries(files: DataFrame) -> DataFrame:
     name = base_name(F.col("path"))
+    parent = F.col("parent_path") if "parent_path" in files.columns else parent_of(F.col("path"))
     return conform(
         files.select(
-            "snapshot_id", "path", parent_of(F.col("path")).alias("parent_path"), name.alias("name"),
+            "snapshot_id", "path", parent.alias("parent_path"), name.alias("name"),
             extension_of(name).alias("extension"), F.lit("file").alias("kind"), "size", "modified_at", "hash",
             is_hidden(name).alias("hidden"),
         ),
@@ -206,28 +211,39 @@ def library_catalog(pages: DataFrame, parts: DataFrame) -> Catalog:
     return _two_scan_catalog(file_entries(library_files(pages, parts)), LIBRARY_DRIVES)
 
 
+def _tasks(items: DataFrame) -> int:
+    """How many tasks group and sort that many line items: their number follows the items, and cores are used."""
+    count = items.count()
+    cores = items.sparkSession.sparkContext.defaultParallelism
+    return max(-(-count // ITEMS_A_TASK), min(cores, -(-count // LEAST_ITEMS)), 1)
+
+
 def order_files(lineitem: DataFrame) -> DataFrame:
-    """One file per line item; copies share part and quantity. The old scan lacks some, differs in others."""
+    """One file per line item; copies share part and quantity. The old scan lacks some, differs in others.
+
+    Files are in ranges of folders and paths, in which a store keeps them.
+    """
     part = F.col("l_partkey")
     stem = F.concat(
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), part.cast("string"),
                     F.col("l_suppkey").cast("string"), F.col("l_quantity").cast("int").cast("string")),
         F.lit("."), F.lower("l_returnflag"),
     )
-    items = lineitem.select(
-        stem.alias("stem"), "l_partkey", F.col("l_quantity").cast("string").alias("quantity"),
+    path = F.concat(F.lit("Archive/part-"), (part % 4096).cast("string"), F.lit("/"), stem)
+    # Only what files are made of is shuffled, once for grouping, both scans and the store's layout.
+    short = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_shipdate")
+    items = short.repartitionByRange(_tasks(lineitem), parent_of(path), path).select(
+        parent_of(path).alias("parent_path"), path.alias("path"), "l_partkey", F.col("l_quantity").cast("string").alias("quantity"),
         F.unix_timestamp("l_shipdate").alias("modified_at"), F.coalesce(F.col("l_orderkey") % 11 != 0, F.lit(False)).alias("in_old"),
     )
-    # Line items can repeat in all that makes a file; a path names one file. The columns it is made of are grouped, once for
-    # both scans: they say as much as path, size and hash and are far shorter.
-    once = items.groupBy("stem", "l_partkey", "quantity").agg(
+    # Line items can repeat in all that makes a file; a path names one file.
+    once = items.groupBy("parent_path", "path", "l_partkey", "quantity").agg(
         F.max("in_old").alias("in_old"), F.max(F.when(F.col("in_old"), F.col("modified_at"))).alias("old_modified_at"),
         F.max("modified_at").alias("modified_at"),
     )
     old = F.col("v") == 1
     return _both_scans(once).where(~old | F.col("in_old")).select(
-        F.col("v").cast("long").alias("snapshot_id"),
-        F.concat(F.lit("Archive/part-"), (part % 4096).cast("string"), F.lit("/"), F.col("stem")).alias("path"),
+        F.col("v").cast("long").alias("snapshot_id"), "parent_path", "path",
         (part + 100 + F.when(old & (part % 13 == 0), 1).otherwise(0)).alias("size"),
         F.concat(F.lit(FULL), F.sha2(F.concat_ws("-", part.cast("string"), F.col("quantity")), 256)).alias("hash"),
         F.when(old, F.col("old_modified_at")).otherwise(F.col("modified_at")).alias("modified_at"),
@@ -252,7 +268,7 @@ def stored(spark: SparkSession, sf_dir: str, kind: str) -> Catalog:
             entries = file_entries(order_files(table(spark, sf_dir, "lineitem")))
             tables = lambda stored: _two_scan_catalog(stored, ORDER_DRIVES)
         root = scratch_path(spark, f"catalog-{kind}")
-        CatalogStore(spark, root, index=kind == "library").publish(tables, new_entries=entries)
+        CatalogStore(spark, root, index=kind == "library").publish(tables, new_entries=entries, laid=kind == "orders")
         _stores[key] = root
     return CatalogStore(spark, _stores[key]).load()
 

@@ -7,7 +7,7 @@ data it names has been written; readers follow the newest manifest only.
     drives/v00000007/             small tables, rewritten per version
     snapshots/v00000007/
     imports/v00000007/
-    entries/batch=7/snapshot_id=N one batch per commit, shared by later versions
+    entries/batch=7/snapshot_id=N one batch per commit, shared by later versions; a name only where it is not the end of the path
     postings/batch=7/             token index of the same batch
 """
 
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from archidex.functions.fingerprints import packed, unpacked
+from archidex.functions.paths import base_name
 from archidex.operators import lifecycle
 from archidex.operators.postings import build_postings, postings_stats, sorting_tasks
 from archidex.schema import (
@@ -46,6 +47,8 @@ from archidex.session import cut_lineage, shuffles_freed
 _SMALL = {"drives": DRIVES, "snapshots": SNAPSHOTS, "imports": IMPORTS}
 _PAIRS = T.StructType([T.StructField("batch", T.LongType()), T.StructField("snapshot_id", T.LongType())])
 _ENTRY_FILE_ROWS = 5_000_000
+# Pages of the second version hold ids and sorted paths as differences.
+_COMPACT = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0"}
 
 
 @dataclass(frozen=True)
@@ -81,6 +84,16 @@ def _with_batch(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
 
 
+def _unnamed(entries: DataFrame) -> DataFrame:
+    """Entries as they are stored: a name that is the end of its path, as nearly all are, is left out."""
+    return entries.withColumn("name", F.when(F.col("name") != base_name(F.col("path")), F.col("name")))
+
+
+def _named(stored: DataFrame) -> DataFrame:
+    """The entries that ``_unnamed`` made the rows from."""
+    return stored.withColumn("name", F.coalesce(F.col("name"), base_name(F.col("path"))))
+
+
 def check_schema_version(version: object) -> int:
     """An integer from 1 to the supported version, or an error."""
     try:
@@ -175,7 +188,7 @@ class CatalogStore:
 
     def _entries(self, manifest: Manifest) -> DataFrame:
         """Entries without those that a later batch replaces: a left anti join with the table of replaced snapshots."""
-        rows = self._batches("entries", ENTRIES, manifest.batches)
+        rows = _named(self._batches("entries", ENTRIES, manifest.batches))
         if manifest.superseded_rows:
             rows = rows.join(self._replaced_pairs(manifest), ["batch", "snapshot_id"], "left_anti")
         return rows.select(*(f.name for f in ENTRIES))
@@ -198,7 +211,7 @@ class CatalogStore:
         # Odd batches replace entries of earlier ones and repeat their texts.
         plain = [batch for batch in manifest.batches if batch % 2 == 0 and batch not in manifest.indexed]
         if plain:
-            entries = self._batches("entries", ENTRIES, plain).drop("batch")
+            entries = _named(self._batches("entries", ENTRIES, plain).drop("batch"))
             postings = postings.unionByName(conform(build_postings(entries), POSTINGS))
             stats = stats.unionByName(postings_stats(entries))
         return postings, stats
@@ -213,17 +226,12 @@ class CatalogStore:
             rows[name] = self.spark.read.schema(schema).parquet(path).count()
         return rows
 
-    def _write_entries(self, batch: int, entries: DataFrame, last_entry: int) -> DataFrame:
-        """Write one batch and return it as stored; rows without an id get ids above ``last_entry``.
-
-        The range layout splits a large snapshot, or a large folder in it,
-        over many files and keeps a folder's rows together, so that a folder
-        page reads few row groups. The same layout puts equal paths side by
-        side, which makes the uniqueness check free of another shuffle.
-        Fingerprints are most of a row; they pass the shuffle as bytes.
-        """
+    def _checked(self, entries: DataFrame, last_entry: int, laid: bool) -> DataFrame:
+        """Entries in the order they are stored in, with ids; one that breaks a rule is an error when it is read."""
         keys = ["snapshot_id", "parent_path", "path"]
-        ordered = conform(entries, ENTRIES).withColumn("hash", packed(F.col("hash"))).repartitionByRange(*keys)
+        ordered = conform(entries, ENTRIES)
+        if not laid:
+            ordered = ordered.withColumn("hash", packed(F.col("hash"))).repartitionByRange(*keys)
         seen = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
         problem = (
             F.when(F.col("snapshot_id").isNull(), "entry of an unknown scan")
@@ -233,20 +241,33 @@ class CatalogStore:
         )
         refused = F.raise_error(F.concat(problem, F.lit(": "), F.coalesce("path", F.lit(""))))
         number = F.lit(last_entry + 1).cast("long") + F.monotonically_increasing_id()
-        checked = (
+        return (
             ordered.withColumn("_seen", seen)
             .withColumn("path", F.when(problem.isNotNull(), refused.cast("string")).otherwise(F.col("path")))
             .drop("_seen")
-            .withColumn("hash", unpacked(F.col("hash")))
+            .withColumn("hash", F.col("hash") if laid else unpacked(F.col("hash")))
             .withColumn("id", F.coalesce(F.col("id"), number))
         )
+
+    def _write_entries(self, batch: int, entries: DataFrame, last_entry: int, laid: bool = False) -> DataFrame:
+        """Write one batch and return it as stored; rows without an id get ids above ``last_entry``.
+
+        The range layout splits a large snapshot, or a large folder in it,
+        over many files and keeps a folder's rows together, so that a folder
+        page reads few row groups. The same layout puts equal paths side by
+        side, which makes the uniqueness check free of another shuffle.
+        Fingerprints are most of a row; they pass the shuffle as bytes.
+        Rows that are ``laid`` in ranges of folders and paths already stay
+        where they are; should Spark not know that equal paths are together,
+        it shuffles them for the check by itself.
+        """
         path = f"{self.root}/entries/batch={batch}"
         with shuffles_freed(self.spark):
             (
-                checked.write.mode("overwrite").option("maxRecordsPerFile", _ENTRY_FILE_ROWS).option("compression", "zstd")
-                .partitionBy("snapshot_id").parquet(path)
+                _unnamed(self._checked(entries, last_entry, laid)).write.mode("overwrite")
+                .option("maxRecordsPerFile", _ENTRY_FILE_ROWS).options(**_COMPACT).partitionBy("snapshot_id").parquet(path)
             )
-        return self.spark.read.schema(ENTRIES).parquet(path)
+        return _named(self.spark.read.schema(ENTRIES).parquet(path))
 
     def _write_postings(self, batch: int, stored: DataFrame) -> None:
         path = f"{self.root}/postings/batch={batch}"
@@ -267,6 +288,7 @@ class CatalogStore:
         replaced: DataFrame | None = None,
         counted: bool = False,
         schema_version: int = SCHEMA_VERSION,
+        laid: bool = False,
     ) -> Catalog:
         """Write a new version: small tables, and entries of new or replaced snapshots.
 
@@ -278,6 +300,8 @@ class CatalogStore:
         stored entries. The range layout samples its input before it reads it,
         so rows that are dear to make (a scan's listing and hashing, the join
         of a replacement) are written out first; those of a merge are not.
+        New entries that are ``laid`` in ranges of folders and paths by their
+        maker are not shuffled once more.
         """
         check_schema_version(schema_version)
         previous = self.manifest()
@@ -295,7 +319,7 @@ class CatalogStore:
         last_entry = previous.last_entry if previous else 0
         if new_entries is not None:
             rows = cut_lineage(conform(new_entries, ENTRIES)) if counted else new_entries
-            stored = self._write_entries(batch, rows, last_entry)
+            stored = self._write_entries(batch, rows, last_entry, laid and not counted)
             last_entry = max(last_entry, stored.agg(F.max("id")).head()[0] or 0)
             if callable(tables):
                 derived = tables(stored)

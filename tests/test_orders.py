@@ -106,3 +106,61 @@ def test_tables_from_stored_entries(spark, items, tmp_path):
     assert spark.conf.get(CLEANUP_KEY) == before
     with pytest.raises(CatalogError):
         CatalogStore(spark, str(tmp_path / "d"), index=False).publish(tables)
+
+
+def exchanges(df):
+    return [line for line in plan(df).splitlines() if "Exchange" in line]
+
+
+def whole(items):
+    return items.where("l_shipdate is not null and l_quantity <> 2.5")
+
+
+def test_laid_order_files_are_shuffled_once(spark, items, tmp_path):
+    entries = derive.file_entries(derive.order_files(whole(items)))
+    store = CatalogStore(spark, str(tmp_path / "c"), index=False)
+    assert len(exchanges(store._checked(entries, 0, True))) == 1
+    laid = store.publish(lambda stored: derive._two_scan_catalog(stored, derive.ORDER_DRIVES), new_entries=entries, laid=True)
+    plain = derive.order_catalog(whole(items))
+    assert sorted(map(tuple, laid.entries.drop("id").collect())) == sorted(map(tuple, plain.entries.drop("id").collect()))
+    assert len({r.id for r in laid.entries.collect()}) == plain.entries.count()
+    # A path with two contents is found out, also if the rows are not where they are said to be.
+    scattered = spark.createDataFrame([entry(1, "a/x", 1), entry(1, "a/y", 1), entry(1, "a/x", 2)], laid.entries.schema).repartition(3, "size", "path")
+    for broken in (derive.file_entries(derive.order_files(items.where("l_shipdate is not null"))), scattered):
+        with pytest.raises(Exception, match="path listed twice"):
+            store.publish(lambda stored: laid, new_entries=broken, laid=True)
+
+
+def test_stored_names_are_the_ends_of_paths(spark, tmp_path):
+    drive = {"id": "drv_000000000001", "name": "One", "latest_snapshot_id": 1}
+    files = [entry(1, "a/b.txt", 5), entry(1, "c", 5), entry(1, "a/d", 5) | {"name": "other"}]
+    catalog = catalog_of(spark, [drive], [{"id": 1, "drive_id": drive["id"]}], files)
+    stored = CatalogStore(spark, str(tmp_path / "c")).publish(catalog, new_entries=catalog.entries)
+    raw = spark.read.parquet(str(tmp_path / "c" / "entries"))
+    assert {(r["path"], r["name"]) for r in raw.collect()} == {("a/b.txt", None), ("c", None), ("a/d", "other")}
+    named = {("a/b.txt", "b.txt"), ("c", "c"), ("a/d", "other")}
+    assert {(r["path"], r["name"]) for r in stored.entries.collect()} == named
+    assert {r["name"] for r in stored.entries.select("name").collect()} == {n for _, n in named}
+    assert {r["name"] for r in stored.postings.collect()} == {n for _, n in named}
+
+
+def test_duplicates_in_slices(spark, tmp_path, monkeypatch):
+    drives = [{"id": f"drv_00000000000{n}", "name": f"D{n}", "latest_snapshot_id": n} for n in (1, 2)]
+    full = ["sha256:" + f"{k:064x}" for k in range(40)]
+    files = [
+        entry(n, f"{n}-{copy}-{k}", 5 + k % 3, 1, h) for n in (1, 2) for k, h in enumerate(full) for copy in range(k % 3 if n == 1 else k % 2)
+    ]
+    catalog = catalog_of(spark, drives, [{"id": n, "drive_id": drives[n - 1]["id"], "file_count": 60} for n in (1, 2)], files)
+    catalog = CatalogStore(spark, str(tmp_path / "c"), index=False).publish(catalog, new_entries=catalog.entries)
+    assert exchanges(duplicates.duplicates_all(catalog))
+    kept, before = spark.conf.get(CLEANUP_KEY), {f.__name__: f(catalog) for f in (duplicates.duplicates_all,)}
+    for name, value in (("SLICE_FILES", 1), ("MEMBER_SLICES", 3)):
+        monkeypatch.setattr(duplicates, name, value)
+    for name, df in before.items():
+        sliced = getattr(duplicates, name)(catalog)
+        assert sorted(map(tuple, sliced.collect())) == sorted(map(tuple, df.collect())) != [] and sliced.dtypes == df.dtypes
+        # What is shuffled for a slice is gone when the next begins; the results are read.
+        assert not exchanges(sliced) and all("/duplicates-" in f for f in sliced.inputFiles())
+    assert spark.conf.get(CLEANUP_KEY) == kept
+    one = duplicates.duplicates_all(catalog, drive_id=drives[0]["id"])
+    assert {r["drive_id"] for r in one.collect()} == {drives[0]["id"]}
