@@ -12,8 +12,9 @@ from archidex.schema import Catalog, bounded
 from archidex.session import scratch_path, shuffles_freed
 
 CHUNK_FILES = 10_000
-# Current files of a slice, and the most slices that members are found in: each reads the entries once more.
+# Current files of a slice, and the most slices that groups or members are found in: each reads the entries once more.
 SLICE_FILES = 1_000_000
+GROUP_SLICES = 3
 MEMBER_SLICES = 8
 
 
@@ -65,13 +66,13 @@ def _in_slices(catalog: Catalog, drive_id: str | None, result: Callable[[DataFra
     return catalog.spark.read.schema(some.schema).parquet(*parts)
 
 
-def duplicate_groups_all(catalog: Catalog, drive_id: str | None = None) -> DataFrame:
+def duplicate_groups_all(catalog: Catalog, drive_id: str | None = None, slices: int | None = None) -> DataFrame:
     """Every group of equal (hash, size) with its copy count, in no order.
 
     Copies are counted before the shuffle, so a group that holds a large part
-    of all files costs one row per task.
+    of all files costs one row per task. Many files are taken in slices.
     """
-    return _groups(_proven_files(catalog, drive_id))
+    return _in_slices(catalog, drive_id, _groups, slices or _slices(catalog, drive_id, GROUP_SLICES))
 
 
 def duplicates_all(catalog: Catalog, drive_id: str | None = None, slices: int | None = None) -> DataFrame:
@@ -84,12 +85,19 @@ def duplicates_all(catalog: Catalog, drive_id: str | None = None, slices: int |
     return _in_slices(catalog, drive_id, _members, slices or _slices(catalog, drive_id, MEMBER_SLICES))
 
 
-def duplicate_groups(catalog: Catalog, drive_id: str | None = None, limit: int | None = None) -> DataFrame:
-    """A page of the groups that hold most bytes."""
-    # Decimal: size times copies can pass the range of a long.
-    held = F.col("size").cast("decimal(19,0)") * F.col("copies").cast("decimal(19,0)")
-    groups = duplicate_groups_all(catalog, drive_id)
-    return groups.orderBy(held.desc(), "hash", "size").limit(bounded("duplicates", limit))
+def duplicate_groups(
+    catalog: Catalog, drive_id: str | None = None, limit: int | None = None, slices: int | None = None
+) -> DataFrame:
+    """A page of the groups that hold most bytes. Of many files, each slice gives its own page first."""
+    page = bounded("duplicates", limit)
+
+    def top(groups: DataFrame) -> DataFrame:
+        # Decimal: size times copies can pass the range of a long.
+        held = F.col("size").cast("decimal(19,0)") * F.col("copies").cast("decimal(19,0)")
+        return groups.orderBy(held.desc(), "hash", "size").limit(page)
+
+    slices = slices or _slices(catalog, drive_id, GROUP_SLICES)
+    return top(_in_slices(catalog, drive_id, lambda files: top(_groups(files)), slices))
 
 
 def duplicates(catalog: Catalog, drive_id: str | None = None, limit: int | None = None) -> DataFrame:

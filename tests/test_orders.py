@@ -153,14 +153,16 @@ def test_duplicates_in_slices(spark, tmp_path, monkeypatch):
     catalog = catalog_of(spark, drives, [{"id": n, "drive_id": drives[n - 1]["id"], "file_count": 60} for n in (1, 2)], files)
     catalog = CatalogStore(spark, str(tmp_path / "c"), index=False).publish(catalog, new_entries=catalog.entries)
     assert exchanges(duplicates.duplicates_all(catalog))
-    kept, before = spark.conf.get(CLEANUP_KEY), {f.__name__: f(catalog) for f in (duplicates.duplicates_all,)}
-    for name, value in (("SLICE_FILES", 1), ("MEMBER_SLICES", 3)):
+    kept, before = spark.conf.get(CLEANUP_KEY), {f.__name__: f(catalog) for f in (duplicates.duplicates_all, duplicates.duplicate_groups_all, duplicates.duplicate_groups)}
+    page = duplicates.duplicate_groups(catalog, limit=7).collect()
+    for name, value in (("SLICE_FILES", 1), ("GROUP_SLICES", 2), ("MEMBER_SLICES", 3)):
         monkeypatch.setattr(duplicates, name, value)
     for name, df in before.items():
         sliced = getattr(duplicates, name)(catalog)
         assert sorted(map(tuple, sliced.collect())) == sorted(map(tuple, df.collect())) != [] and sliced.dtypes == df.dtypes
         # What is shuffled for a slice is gone when the next begins; the results are read.
         assert not exchanges(sliced) and all("/duplicates-" in f for f in sliced.inputFiles())
+    assert duplicates.duplicate_groups(catalog, limit=7).collect() == page and len(page) == 7
     assert spark.conf.get(CLEANUP_KEY) == kept
     one = duplicates.duplicates_all(catalog, drive_id=drives[0]["id"])
     assert {r["drive_id"] for r in one.collect()} == {drives[0]["id"]}
